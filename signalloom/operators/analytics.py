@@ -43,8 +43,8 @@ def job_facets(jobs: DataFrame, families: Sequence[str] = FAMILIES) -> DataFrame
         "week": lambda: one("week", week_start("posted_date").cast("string"), F.col("posted_date").isNotNull()),
     }
     facets = F.array_compact(F.concat(*[F.coalesce(parts[f](), F.array().cast("array<struct<family:string,value:string>>")) for f in families]))
-    # A filter on family would be pushed below the generator, so each consumer names its families instead.
-    return jobs.select("organization", "job_id", "evidence_id", "posted_date", F.explode(facets).alias("f")).select(
+    # An inner explode would make Catalyst build the array a second time to filter on its size.
+    return jobs.select("organization", "job_id", "evidence_id", "posted_date", F.explode_outer(facets).alias("f")).filter("f IS NOT NULL").select(
         "organization", "f.family", "f.value", "job_id", "evidence_id", "posted_date"
     )
 

@@ -139,7 +139,7 @@ def search_jobs(jobs: DataFrame, organization=None, country=None, employment_typ
         if value is not None:
             out = out.filter(F.col(column) == value)
     if location is not None:
-        out = out.filter(F.lower("location").like(f"%{location}%".lower()))
+        out = out.filter(F.lower("location").like("%" + location.lower().replace("\\", "\\\\") + "%"))
     if capability is not None:
         out = out.filter(F.exists("capability_classifications", lambda v: F.lower(v) == capability.lower()))
     return out

@@ -85,7 +85,7 @@ def observations(rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOL
     enrichment = F.col("enrichment")
     pick = lambda field, other: F.when(from_enrichment, enrichment[field]).otherwise(other)
     return (
-        observed(rows, names).withColumn("o", F.explode("observations"))
+        observed(rows, names).withColumn("o", F.explode_outer("observations")).filter("o IS NOT NULL")
         .select(
             "organization", "job_id", "evidence_id", F.col("title").alias("job_title"), "source_type",
             F.col("o.technology").alias("technology"),
@@ -148,6 +148,10 @@ def tech_facets(rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOLO
         "seniority": lambda o: F.when(o["source"] == "enrichment", F.col("enrichment.seniority_level")),
     }
     seen = F.col("observations")
+    def tabbed(family):
+        made = F.transform(seen, lambda o: entry(family, labels[family](o), o["normalized"], null, one))
+        return F.filter(made, lambda e: usable(e["label"]))
+
     # Two spellings that differ only in case stay one observation per job, so values are distinct already.
     parts = [F.array(entry("total", null, null, null, F.size(seen)))]
     if "technology" in families:
@@ -157,9 +161,9 @@ def tech_facets(rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOLO
         parts.append(F.transform(F.array_distinct(cats), lambda c: entry("category", c, null, c, F.size(F.filter(cats, lambda x: x == c)))))
     for family in TAB_FAMILIES:
         if family in families:
-            parts.append(F.filter(F.transform(seen, lambda o, f=family: entry(f, labels[f](o), o["normalized"], null, one)), lambda e: usable(e["label"])))
+            parts.append(tabbed(family))
     return observed(rows, names).select(
-        "organization", "job_id", "evidence_id", "is_enriched", "posted_date", F.explode(F.concat(*parts)).alias("f")
+        "organization", "job_id", "evidence_id", "is_enriched", "posted_date", F.explode_outer(F.concat(*parts)).alias("f")
     ).select("organization", "f.*", "job_id", "evidence_id", "is_enriched")
 
 

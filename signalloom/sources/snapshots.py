@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from signalloom.functions import dates, html, ids, lexicons as L, text as X
 from signalloom.operators.extraction import extract_terms
@@ -167,7 +167,7 @@ def split_quarantine(df: DataFrame, codes: str = "reject_codes") -> tuple[DataFr
     return df.filter(F.size(codes) == 0), df.filter(F.size(codes) > 0)
 
 
-PAYLOAD_SCHEMA = T.StructType.fromDDL(
+PAYLOAD_SCHEMA = (
     "search_summary struct<title string, externalPath string, bulletFields array<string>>, "
     "job_detail struct<jobPostingInfo struct<title string, jobDescription string, location string, additionalLocations array<string>, "
     "startDate string, timeType string, jobReqId string, externalUrl string, country struct<descriptor string, alpha2Code string>, "
@@ -177,7 +177,7 @@ PAYLOAD_SCHEMA = T.StructType.fromDDL(
 
 def read_payloads(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     """Nested posting payloads with an explicit schema; unreadable records keep their text in ``_bad``."""
-    schema = T.StructType(PAYLOAD_SCHEMA.fields + (T.StructType.fromDDL(extra).fields if extra else []) + [T.StructField("_bad", T.StringType())])
+    schema = ", ".join([PAYLOAD_SCHEMA, *([extra] if extra else []), "_bad string"])
     return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
@@ -225,7 +225,7 @@ def normalize_payloads(df: DataFrame, organization: str, collector: str, referen
     ).drop("_bad_closing", "search_summary", "job_detail")
 
 
-PAGE_SCHEMA = T.StructType.fromDDL(
+PAGE_SCHEMA = (
     "status string, source_url string, final_url string, http_status int, text string, "
     "structured_data struct<title string, datePosted string, employmentType string, hiringOrganization struct<name string>, "
     "jobLocation array<struct<address array<struct<addressLocality string, addressRegion string, addressCountry string>>>>>, warning string"
