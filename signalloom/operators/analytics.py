@@ -167,6 +167,7 @@ class HiringThresholds:
     single_source_data: bool = True
 
 
+# One facet table serves signals and overlap groups.
 SIGNAL_FAMILIES = ("total", "with_capability", "with_seniority", "with_location", "country", "region", "city", "capability", "leadership", "week")
 LEVELS = {"country": "country", "region": "state/region", "city": "city"}
 

@@ -96,10 +96,14 @@ def gate_members(members: DataFrame, groups: DataFrame, minimum: int, t: CrossTh
     return members.join(passing, ["organization", "family", "subject"])
 
 
-def hiring_members(jobs: DataFrame, context: DataFrame, t: CrossThresholds) -> DataFrame:
-    """Jobs of concentrated capabilities, cities and leadership roles."""
-    facets = job_facets(jobs, ("total", "with_capability", "capability", "city", "leadership"))
-    counts = facet_counts(facets, with_evidence=False).withColumns(
+GROUP_FAMILIES = ("total", "with_capability", "capability", "city", "leadership")
+
+
+def hiring_members(jobs: DataFrame, context: DataFrame, t: CrossThresholds, counts: DataFrame | None = None) -> DataFrame:
+    """Jobs of concentrated capabilities, cities and leadership roles; ``counts`` reuses a facet table."""
+    if counts is None:
+        counts = facet_counts(job_facets(jobs, GROUP_FAMILIES), with_evidence=False)
+    counts = counts.filter(F.col("family").isin(*GROUP_FAMILIES)).withColumns(
         {
             "_total": _per_org(F.col("family") == "total", F.col("job_count")),
             "_classified": F.coalesce(_per_org(F.col("family") == "with_capability", F.col("job_count")), F.lit(0)),

@@ -38,34 +38,60 @@ def unified_evidence(jobs: DataFrame, evidence: DataFrame, latest: DataFrame, li
     The latest enrichment of the job is shown whatever evidence it cites, and its business unit
     replaces the job's even when null.
     """
-    enrichment = latest.select(
-        "job_id", F.lit(True).alias("_enriched"), "provider", "model", "prompt_schema_version", "confidence",
-        F.col("technologies").alias("_technologies"), F.col("capability_classifications").alias("_capabilities"), F.col("skills").alias("_skills"),
-        F.col("business_unit").alias("_unit"), F.col("seniority_level").alias("_seniority"),
-    )
+    enrichment = latest.select("job_id", F.struct(*[c for c in ENRICHMENT_FIELDS if c in latest.columns]).alias("enrichment"))
     own = jobs.select("organization", "job_id", "evidence_id", "title", "location", "business_unit", "posted_date")
-    source = evidence.select("evidence_id", "source_type", "source_url", "retrieved_at", "source_excerpt", "raw_reference", "collector_identity", evidence_source().alias("source"))
-    joined = own.join(source, "evidence_id").join(enrichment, "job_id", "left")
-    has = F.col("_enriched").isNotNull()
+    source = evidence.select("evidence_id", evidence_struct().alias("evidence"))
+    return unified_rows(own.join(source, "evidence_id").join(enrichment, "job_id", "left"), links)
+
+
+ENRICHMENT_FIELDS = (
+    "evidence_id provider model prompt_schema_version enrichment_timestamp technologies capability_classifications skills business_unit seniority_level "
+    "confidence field_confidences field_support source_content_hash"
+).split()
+
+
+def evidence_struct() -> Column:
+    return F.struct(
+        "source_type", "source_url", "retrieved_at", "source_excerpt", "raw_reference", "collector_identity", evidence_source().alias("source")
+    )
+
+
+def unified_rows(joined: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """The wide view over jobs that carry ``evidence`` and ``enrichment`` structs already."""
+    has = F.col("enrichment").isNotNull()
     none = F.array().cast("array<string>")
+    e, s = F.col("enrichment"), F.col("evidence")
     wide = joined.select(
-        "evidence_id", "organization", "source", "source_type", "source_url",
-        F.col("retrieved_at").alias("captured_at"), F.col("posted_date").alias("observed_at"),
+        "evidence_id", "organization", s["source"].alias("source"), s["source_type"].alias("source_type"), s["source_url"].alias("source_url"),
+        s["retrieved_at"].alias("captured_at"), F.col("posted_date").alias("observed_at"),
         "job_id", F.col("title").alias("job_title"), F.col("location").alias("job_location"),
-        F.when(has, F.col("_unit")).otherwise(F.col("business_unit")).alias("business_unit"),
+        F.when(has, e["business_unit"]).otherwise(F.col("business_unit")).alias("business_unit"),
         has.alias("enrichment_present"),
-        F.col("provider").alias("enrichment_provider"), F.col("model").alias("enrichment_model"), F.col("prompt_schema_version").alias("enrichment_schema_version"),
-        F.col("confidence").alias("application_confidence"),
-        *[F.coalesce(f"_{c}", none).alias(c) for c in ("technologies", "capabilities", "skills")],
-        F.col("_seniority").alias("seniority"),
-        preview("source_excerpt").alias("evidence_preview"),
-        "source_excerpt", "raw_reference", "collector_identity",
+        e["provider"].alias("enrichment_provider"), e["model"].alias("enrichment_model"), e["prompt_schema_version"].alias("enrichment_schema_version"),
+        e["confidence"].alias("application_confidence"),
+        F.coalesce(e["technologies"], none).alias("technologies"), F.coalesce(e["capability_classifications"], none).alias("capabilities"), F.coalesce(e["skills"], none).alias("skills"),
+        e["seniority_level"].alias("seniority"),
+        preview(s["source_excerpt"]).alias("evidence_preview"),
+        s["source_excerpt"].alias("source_excerpt"), s["raw_reference"].alias("raw_reference"), s["collector_identity"].alias("collector_identity"),
     )
     if links is None:
         return wide
     return wide.join(links, "evidence_id", "left").na.fill(0, ["hiring_signal_count", "technology_signal_count", "technology_observation_count"])
 
 
+def intelligence_rows(jobs: DataFrame, evidence: DataFrame, latest: DataFrame) -> DataFrame:
+    """Every job with its evidence and latest enrichment as structs: the one table all later steps read."""
+    enrichment = latest.select("job_id", F.struct(*[c for c in ENRICHMENT_FIELDS if c in latest.columns]).alias("enrichment"))
+    source = evidence.select("evidence_id", evidence_struct().alias("evidence"))
+    joined = jobs.join(source, "evidence_id", "left").join(enrichment, "job_id", "left")
+    return joined.withColumns(
+        {
+            "is_enriched": F.coalesce((F.col("enrichment.evidence_id") == F.col("evidence_id")) & F.col("evidence").isNotNull(), F.lit(False)),
+            "source_type": F.col("evidence.source_type"),
+        }
+    )
+
+
 def evidence_summary(jobs: DataFrame, unified: DataFrame) -> DataFrame:
     """Records, coverage, enrichment and support counts per organization."""
     totals = jobs.groupBy("organization").agg(

@@ -59,8 +59,11 @@ def _first_by(array: Column, key: str) -> Column:
 def observed(rows: DataFrame, names: Mapping[str, str] = L.TECHNOLOGY_NAMES) -> DataFrame:
     """Add ``observations``: enrichment technologies first, keyword ones only when not seen in the job.
 
-    Works on arrays within the job row, so no shuffle follows the joins of ``enriched_jobs``.
+    Works on arrays within the job row, so no shuffle follows the joins of ``enriched_jobs``; rows
+    that carry the column already are returned as they are.
     """
+    if "observations" in rows.columns:
+        return rows
     shaped = lambda array, source: F.filter(
         F.transform(
             F.coalesce(array, F.array().cast("array<string>")),

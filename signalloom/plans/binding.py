@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from signalloom.operators import analytics, crossdomain, evidence as ev, technology as tech
 from signalloom.operators.ordering import latest_enrichment
+from signalloom.session import stage
 from signalloom.sources.snapshots import parquet
 
 NAMES = {"brand#1": "AWS", "brand#2": "AWS", "brand#3": "Oracle"}
@@ -45,13 +46,16 @@ class Binding:
 
     @cached_property
     def jobs(self) -> DataFrame:
-        """Jobs with capabilities and technologies; distinct values are few, so task-side sets stay small."""
+        """Jobs with capabilities and technologies."""
+        return self._jobs(self._lists())
+
+    def _lists(self) -> DataFrame:
+        """Distinct part types and brands per order; both are few, so task-side sets stay small."""
         part = self.table("part").select("p_partkey", "p_type", "p_brand")
         lines = self.table("lineitem").select("l_orderkey", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
-        lists = lines.groupBy("l_orderkey").agg(
+        return lines.groupBy("l_orderkey").agg(
             F.array_sort(F.collect_set("p_type")).alias("capability_classifications"), F.array_sort(F.collect_set("p_brand")).alias("technologies")
         )
-        return self._jobs(lists)
 
     def _jobs(self, lists: DataFrame | None) -> DataFrame:
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -161,9 +165,13 @@ class Binding:
     def tech_snapshot(self) -> DataFrame:
         return tech.tech_snapshot(self.postings, self.tech_counts)
 
+    @cached_property
+    def hiring_counts(self) -> DataFrame:
+        return analytics.facet_counts(analytics.job_facets(self.jobs, analytics.SIGNAL_FAMILIES))
+
     @cached_property
     def hiring_signals(self) -> DataFrame:
-        return analytics.hiring_signals(self.jobs, HIRING)
+        return analytics.signals_from_counts(self.hiring_counts, HIRING)
 
     @cached_property
     def hiring_support(self) -> DataFrame:
@@ -188,11 +196,7 @@ class Binding:
 
     @cached_property
     def unified(self) -> DataFrame:
-        return ev.unified_evidence(self.jobs, self.evidence, self.latest, self.links)
-
-    @cached_property
-    def context(self) -> DataFrame:
-        return crossdomain.coverage_context(self.tech_snapshot, self.records, self.hiring_signals, self.technology_signals, CROSS)
+        return ev.unified_rows(self.rows, self.links) if isinstance(self, Staged) else ev.unified_evidence(self.jobs, self.evidence, self.latest, self.links)
 
     @cached_property
     def gate(self) -> DataFrame:
@@ -200,9 +204,13 @@ class Binding:
         snapshot = self.tech_snapshot.select("organization", "total_jobs", "enriched_jobs", "technology_observation_count", "observation_start", "observation_end")
         return crossdomain.gated(snapshot.withColumn("enrichment_coverage", F.col("enriched_jobs") / F.col("total_jobs")), CROSS)
 
+    @cached_property
+    def context(self) -> DataFrame:
+        return crossdomain.coverage_context(self.tech_snapshot, self.records, self.hiring_signals, self.technology_signals, CROSS)
+
     @cached_property
     def overlap_pairs(self) -> DataFrame:
-        left = crossdomain.hiring_members(self.jobs, self.gate, CROSS)
+        left = crossdomain.hiring_members(self.jobs, self.gate, CROSS, self.hiring_counts)
         right = crossdomain.technology_members(self.tech_facets, self.tech_counts, self.gate, CROSS)
         return crossdomain.pair_overlaps(left, right)
 
@@ -221,3 +229,56 @@ class Binding:
         """Job-overlap families in one aggregation; clusters keep their own signal ids."""
         members = self.overlap_pairs.unionByName(self.unit_pairs)
         return crossdomain.alignments(members, self.gate, CROSS).unionByName(crossdomain.alignments(self.cluster_pairs, self.gate, CROSS))
+
+    @cached_property
+    def staged(self) -> "Staged":
+        return Staged(self.spark, self.folder)
+
+
+class Staged(Binding):
+    """The same model over written intermediate tables, for queries that read it more than once.
+
+    The joins run once into one job-level table; facet counts and signals, small per organization,
+    are written too, so no later plan repeats them.
+    """
+
+    @cached_property
+    def intelligence(self) -> DataFrame:
+        wide = ev.intelligence_rows(Binding._jobs(self, self._lists()), self.evidence, self.latest)
+        return stage(tech.observed(wide, NAMES), "intelligence")
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        return self.intelligence.drop("evidence", "enrichment", "observations", "is_enriched", "source_type")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self.jobs.drop("capability_classifications", "technologies")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self.intelligence.filter("evidence IS NOT NULL")
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return ev.unified_rows(self.rows)
+
+    @cached_property
+    def hiring_counts(self) -> DataFrame:
+        return stage(Binding.hiring_counts.func(self), "hiring-counts")
+
+    @cached_property
+    def tech_counts(self) -> DataFrame:
+        return stage(Binding.tech_counts.func(self), "technology-counts")
+
+    @cached_property
+    def tech_snapshot(self) -> DataFrame:
+        return stage(Binding.tech_snapshot.func(self), "technology-snapshot")
+
+    @cached_property
+    def hiring_signals(self) -> DataFrame:
+        return stage(Binding.hiring_signals.func(self), "hiring-signals")
+
+    @cached_property
+    def technology_signals(self) -> DataFrame:
+        return stage(Binding.technology_signals.func(self), "technology-signals")

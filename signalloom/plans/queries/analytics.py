@@ -122,6 +122,7 @@ def _(b):
 
 @query("sig8_signal_evidence", "SELECT organization, signal_id, evidence_id FROM b_hsup")
 def _(b):
+    b = b.staged
     return b.hiring_support.select("organization", "signal_id", "evidence_id")
 
 
@@ -141,4 +142,5 @@ def _(b):
 
 @query("flt16_isolation_violations", "SELECT organization, job_id FROM b_hsup WHERE false")
 def _(b):
+    b = b.staged
     return runs.isolation_violations(b.hiring_support, b.postings).select("organization", "job_id")

@@ -18,16 +18,19 @@ for _name, _family in (("joi6_capability_overlap", "capability"), ("joi7_city_ov
 
     @query(_name, f"SELECT {_COLS} FROM b_align WHERE family = '{_family}'")
     def _(b, family=_family):
+        b = b.staged
         return _show(X.alignments(b.overlap_pairs.filter(F.col("family") == family), b.gate, CROSS))
 
 
 @query("joi8_business_unit_overlap", f"SELECT {_COLS} FROM b_align WHERE family = 'business_unit'")
 def _(b):
+    b = b.staged
     return _show(X.alignments(b.unit_pairs, b.gate, CROSS))
 
 
 @query("joi10_signal_clusters", f"SELECT {_COLS} FROM b_calign")
 def _(b):
+    b = b.staged
     return _show(X.alignments(b.cluster_pairs, b.gate, CROSS))
 
 
@@ -37,6 +40,7 @@ SELECT t.organization, t.total_jobs, t.enriched_jobs, t.observations AS technolo
 FROM b_ttot t LEFT JOIN (SELECT organization, count(DISTINCT job_id) AS n FROM b_uni GROUP BY 1) u USING (organization)
 LEFT JOIN (SELECT organization, count(*) AS n FROM b_hsig GROUP BY 1) h USING (organization) LEFT JOIN (SELECT organization, count(*) AS n FROM b_tsig GROUP BY 1) s USING (organization)""")
 def _(b):
+    b = b.staged
     c = b.context
     return c.select("organization", "total_jobs", "enriched_jobs", "technology_observation_count", "jobs_with_evidence", "hiring_signal_count", "technology_signal_count", F.bround("enrichment_coverage", 8).alias("enrichment_coverage"), "passes")
 
@@ -45,11 +49,13 @@ def _(b):
 SELECT signal_id, CASE family WHEN 'capability' THEN 'Observed overlap between ' || p || ' hiring and ' || r WHEN 'leadership' THEN 'Observed leadership hiring overlap with ' || r
   ELSE 'Observed ' || r || ' hiring overlap in ' || p END AS title FROM b_align""")
 def _(b):
+    b = b.staged
     return X.alignments(b.overlap_pairs.unionByName(b.unit_pairs), b.gate, CROSS).select("signal_id", "title")
 
 
 @query("sig18_cross_domain_signals", f"SELECT {_COLS} FROM b_cross")
 def _(b):
+    b = b.staged
     return _show(b.alignments)
 
 
@@ -57,6 +63,7 @@ def _(b):
 SELECT DISTINCT a.organization, a.signal_id, m.member AS job_id, m.evidence_id FROM b_align a JOIN (SELECT * FROM b_pairs UNION ALL SELECT * FROM b_upairs) m
 ON m.organization = a.organization AND m.family = a.family AND CASE WHEN m.family = 'leadership' THEN 'leadership hiring' ELSE m.p END = a.p AND m.r = a.r""")
 def _(b):
+    b = b.staged
     pairs = b.overlap_pairs.unionByName(b.unit_pairs)
     return X.alignment_support(pairs, X.alignments(pairs, b.gate, CROSS), b.gate, CROSS)
 
@@ -65,6 +72,7 @@ def _(b):
 SELECT DISTINCT a.organization, a.signal_id, h.signal_id AS hiring_signal_id FROM b_align a JOIN b_pairs m ON m.organization = a.organization AND m.family = a.family AND m.p = a.p AND m.r = a.r
 JOIN b_hsup h ON h.evidence_id = m.evidence_id WHERE a.family = 'capability'""")
 def _(b):
+    b = b.staged
     pairs = b.overlap_pairs.filter("family = 'capability'")
     support = X.alignment_support(pairs, X.alignments(pairs, b.gate, CROSS), b.gate, CROSS)
     return X.related_signals(support, b.hiring_support, "hiring_signal_id")
@@ -77,6 +85,7 @@ SELECT u.evidence_id, u.job_id, u.organization, enrichment_present, coalesce(hir
 FROM b_uni u LEFT JOIN b_links USING (evidence_id) LEFT JOIN (SELECT m.evidence_id, count(DISTINCT a.signal_id) AS n FROM b_align a JOIN b_pairs m
   ON m.organization = a.organization AND m.family = a.family AND CASE WHEN m.family = 'leadership' THEN 'leadership hiring' ELSE m.p END = a.p AND m.r = a.r GROUP BY 1) x USING (evidence_id)""")
 def _(b):
+    b = b.staged
     pairs = b.overlap_pairs
     support = X.alignment_support(pairs, X.alignments(pairs, b.gate, CROSS), b.gate, CROSS)
     t = E.trace(b.unified, support)
@@ -86,6 +95,7 @@ def _(b):
 @query("set1_signal_union", """
 SELECT organization, 'hiring' AS domain, signal_id, signal_type FROM b_hsig UNION ALL SELECT organization, 'technology', signal_id, signal_type FROM b_tsig""")
 def _(b):
+    b = b.staged
     side = lambda frame, name: frame.select("organization", F.lit(name).alias("domain"), "signal_id", "signal_type")
     return O.union_all(side(b.hiring_signals, "hiring"), side(b.technology_signals, "technology"))
 
@@ -106,5 +116,6 @@ def _(b):
 @query("set4_subset_check", """
 SELECT signal_id, count(*) AS outside FROM (SELECT DISTINCT signal_id, evidence_id FROM b_hsup) WHERE evidence_id NOT IN (SELECT evidence_id FROM b_evidence) GROUP BY 1""")
 def _(b):
+    b = b.staged
     cited = b.hiring_support.select("signal_id", "evidence_id").distinct()
     return O.subset_violations(cited, b.evidence, ["evidence_id"], ["signal_id"])

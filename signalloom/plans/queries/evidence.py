@@ -9,11 +9,13 @@ from signalloom.sources import tables as S
 
 @query("joi12_evidence_links", "SELECT * FROM b_links")
 def _(b):
+    b = b.staged
     return b.links.select("evidence_id", "hiring_signal_count", "technology_signal_count", "technology_observation_count")
 
 
 @query("joi12_signal_references", "SELECT DISTINCT organization, evidence_id, signal_type, title, signal_id FROM b_hsup")
 def _(b):
+    b = b.staged
     return E.signal_references(b.hiring_support)
 
 
@@ -22,6 +24,7 @@ SELECT organization, job_id, evidence_id, source, source_type, strftime(observed
   coalesce(seniority, '') AS seniority, preview AS evidence_preview, coalesce(hiring_signal_count, 0) AS hiring_signal_count, coalesce(technology_observation_count, 0) AS technology_observation_count
 FROM b_uni LEFT JOIN b_links USING (evidence_id)""")
 def _(b):
+    b = b.staged
     u = b.unified
     return u.select("organization", "job_id", "evidence_id", "source", "source_type", day("observed_at"), F.coalesce("business_unit", F.lit("")).alias("business_unit"), "enrichment_present",
                     F.coalesce("enrichment_provider", F.lit("")).alias("enrichment_provider"), F.coalesce("seniority", F.lit("")).alias("seniority"), "evidence_preview", "hiring_signal_count", "technology_observation_count")
@@ -34,6 +37,7 @@ SELECT t.organization, t.total_jobs, count(u.job_id) AS total_evidence_records,
   round_even(count(*) FILTER (enrichment_present) / count(u.job_id) * 100, 2) AS enrichment_coverage, strftime(max(captured_at), '%Y-%m-%d') AS latest_capture
 FROM b_totals t LEFT JOIN b_uni u ON u.organization = t.organization LEFT JOIN b_links USING (evidence_id) GROUP BY t.organization, t.total_jobs""")
 def _(b):
+    b = b.staged
     s = E.evidence_summary(b.postings, b.unified)
     return s.select("organization", "total_jobs", "total_evidence_records", "jobs_with_evidence", "enriched_evidence_count", "evidence_supporting_hiring_signals",
                     "evidence_supporting_technology_observations", "evidence_supporting_technology_signals", "evidence_coverage", "enrichment_coverage", day("latest_capture"))

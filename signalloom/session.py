@@ -51,3 +51,13 @@ def settle(df: DataFrame) -> DataFrame:
     """Write the frame once to reliable storage and cut its lineage there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame several steps read to the shared folder as Parquet and read it from there.
+
+    Later reads prune columns, survive lost executors and do not repeat the work.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
