@@ -31,6 +31,9 @@ def _pick(column, n: int, values: list) -> F.Column:
     return out.otherwise(values[-1])
 
 
+_STAGED: dict[tuple[str, str], "Staged"] = {}
+
+
 @dataclass
 class Binding:
     spark: SparkSession
@@ -232,7 +235,11 @@ class Binding:
 
     @cached_property
     def staged(self) -> "Staged":
-        return Staged(self.spark, self.folder)
+        """The intermediate tables of this application and folder, written once."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _STAGED:
+            _STAGED[key] = Staged(self.spark, self.folder)
+        return _STAGED[key]
 
 
 class Staged(Binding):

@@ -3,4 +3,4 @@
 
 def load() -> None:
     from signalloom.plans import views  # noqa: F401  (building blocks come first)
-    from signalloom.plans.queries import analytics, crossdomain, evidence, technology  # noqa: F401
+    from signalloom.plans.queries import analytics, crossdomain, evidence, extraction, graph, ingest, projections, research, technology  # noqa: F401
