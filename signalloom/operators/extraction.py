@@ -56,7 +56,7 @@ def matched_terms(text, terms: Mapping[str, Sequence[str]], cased: bool = False)
         flag = "" if cased else "(?i)"
         hits = F.regexp_extract_all(as_col(text), F.lit(f"{flag}{WORD_EDGE_LEFT}(?=({body}){WORD_EDGE_RIGHT})"), F.lit(1))
         found.append(F.transform(hits, lambda h: lookup(group, h if cased else F.lower(h))))
-    return F.concat(*found)
+    return F.concat(*found) if found else F.array().cast("array<string>")
 
 
 def extract_terms(text_cols: Sequence, terms: Mapping[str, Sequence[str]] = L.TECHNOLOGY_TERMS, cased_terms: Mapping[str, Sequence[str]] = L.CASED_TECHNOLOGY_TERMS) -> Column:
@@ -137,7 +137,8 @@ def ground_values(values, source_line) -> Column:
         own = token_line(value, normalize=False)
         return (own != "  ") & F.contains(line, own)
 
-    return F.filter(as_col(values), kept)
+    # The second reference keeps Catalyst from moving the line's tokenisation into the per-value lambda.
+    return F.when(F.length(line) > 0, F.filter(as_col(values), kept))
 
 
 def supplied_text(columns: Sequence) -> Column:
@@ -191,10 +192,9 @@ def support_rows(df: DataFrame, id_cols: Sequence[str], source_col: str) -> Data
         single("seniority_level", F.coalesce(F.col("seniority_level") != "unknown", F.lit(False)), "seniority_level"),
     )
     lined = df.select(*id_cols, F.col(source_col).alias("_source"), token_line(source_col).alias("_line"), wanted.alias("_wanted"))
-    kept = F.filter("_wanted", lambda w: (token_line(w["value"], False) != "  ") & F.contains(F.col("_line"), token_line(w["value"], False)))
-    rows = lined.select(*id_cols, "_source", kept.alias("_kept"))
-    zipped = rows.select(*id_cols, F.arrays_zip("_kept", grounded_spans("_source", F.transform("_kept", lambda k: k["value"])).alias("excerpt")).alias("_z"))
-    return zipped.select(*id_cols, F.explode("_z").alias("z")).select(*id_cols, F.col("z._kept.field").alias("field"), F.col("z._kept.value").alias("value"), F.col("z.excerpt").alias("excerpt"))
+    rows = lined.withColumn("w", F.explode_outer("_wanted")).withColumn("_own", token_line("w.value", normalize=False))
+    kept = rows.filter((F.col("_own") != "  ") & F.contains("_line", "_own"))
+    return kept.select(*id_cols, F.col("w.field").alias("field"), F.col("w.value").alias("value"), grounded_spans("_source", F.array("w.value"))[0].alias("excerpt"))
 
 
 def enrichment_confidence(capabilities, skills, technologies, seniority, leadership, business_unit, themes, supported_explicit, removed, has_description, has_excerpt) -> Column:

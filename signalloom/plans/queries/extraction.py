@@ -154,7 +154,7 @@ def _(b):
 
 @query("txt10_merge_classifications", """
 SELECT CAST(o_orderkey AS VARCHAR) AS source_job_id, CASE WHEN s.cap IS NULL THEN 'Other' WHEN s.cap = 'PROMO' THEN 'Promotion' ELSE s.cap END AS capability, s.cap IS NOT NULL AS supplied
-FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(p_type, l_linenumber * 1000000000 + l_partkey) AS cap FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 30 GROUP BY 1) s ON l_orderkey = o_orderkey""")
+FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(p_type, l_linenumber::BIGINT * 1000000000 + l_partkey) AS cap FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 30 GROUP BY 1) s ON l_orderkey = o_orderkey""")
 def _(b):
     jobs = b.table("orders").select(F.col("o_orderkey").cast("string").alias("source_job_id"), F.lit("Other").alias("rule_capability"), F.lit("Unknown").alias("rule_seniority"), F.lit(0.4).alias("rule_confidence"))
     lines = b.table("lineitem").filter("l_quantity > 30").join(b.table("part"), F.col("l_partkey") == F.col("p_partkey"))

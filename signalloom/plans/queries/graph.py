@@ -1 +1,224 @@
-"""Placeholder."""
+"""Provenance graph."""
+
+from functools import cached_property
+
+from pyspark.sql import functions as F
+
+from signalloom.operators import graph as G
+from signalloom.plans.registry import query, view
+from signalloom.session import scratch_path, stage
+from signalloom.sources import tables as S
+
+
+class _Graph:
+    """Node and edge tables of the staged model, written once per application."""
+
+    _made: dict = {}
+
+    def __init__(self, b):
+        self.b = b.staged
+
+    @classmethod
+    def of(cls, b):
+        key = (b.spark.sparkContext.applicationId, b.folder)
+        return cls._made.setdefault(key, cls(b))
+
+    @cached_property
+    def evidence(self):
+        e = self.b.rows
+        return e.select("evidence_id", F.col("evidence.source_url").alias("source_url"), F.col("evidence.source_type").alias("source_type"))
+
+    @cached_property
+    def latest(self):
+        return self.b.intelligence.filter("enrichment IS NOT NULL").select("job_id", "enrichment.*")
+
+    @cached_property
+    def concepts(self):
+        return stage(G.keyed_concepts(G.concept_links(self.b.jobs, self.evidence, self.latest)), "graph-concepts")
+
+    @cached_property
+    def themes(self):
+        """One research theme per nation with suppliers."""
+        links = self.b.table("nation").join(self.b.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        return links.join(self.b.table("supplier"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("r_name").alias("organization"), F.concat(F.lit("Growth in "), F.col("n_name")).alias("priority")).agg(
+            F.lit("growth").alias("direction"), F.lit("hypothesis").alias("hypothesis"), F.min("n_name").alias("business_unit"), F.lit("12 months").alias("time_horizon"),
+            (F.count(F.lit(1)) / 100).alias("confidence"), F.min("s_suppkey").alias("position"),
+        )
+
+    @cached_property
+    def theme_evidence(self):
+        links = self.b.table("nation").join(self.b.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        return links.join(self.b.table("supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+            F.col("r_name").alias("organization"), F.concat(F.lit("Growth in "), F.col("n_name")).alias("priority"), F.concat(F.lit("EV_"), F.col("s_suppkey").cast("string")).alias("evidence_id"),
+            F.lit("https://news.example.com").alias("source_url"), F.lit("news").alias("source_type"), F.col("s_name").alias("statement"), F.lit("2026-01-01").alias("publication_date"), F.col("s_suppkey").alias("position"),
+        )
+
+    @cached_property
+    def nodes(self):
+        return stage(G.graph_nodes(self.b.jobs, self.evidence, self.concepts, self.b.hiring_signals, self.themes, self.theme_evidence), "graph-nodes")
+
+    @cached_property
+    def edges(self):
+        support = self.b.hiring_support.join(self.evidence.select("evidence_id"), "evidence_id", "left_semi")
+        return stage(G.graph_edges(self.b.jobs, self.evidence, self.concepts, self.b.hiring_signals, support, self.themes, self.theme_evidence), "graph-edges")
+
+
+_KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_')"
+_ORG = _KEY.format("organization")
+view("g_links", """
+SELECT organization, job_id, 'LOCATED_IN' AS edge_type, 'Location' AS node_type, 'location' AS prefix, location AS value, 'persisted_source' AS why, 1 AS position FROM b_rows
+UNION ALL SELECT organization, job_id, 'CLASSIFIED_AS', 'Capability', 'capability', capability, 'persisted_source', 2 FROM b_rows JOIN b_caps USING (job_id)
+UNION ALL SELECT organization, job_id, 'USES_TECHNOLOGY', 'Technology', 'technology', technology, 'persisted_source_keyword_match', 3 FROM b_rows JOIN b_techs USING (job_id)
+UNION ALL SELECT r.organization, r.job_id, 'BELONGS_TO', 'BusinessUnit', 'business_unit', l.business_unit, 'latest_persisted_enrichment', 4 FROM b_rows r JOIN b_latest l USING (job_id) WHERE l.business_unit <> ''
+UNION ALL SELECT r.organization, r.job_id, 'CLASSIFIED_AS', 'Capability', 'capability', l.capability, 'latest_persisted_enrichment', 5 FROM b_rows r JOIN b_latest l USING (job_id)
+UNION ALL SELECT r.organization, r.job_id, 'USES_TECHNOLOGY', 'Technology', 'technology', l.t1, 'latest_persisted_enrichment', 6 FROM b_rows r JOIN b_latest l USING (job_id)
+UNION ALL SELECT r.organization, r.job_id, 'USES_TECHNOLOGY', 'Technology', 'technology', l.t2, 'latest_persisted_enrichment', 7 FROM b_rows r JOIN b_latest l USING (job_id)
+UNION ALL SELECT r.organization, r.job_id, 'HAS_SENIORITY', 'Seniority', 'seniority', l.seniority_level, 'latest_persisted_enrichment', 8 FROM b_rows r JOIN b_latest l USING (job_id) WHERE l.seniority_level <> 'unknown'
+""")
+view("g_concepts", f"""
+SELECT organization, job_id, edge_type, prefix || ':' || {_ORG} || ':' || {_KEY.format('value')} AS node_id, arg_max(node_type, position) AS node_type, arg_max(value, position) AS value, arg_max(why, position) AS why
+FROM g_links WHERE trim(value) <> '' GROUP BY ALL
+""")
+view("g_themes", f"""
+SELECT r_name AS organization, 'Growth in ' || n_name AS priority, n_name AS unit, count(*) AS n, 'strategic_theme:' || {_KEY.format('r_name')} || ':' || {_KEY.format("'Growth in ' || n_name")} AS node_id
+FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name, n_name
+""")
+view("g_nodes", f"""
+SELECT DISTINCT organization, 'org:' || {_ORG} AS node_id, 'Organization' AS node_type FROM b_jobs
+UNION ALL SELECT organization, 'job:' || job_id, 'Job' FROM b_rows UNION ALL SELECT organization, 'evidence:' || evidence_id, 'Evidence' FROM b_rows
+UNION ALL SELECT DISTINCT organization, node_id, node_type FROM g_concepts
+UNION ALL SELECT organization, 'hiring_signal:' || signal_id, 'HiringSignal' FROM b_hsig UNION ALL SELECT organization, node_id, 'StrategicTheme' FROM g_themes
+UNION ALL SELECT r_name, 'strategy_evidence:' || {_KEY.format('r_name')} || ':EV_' || s_suppkey, 'StrategyEvidence' FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey
+""")
+view("g_edges", f"""
+SELECT organization, 'org:' || {_ORG} AS src, 'job:' || job_id AS dst, 'HAS_JOB' AS edge_type, 'persisted_source' AS why FROM b_rows
+UNION ALL SELECT organization, 'job:' || job_id, 'evidence:' || evidence_id, 'SUPPORTED_BY', 'persisted_source' FROM b_rows
+UNION ALL SELECT organization, 'job:' || job_id, node_id, edge_type, why FROM g_concepts
+UNION ALL SELECT organization, 'org:' || {_ORG}, 'hiring_signal:' || signal_id, 'HAS_HIRING_SIGNAL', 'deterministic_hiring_signal' FROM b_hsig
+UNION ALL SELECT organization, 'hiring_signal:' || signal_id, 'capability:' || {_ORG} || ':' || {_KEY.format('value')}, 'ABOUT_CAPABILITY', 'deterministic_hiring_signal' FROM b_hsig WHERE signal_type = 'capability_hiring_concentration'
+UNION ALL SELECT DISTINCT organization, 'hiring_signal:' || signal_id, 'evidence:' || evidence_id, 'SUPPORTED_BY', 'deterministic_hiring_signal' FROM b_hsup WHERE evidence_id IN (SELECT evidence_id FROM b_rows)
+UNION ALL SELECT organization, 'org:' || {_ORG}, node_id, 'HAS_STRATEGIC_THEME', 'cached_strategy_research' FROM g_themes
+UNION ALL SELECT organization, node_id, 'business_unit:' || {_ORG} || ':' || {_KEY.format('unit')}, 'ABOUT_BUSINESS_UNIT', 'cached_strategy_research' FROM g_themes
+  WHERE 'business_unit:' || {_ORG} || ':' || {_KEY.format('unit')} IN (SELECT node_id FROM g_concepts)
+UNION ALL SELECT r_name, 'strategic_theme:' || {_KEY.format('r_name')} || ':' || {_KEY.format("'Growth in ' || n_name")}, 'strategy_evidence:' || {_KEY.format('r_name')} || ':EV_' || s_suppkey, 'SUPPORTED_BY', 'cached_strategy_research'
+  FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey
+""")
+
+
+@query("grf1_nodes", "SELECT * FROM g_nodes")
+def _(b):
+    return _Graph.of(b).nodes.select("organization", "node_id", "node_type")
+
+
+@query("grf2_edges", "SELECT * FROM g_edges")
+def _(b):
+    return _Graph.of(b).edges.select("organization", "src", "dst", "edge_type", F.col("derivation_type").alias("why"))
+
+
+@query("grf2_edge_provenance", """
+SELECT g.job_id, g.node_id, CASE WHEN why = 'latest_persisted_enrichment' THEN l.provider ELSE '' END AS enrichment_provider, g.job_id AS source_job_id, 'E' || g.job_id AS evidence_id FROM g_concepts g LEFT JOIN b_latest l USING (job_id) WHERE edge_type = 'CLASSIFIED_AS'""")
+def _(b):
+    e = _Graph.of(b).edges.filter("edge_type = 'CLASSIFIED_AS'")
+    return e.select(F.col("provenance.job_id").alias("job_id"), F.col("dst").alias("node_id"), F.coalesce("provenance.enrichment_provider", F.lit("")).alias("enrichment_provider"), F.col("provenance.source_job_id").alias("source_job_id"), F.col("provenance.evidence_id").alias("evidence_id"))
+
+
+@query("grf3_signal_edges", "SELECT src, dst, edge_type FROM g_edges WHERE starts_with(src, 'hiring_signal:') OR starts_with(dst, 'hiring_signal:')")
+def _(b):
+    return _Graph.of(b).edges.filter(F.col("src").startswith("hiring_signal:") | F.col("dst").startswith("hiring_signal:")).select("src", "dst", "edge_type")
+
+
+@query("grf4_theme_edges", "SELECT src, dst, edge_type FROM g_edges WHERE starts_with(src, 'strategic_theme:') OR starts_with(dst, 'strategic_theme:')")
+def _(b):
+    return _Graph.of(b).edges.filter(F.col("src").startswith("strategic_theme:") | F.col("dst").startswith("strategic_theme:")).select("src", "dst", "edge_type")
+
+
+@query("grf5_concepts", "SELECT DISTINCT organization, value, lower(value) AS sort_key FROM (SELECT organization, node_id, max_by(value, (posted, job_id)) AS value FROM (SELECT g.*, j.posted_date AS posted FROM g_concepts g JOIN b_jobs j USING (job_id)) WHERE node_type = 'Technology' GROUP BY 1, 2)")
+def _(b):
+    return G.concepts_of(_Graph.of(b).nodes, "Technology")
+
+
+@query("grf6_jobs_of_capability", "SELECT DISTINCT organization, node_id, job_id FROM g_concepts WHERE node_type = 'Capability'")
+def _(b):
+    g = _Graph.of(b)
+    return G.jobs_of(g.edges, g.nodes, "Capability", "CLASSIFIED_AS").select("organization", "node_id", "job_id")
+
+
+@query("grf7_evidence_of_jobs", "SELECT organization, job_id, evidence_id FROM b_rows")
+def _(b):
+    return G.evidence_of_jobs(_Graph.of(b).edges)
+
+
+@query("grf7_evidence_of_themes", "SELECT n.organization, n.node_id, 'EV_' || s_suppkey AS evidence_id FROM g_themes n JOIN nation ON n_name = unit JOIN supplier ON s_nationkey = n_nationkey")
+def _(b):
+    return G.evidence_of_themes(_Graph.of(b).edges)
+
+
+@query("grf8_jobs_of_signals", "SELECT DISTINCT h.organization, h.signal_id, r.job_id FROM b_hsup h JOIN b_rows r USING (evidence_id)")
+def _(b):
+    return G.jobs_of_signals(_Graph.of(b).edges)
+
+
+@query("grf9_insights", """
+SELECT organization, node_type, value, job_count FROM (SELECT organization, node_type, value, count(*) AS job_count, row_number() OVER (PARTITION BY organization, node_type ORDER BY count(*) DESC, lower(value), value) AS n
+  FROM g_concepts WHERE node_type IN ('Capability', 'Technology') GROUP BY ALL) WHERE n <= 10""")
+def _(b):
+    g = _Graph.of(b)
+    return G.graph_insights(g.nodes, g.edges)
+
+
+@query("srt11_theme_insights", "SELECT organization, priority AS name, n AS evidence_count, round_even(n / 100, 4) AS confidence FROM g_themes")
+def _(b):
+    g = _Graph.of(b)
+    return G.theme_insights(g.nodes, g.edges).select("organization", "name", "evidence_count", F.bround("confidence", 4).alias("confidence"))
+
+
+@query("grf10_compact", f"""
+SELECT organization, node_type, {_KEY.format('value')} AS key, value, job_count, job_id FROM (SELECT organization, node_type, node_id, value, job_id, count(*) OVER (PARTITION BY node_id) AS job_count, row_number() OVER (PARTITION BY node_id ORDER BY job_id) AS n
+  FROM g_concepts WHERE node_type IN ('Capability', 'Technology', 'BusinessUnit')) WHERE n <= 10""")
+def _(b):
+    g = _Graph.of(b)
+    return G.graph_compact(g.nodes, g.edges)
+
+
+@query("grf10_signal_support", """
+SELECT organization, signal_id, job_id, job_count FROM (SELECT *, count(*) OVER (PARTITION BY signal_id) AS job_count, row_number() OVER (PARTITION BY signal_id ORDER BY job_id) AS n
+  FROM (SELECT DISTINCT h.organization, h.signal_id, r.job_id FROM b_hsup h JOIN b_rows r USING (evidence_id))) WHERE n <= 10""")
+def _(b):
+    return G.graph_signal_support(_Graph.of(b).edges)
+
+
+@query("grf11_checks", """
+SELECT organization, job_id AS subject, 'missing_evidence' AS violation FROM b_jobs WHERE evidence_id NOT IN (SELECT evidence_id FROM b_evidence)
+UNION ALL SELECT j.organization, j.job_id, 'enrichment_mismatch' FROM b_jobs j JOIN b_latest l USING (job_id) WHERE l.evidence_id <> j.evidence_id""")
+def _(b):
+    g = _Graph.of(b)
+    return G.graph_checks(g.b.jobs, g.evidence, g.latest)
+
+
+@query("agg29_graph_summary", """
+SELECT organization, 'node' AS kind, node_type AS type, count(*) AS "count" FROM g_nodes GROUP BY ALL UNION ALL SELECT organization, 'edge', edge_type, count(*) FROM g_edges GROUP BY ALL""")
+def _(b):
+    g = _Graph.of(b)
+    return G.graph_summary(g.nodes, g.edges).filter("count > 0")
+
+
+@query("agg30_coverage", """
+SELECT organization, n AS total_jobs, e AS enriched_jobs, c AS classified_jobs, round_even(e / n * 100, 4) AS enrichment_coverage_percentage, round_even(c / n * 100, 4) AS classification_coverage_percentage
+FROM (SELECT r.organization, count(*) AS n, count(l.job_id) AS e, count(*) FILTER (r.job_id IN (SELECT job_id FROM b_caps) OR l.job_id IS NOT NULL) AS c FROM b_rows r LEFT JOIN b_latest l USING (job_id) GROUP BY 1)""")
+def _(b):
+    g = _Graph.of(b)
+    return G.coverage(G.graph_totals(g.b.jobs, g.evidence, g.latest)).drop("limitations")
+
+
+@query("win10_last_edge_wins", "SELECT node_id, why, count(*) AS n FROM g_concepts WHERE edge_type = 'USES_TECHNOLOGY' GROUP BY ALL")
+def _(b):
+    return _Graph.of(b).concepts.filter("edge_type = 'USES_TECHNOLOGY'").groupBy("node_id", F.col("derivation_type").alias("why")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("snk8_graph_round_trip", "SELECT node_type, count(*) AS n FROM g_nodes WHERE organization = 'ASIA' GROUP BY 1")
+def _(b):
+    g = _Graph.of(b)
+    path = scratch_path(b.spark, "graph")
+    S.load_or_build_graph(b.spark, path, lambda: (g.nodes, g.edges))
+    nodes, _ = S.read_graph(b.spark, path, "ASIA")
+    return nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))

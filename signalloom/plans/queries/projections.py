@@ -145,11 +145,11 @@ project(
        CASE WHEN length(flat) <= 280 THEN flat ELSE substr(flat, 1, 277) || '...' END AS preview FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents)""",
 )
 _NO_SCRIPT = "regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis')"
-_VISIBLE = f"trim(regexp_replace(replace(replace(replace(regexp_replace({_NO_SCRIPT}, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_VISIBLE = f"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace({_NO_SCRIPT}, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))"""
 project(
     "prj24_html_to_text", "pages", lambda: ["page_id", H.html_to_text("html").alias("text")],
-    """SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '"</p>"', '"~P~"'), '<!--.*?-->', '', 'gs'), '<!DOCTYPE[^>]*>', '', 'g'),
-       '</?(?:br|div|li|ol|p|ul|h1|h2|h3|h4)(?:\\s[^>]*)?/?>', chr(10), 'gi'), '<[^>]*>', '', 'g'), '~P~', '</p>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \\t\\f\\v]+', ' ', 'g'), '\\n\\s*\\n+', chr(10), 'g'), e' \\n') AS text FROM pages""",
+    """SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '"</p>"', '"~P~"'), '<!--.*?-->', '', 'gs'), '<!DOCTYPE[^>]*>', '', 'g'),
+       '</?(?:br|div|li|ol|p|ul|h1|h2|h3|h4)(?:\\s[^>]*)?/?>', chr(10), 'gi'), '<[^>]*>', '', 'g'), '~P~', '</p>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\f\\v]+', ' ', 'g'), '\\n\\s*\\n+', chr(10), 'g'), e' \\n') AS text FROM pages""",
 )
 project("prj25_visible_text", "pages", lambda: ["page_id", H.visible_text("html").alias("text")], f"SELECT page_id, {_VISIBLE} AS text FROM pages")
 
