@@ -232,8 +232,8 @@ def jobs_of_signals(edges: DataFrame) -> DataFrame:
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Node and edge counts by type, zero where a type is absent: ``(organization, kind, type, count)``."""
     def counted(frame, kind, column, types):
-        wide = frame.groupBy("organization").agg(*[F.count_if(F.col(column) == t).alias(t) for t in types])
-        return wide.select("organization", F.lit(kind).alias("kind"), F.explode(F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[F.col(t) for t in types]))).alias("type", "count"))
+        wide = frame.groupBy("organization").agg(*[F.count_if(F.col(column) == t).alias(f"_{t}") for t in types])
+        return wide.select("organization", F.lit(kind).alias("kind"), F.explode(F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[F.col(f"_{t}") for t in types]))).alias("type", "count"))
 
     return counted(nodes, "node", "node_type", NODE_TYPES).unionByName(counted(edges, "edge", "edge_type", EDGE_TYPES))
 

@@ -159,8 +159,8 @@ def _(b):
 
 
 @query("grf9_insights", """
-SELECT organization, node_type, value, job_count FROM (SELECT organization, node_type, value, count(*) AS job_count, row_number() OVER (PARTITION BY organization, node_type ORDER BY count(*) DESC, lower(value), value) AS n
-  FROM g_concepts WHERE node_type IN ('Capability', 'Technology') GROUP BY ALL) WHERE n <= 10""")
+SELECT organization, node_type, value, job_count FROM (SELECT *, row_number() OVER (PARTITION BY organization, node_type ORDER BY job_count DESC, lower(value), value) AS n
+  FROM (SELECT organization, node_type, value, count(*) AS job_count FROM g_concepts WHERE node_type IN ('Capability', 'Technology') GROUP BY ALL)) WHERE n <= 10""")
 def _(b):
     g = _Graph.of(b)
     return G.graph_insights(g.nodes, g.edges)

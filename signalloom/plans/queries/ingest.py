@@ -1 +1,449 @@
-"""Placeholder."""
+"""Sources, sinks, snapshot signals, audits, planning and streams."""
+
+from pyspark.sql import functions as F
+
+from signalloom.functions import ids as I, text as X
+from signalloom.operators import ordering as O, runs as R, snapshot as P
+from signalloom.plans.registry import day, query, view
+from signalloom.session import scratch_path
+from signalloom.sources import snapshots as S, tables
+from signalloom.streaming import events as V
+
+# --- snapshot files -------------------------------------------------------------------------
+
+
+def _snapshot_rows(b):
+    """Orders as snapshot rows: several orders share a job id or an address."""
+    orders = b.table("orders").join(b.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(b.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(b.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("o_orderkey")
+    return orders.select(
+        F.col("r_name").alias("company"), F.concat(F.lit("J"), F.floor(key / 3).cast("string")).alias("source_job_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("role_family"),
+        F.col("n_name").alias("city"), F.lit("").alias("state"), F.lit("US").alias("country"), F.when(F.col("o_orderstatus") == "F", F.lit("Full Time")).otherwise(F.lit("Contract")).alias("employment_type"),
+        F.concat(F.lit("Role, with \"quotes\"\nand lines "), F.col("o_orderpriority")).alias("description_text"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("source_posted_at"),
+        F.concat(F.lit("HTTPS://Jobs.example.com/p/"), F.floor((key + 1) / 2).cast("string"), F.when(key % 2 == 0, F.lit("/?ref=1")).otherwise(F.lit(""))).alias("posting_url"), key.alias("n"),
+    )
+
+
+def _csv(b):
+    path = scratch_path(b.spark, "snapshot")
+    _snapshot_rows(b).repartitionByRange(4, "n").sortWithinPartitions("n").withColumn("n", F.col("n").cast("string")).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+_RAW = "SELECT r_name AS company, 'J' || (o_orderkey // 3) AS source_job_id, 'https://jobs.example.com/p/' || ((o_orderkey + 1) // 2) AS url, o_orderkey AS n, c_name AS title, o_orderpriority, o_orderdate, o_orderstatus, n_name AS city, c_mktsegment AS role_family FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+view("s_raw", _RAW)
+
+
+@query("src1_read_snapshot", "SELECT company, source_job_id, title, CAST(n AS VARCHAR) AS n, length('Role, with \"quotes\" and lines ' || o_orderpriority) AS description_chars FROM s_raw")
+def _(b):
+    df = S.read_snapshot(b.spark, _csv(b))
+    return df.select("company", "source_job_id", "title", "n", F.length("description_text").alias("description_chars"))
+
+
+@query("src2_row_origin", "SELECT count(*) AS rows_read, count(DISTINCT o_orderkey) AS positions FROM orders")
+def _(b):
+    return S.read_snapshot(b.spark, _csv(b)).agg(F.count(F.lit(1)).alias("rows_read"), F.count_distinct("arrival").alias("positions"))
+
+
+@query("src3_column_aliases", "SELECT CAST(n AS VARCHAR) AS n, CASE WHEN n % 2 = 0 THEN title ELSE role_family END AS description FROM s_raw")
+def _(b):
+    raw = _snapshot_rows(b).select(F.col("n").cast("string").alias("n"), F.when(F.col("n") % 2 == 0, F.col("title")).alias("description"), F.col("role_family").alias("description_text"))
+    return S.coalesce_aliases(raw, {"description": ["description", "description_text", "absent"]}).select("n", "description")
+
+
+def _contexts(b):
+    return b.table("region").filter("r_name <> 'AFRICA'").select(
+        F.upper(X.slug("r_name")).alias("company_id"), F.col("r_name").alias("canonical_name"), F.array(F.lower("r_name")).alias("aliases"), F.lit(None).cast("array<string>").alias("allowed_subsidiaries"), F.array(F.lit("Nobody")).alias("excluded_entities"))
+
+
+@query("flt7_company_scope", "SELECT replace(company, ' ', '_') AS company_id, count(*) AS n FROM s_raw WHERE company <> 'AFRICA' GROUP BY 1")
+def _(b):
+    return S.filter_company(_snapshot_rows(b), _contexts(b)).groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The sequential first-wins rule has no plain SQL form; tests compare it with a row-by-row loop.
+@query("win3_dedupe_either")
+def _(b):
+    rows = _snapshot_rows(b).withColumn("address", X.canonical_url("posting_url"))
+    keyed = rows.withColumns({"k1": F.concat_ws("|", "company", "source_job_id"), "k2": F.concat_ws("|", "company", "address")})
+    return O.dedupe_either(keyed, "k1", "k2", "n").select("company", "source_job_id", "address", "n")
+
+
+@query("agg25_ingest_diagnostics")
+def _(b):
+    _, diagnostics = S.load_snapshot(_snapshot_rows(b), _contexts(b), order="n")
+    return diagnostics
+
+
+@query("import_snapshot_rows", "SELECT source_job_id, role_family AS capability, strftime(o_orderdate, '%Y-%m-%d') AS posted_date, CASE WHEN o_orderstatus = 'F' THEN 'full_time' ELSE 'contract' END AS employment_type, city AS location, 'csv_import:' || replace(lower(company), ' ', '_') || ':' || source_job_id AS raw_reference FROM s_raw")
+def _(b):
+    raw = _snapshot_rows(b).withColumns({c: F.lit(None).cast("string") for c in ("qualifications_text", "responsibilities_text", "first_seen_at", "workplace_type")})
+    good, _ = S.split_quarantine(S.import_rows(raw.withColumn("company", F.replace("company", F.lit(" "), F.lit("_"))), "2026-08-31"))
+    return good.select("source_job_id", F.col("capability_classifications")[0].alias("capability"), day("posted_date"), "employment_type", "location", "raw_reference")
+
+
+def _payloads(b):
+    key = F.col("o_orderkey")
+    info = F.struct(
+        F.when(key % 10 != 0, F.col("c_name")).alias("title"), F.concat(F.lit("<p>Work &amp; grow</p><div>"), F.col("c_mktsegment"), F.lit("</div>")).alias("jobDescription"), F.col("n_name").alias("location"),
+        F.array(F.col("n_name"), F.lit("Remote ")).alias("additionalLocations"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("startDate"), F.lit("Full time").alias("timeType"),
+        F.when(key % 7 != 0, key.cast("string")).alias("jobReqId"), F.concat(F.lit("https://x.example.com/"), key.cast("string")).alias("externalUrl"), F.struct(F.lit("India").alias("descriptor"), F.lit("in").alias("alpha2Code")).alias("country"),
+        F.struct(F.struct(F.when(key % 3 == 0, F.lit("GBR")).alias("alpha2Code")).alias("country")).alias("jobRequisitionLocation"),
+    )
+    rows = b.table("orders").join(b.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(b.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    shaped = rows.select(
+        F.struct(F.lit("fallback title").alias("title"), F.lit("/p").alias("externalPath"), F.array(F.lit("Posting End Date: 2030-01-31")).alias("bulletFields")).alias("search_summary"),
+        F.struct(info.alias("jobPostingInfo"), F.struct(F.lit("Acme").alias("name")).alias("hiringOrganization")).alias("job_detail"),
+        (key % 100).alias("page"), (key % 5).cast("string").alias("run_id"),
+    )
+    path = scratch_path(b.spark, "payloads")
+    shaped.write.json(path)
+    return S.normalize_payloads(S.read_payloads(b.spark, path, "page int, run_id string"), "Acme", "acme-feed-v1", "acme:")
+
+
+@query("src4_nested_payloads", """
+SELECT coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey AS VARCHAR) END, '') AS source_job_id, CASE WHEN o_orderkey % 10 <> 0 THEN c_name ELSE 'fallback title' END AS title, 'Work & grow' || chr(10) || c_mktsegment AS description,
+  n_name || ' / Remote' AS location, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'IN' END AS country, '2030-01-31' AS closing_date, concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'missing_requisition_id' END, CASE WHEN o_orderkey % 3 = 0 THEN 'missing_country' END) AS codes
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def _(b):
+    p = _payloads(b)
+    return p.select(F.coalesce("source_job_id", F.lit("")).alias("source_job_id"), "title", "description", "location", F.coalesce("country", F.lit("")).alias("country"), day("closing_date"), F.array_join("reject_codes", ",").alias("codes"))
+
+
+_BAD = "(o_orderkey % 7 = 0 OR o_orderkey % 3 = 0)"
+
+
+@query("agg26_run_audit", f"""
+SELECT CAST(o_orderkey % 5 AS VARCHAR) AS run_id, count(DISTINCT o_orderkey % 100) AS pages_attempted, count(*) AS records_encountered, count(*) FILTER (NOT {_BAD}) AS records_collected, count(*) FILTER ({_BAD}) AS records_skipped, count(*) FILTER ({_BAD}) AS issue_count FROM orders GROUP BY 1""")
+def _(b):
+    return R.run_audit(_payloads(b))
+
+
+@query("agg26_audit_violations", "SELECT run_id FROM b_runs WHERE records_encountered <> records_collected + records_skipped OR completed_at < started_at")
+def _(b):
+    return R.audit_violations(b.runs).select("run_id")
+
+
+@query("agg27_run_status", """
+SELECT run_id, CASE WHEN records_skipped > 3 AND records_collected = 0 THEN 'failed' WHEN pages_attempted % 2 = 0 AND records_skipped = 0 THEN 'completed' WHEN records_skipped > 0 OR pages_attempted % 2 = 1 THEN 'partial' ELSE 'completed' END AS resolved FROM b_runs""")
+def _(b):
+    stopped = F.col("pages_attempted") % 2 == 1
+    return b.runs.select("run_id", R.run_status(F.col("records_collected"), F.col("records_skipped"), ~stopped, F.col("records_skipped") > 3, stopped).alias("resolved"))
+
+
+@query("src5_page_cache", """
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'failed' ELSE 'cached' END AS status, CASE WHEN page_id % 4 = 0 THEN 0 ELSE length(html) END AS chars FROM pages""")
+def _(b):
+    pages = b.table("pages")
+    path = scratch_path(b.spark, "page-cache")
+    pages.select(
+        F.lit("completed").alias("status"), F.col("url").alias("source_url"), F.col("html").alias("text"),
+        F.struct(F.struct(F.when(F.col("page_id") % 4 == 0, F.lit("Other Corp")).when(F.col("page_id") % 4 == 1, F.lit("ACME, Inc.")).alias("name")).alias("hiringOrganization")).alias("structured_data"),
+    ).write.json(path)
+    contexts = b.spark.createDataFrame([("ACME", "Acme", ["acme inc"], [], [])], "company_id string, canonical_name string, aliases array<string>, allowed_subsidiaries array<string>, excluded_entities array<string>")
+    jobs = pages.select("page_id", F.col("url").alias("posting_url"), F.lit("ACME").alias("company_id"))
+    cache = b.spark.read.schema(S.PAGE_SCHEMA).json(path).withColumns({"url_key": I.hash_key("source_url"), "status": F.lit("cached")})
+    checked = S.validate_page_company(S.attach_pages(jobs, cache), contexts)
+    return checked.select("page_id", F.col("page_status").alias("status"), F.coalesce(F.length("page_text"), F.lit(0)).alias("chars"))
+
+
+@query("flt8_page_company", "SELECT page_id, page_id % 4 = 0 AS is_foreign FROM pages")
+def _(b):
+    pages = b.table("pages").select("page_id", F.lit("ACME").alias("company_id"), F.when(F.col("page_id") % 4 == 0, F.lit("Other Corp")).when(F.col("page_id") % 4 == 1, F.lit("acme")).alias("named"), F.col("html").alias("page_text"), F.lit("cached").alias("page_status"), F.lit(None).cast("string").alias("page_warning"))
+    contexts = b.spark.createDataFrame([("ACME", "Acme")], "company_id string, canonical_name string").withColumns({c: F.lit(None).cast("array<string>") for c in ("aliases", "allowed_subsidiaries", "excluded_entities")})
+    return S.validate_page_company(pages, contexts, "named").select("page_id", F.col("page_text").isNull().alias("is_foreign"))
+
+
+# --- upserts --------------------------------------------------------------------------------
+
+
+@query("snk1_upsert_evidence", """
+SELECT coalesce(u.evidence_id, e.evidence_id) AS evidence_id, coalesce(u.title, e.source_title) AS source_title FROM b_evidence e FULL JOIN (SELECT 'E' || o_orderkey AS evidence_id, 'new ' || o_orderkey AS title FROM orders WHERE o_orderkey % 10 = 0) u USING (evidence_id)""")
+def _(b):
+    updates = b.table("orders").filter("o_orderkey % 10 = 0").select(F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("evidence_id"), F.concat(F.lit("new "), F.col("o_orderkey").cast("string")).alias("source_title"))
+    return tables.upsert_evidence(b.evidence.select("evidence_id", "source_title"), updates)
+
+
+@query("snk2_upsert_jobs", """
+SELECT organization, j.job_id AS source_job_id, j.job_id, CASE WHEN CAST(j.job_id AS INT) % 4 = 0 THEN 'F' || j.job_id ELSE j.evidence_id END AS evidence_id FROM b_jobs j
+UNION ALL SELECT 'NEW', 'N' || n_nationkey, 'fresh-' || n_nationkey, 'FN' || n_nationkey FROM nation""")
+def _(b):
+    stored = b.postings.select("organization", "source_job_id", "job_id", "evidence_id")
+    changed = stored.filter("cast(job_id AS int) % 4 = 0").select("organization", "source_job_id", F.concat(F.lit("other-"), "job_id").alias("job_id"), F.concat(F.lit("F"), "job_id").alias("evidence_id"), F.lit(2).alias("position"))
+    earlier = changed.withColumns({"evidence_id": F.lit("lost"), "position": F.lit(1)})
+    name = F.col("n_nationkey").cast("string")
+    fresh = b.table("nation").select(F.lit("NEW").alias("organization"), F.concat(F.lit("N"), name).alias("source_job_id"), F.concat(F.lit("fresh-"), name).alias("job_id"), F.concat(F.lit("FN"), name).alias("evidence_id"), F.lit(1).alias("position"))
+    return tables.upsert_jobs(stored, changed.unionByName(earlier).unionByName(fresh), [F.col("position")])
+
+
+@query("snk3_upsert_enrichments", "SELECT job_id, evidence_id, provider, model, prompt_schema_version, CASE WHEN provider = 'R' THEN 0.99 ELSE confidence END::DOUBLE AS confidence FROM b_enr")
+def _(b):
+    stored = b.enrichments.select(*tables.ENRICHMENT_KEY, "confidence")
+    return tables.upsert_enrichments(stored, stored.filter("provider = 'R'").withColumn("confidence", F.lit(0.99)))
+
+
+@query("snk4_upsert_runs", "SELECT run_id, CASE WHEN records_skipped > 2 THEN 'rerun' ELSE status END AS status FROM b_runs")
+def _(b):
+    stored = b.runs.select("run_id", "status", "records_skipped")
+    return tables.upsert_runs(stored, stored.filter("records_skipped > 2").withColumn("status", F.lit("rerun"))).select("run_id", "status")
+
+
+def _research(b):
+    rows = b.table("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.max("l_shipdate").alias("created_at"), F.count(F.lit(1)).alias("n"))
+    supplier = b.table("supplier").join(b.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(b.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.col("r_name").alias("organization"), F.col("s_name").alias("question_key"), F.col("l_returnflag").alias("time_horizon"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("v1").alias("agent_version"), "created_at", "n")
+
+
+view("s_research", "SELECT r_name AS organization, s_name AS question_key, l_returnflag AS time_horizon, max(l_shipdate) AS created_at, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+
+
+@query("snk5_upsert_research", "SELECT organization, question_key, time_horizon, CASE WHEN time_horizon = 'A' THEN -1 ELSE n END AS n FROM s_research")
+def _(b):
+    stored = _research(b)
+    updates = stored.filter("time_horizon = 'A'").withColumn("n", F.lit(-1).cast("long"))
+    return tables.upsert_research(stored, updates).select("organization", "question_key", "time_horizon", "n")
+
+
+@query("win2_latest_research", "SELECT organization, question_key, time_horizon FROM (SELECT *, row_number() OVER (PARTITION BY organization ORDER BY created_at DESC, question_key, time_horizon) AS rn FROM s_research) WHERE rn = 1")
+def _(b):
+    return O.latest_per(_research(b), ["organization"], [F.desc("created_at"), F.col("question_key"), F.col("time_horizon")]).select("organization", "question_key", "time_horizon")
+
+
+@query("snk6_save_batch", "SELECT organization, count(*) AS jobs, (SELECT count(*) FROM orders) AS saved FROM b_jobs GROUP BY 1")
+def _(b):
+    jobs = b.postings.withColumn("position", F.col("job_id").cast("long"))
+    evidence = jobs.select("position", "evidence_id", "source_url")
+    path = scratch_path(b.spark, "batch")
+    saved = tables.save_batch(b.spark, jobs, evidence, path, "v1")
+    stored = tables.read_current(b.spark, f"{path}/jobs")
+    return stored.groupBy("organization").agg(F.count(F.lit(1)).alias("jobs")).withColumn("saved", F.lit(saved).cast("long"))
+
+
+@query("snk7_check_enrichments", """
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN e.evidence_id NOT IN (SELECT evidence_id FROM b_evidence) OR e.job_id NOT IN (SELECT job_id FROM b_jobs) THEN 'enrichment source job and evidence must exist' ELSE 'none' END AS reason FROM b_enr e) GROUP BY 1""")
+def _(b):
+    checked = tables.check_enrichments(b.enrichments, b.postings, b.evidence)
+    return checked.groupBy(F.coalesce("reject_reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("snk9_report_documents", "SELECT organization, total_jobs FROM b_totals")
+def _(b):
+    path = scratch_path(b.spark, "report")
+    tables.write_report(b.postings.groupBy("organization").agg(F.count(F.lit(1)).alias("total_jobs")), path)
+    return b.spark.read.schema("organization string, total_jobs long").json(path)
+
+
+# --- enrichment planning --------------------------------------------------------------------
+
+_CURRENT = "SELECT job_id FROM b_jobs WHERE CAST(job_id AS INT) % 6 = 0"
+
+
+def _current(b):
+    return b.postings.filter("cast(job_id AS int) % 6 = 0").select("job_id", "evidence_id", I.content_hash().alias("source_content_hash"))
+
+
+@query("joi5_eligible", f"SELECT job_id FROM b_rows WHERE job_id NOT IN ({_CURRENT})")
+def _(b):
+    return R.eligible_for_enrichment(b.postings, b.evidence, _current(b)).select("job_id")
+
+
+view("s_plan", f"""
+SELECT organization, job_id, posted_date, CASE WHEN evidence_id NOT IN (SELECT evidence_id FROM b_evidence) THEN 'skipped_no_evidence' WHEN job_id IN ({_CURRENT}) THEN 'skipped_existing' END AS skip FROM b_jobs
+""")
+view("s_planned", "SELECT *, coalesce(skip, CASE WHEN row_number() OVER (PARTITION BY organization, skip IS NULL ORDER BY posted_date, job_id) <= 25 THEN 'planned' ELSE 'deferred_limit' END) AS status FROM s_plan")
+
+
+@query("agg28_enrichment_plan", """
+SELECT organization, count(*) AS discovered_jobs, count(*) FILTER (skip IS NULL) AS eligible_jobs, count(*) FILTER (status = 'planned') AS planned_jobs, count(*) FILTER (status = 'skipped_existing') AS existing_enrichment_skips,
+  count(*) FILTER (status = 'skipped_no_evidence') AS no_evidence_skips, count(*) FILTER (status = 'deferred_limit') AS deferred_jobs FROM s_planned GROUP BY 1""")
+def _(b):
+    counts = R.plan_counts(R.enrichment_plan(b.postings, b.evidence, _current(b), 25))
+    return counts.select("organization", "discovered_jobs", "eligible_jobs", "planned_jobs", "existing_enrichment_skips", "no_evidence_skips", "deferred_jobs")
+
+
+@query("win7_first_eligible", "SELECT organization, job_id FROM s_planned WHERE status = 'planned'")
+def _(b):
+    return R.enrichment_plan(b.postings, b.evidence, _current(b), 25).filter("status = 'planned'").select("organization", "job_id")
+
+
+@query("agg28_plan_violations", "SELECT organization FROM b_jobs WHERE false")
+def _(b):
+    return R.plan_violations(R.plan_counts(R.enrichment_plan(b.postings, b.evidence, _current(b), 25))).select("organization")
+
+
+# --- snapshot signals -----------------------------------------------------------------------
+
+
+def _current_jobs(b):
+    """Jobs of the last year as classified snapshot rows."""
+    rows = b.jobs.filter("posted_date >= date'2000-06-01'")
+    return rows.select(
+        F.col("organization").alias("company_id"), F.col("job_id").alias("source_job_id"), "title", "business_unit", F.lit(None).cast("string").alias("department"),
+        F.coalesce(F.try_element_at("capability_classifications", F.lit(1)), F.lit("Other")).alias("capability"), F.col("technologies"), F.split("title", "#").alias("skills"),
+        F.when(F.col("is_leadership"), F.lit("Director")).otherwise(F.lit("Mid")).alias("seniority"),
+        F.when(F.col("employment_type") == "F", F.lit("completed")).when(F.col("employment_type") == "O", F.lit("failed")).otherwise(F.lit("skipped")).alias("extraction_status"),
+        F.when(F.col("country") == "US", F.lit("llm")).otherwise(F.lit("heuristic")).alias("classification_source"), F.when(F.col("country") == "US", 0.75).otherwise(0.5).alias("classification_confidence"),
+        F.lit("x").alias("city"), F.lit("").alias("state"), F.col("country"), F.col("posted_date").cast("string").alias("source_posted_at"), F.lit(None).cast("string").alias("structured_posted"), F.col("source_url").alias("posting_url"),
+    )
+
+
+def _history(b):
+    past = b.jobs.filter("posted_date < date'2000-06-01' AND posted_date >= date'1999-06-01' AND organization <> 'ASIA'")
+    return P.historical_counts(past.select(F.col("organization").alias("company_id"), F.coalesce(F.try_element_at("capability_classifications", F.lit(1)), F.lit("Other")).alias("capability")))
+
+
+view("p_all", """
+SELECT organization AS company_id, job_id, title, business_unit, coalesce((SELECT min(capability) FROM b_caps c WHERE c.job_id = j.job_id), 'Other') AS capability, is_leadership, employment_type, country, posted_date, source_url FROM b_jobs j
+""")
+view("p_cur", "SELECT * FROM p_all WHERE posted_date >= DATE '2000-06-01'")
+view("p_hist", "SELECT company_id, capability, count(*) AS prev FROM p_all WHERE posted_date < DATE '2000-06-01' AND posted_date >= DATE '1999-06-01' AND company_id <> 'ASIA' GROUP BY ALL")
+view("p_sig", """
+SELECT g.*, CASE WHEN company_id = 'ASIA' THEN NULL ELSE coalesce(prev, 0) END AS previous, t.total FROM (
+  SELECT company_id, business_unit, capability, count(*) AS n, count(*) FILTER (is_leadership) AS senior, avg(CASE WHEN country = 'US' THEN 0.75 ELSE 0.5 END::DOUBLE) AS conf, avg(CASE WHEN employment_type = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE) AS done, avg(CASE WHEN country = 'US' THEN 1.0 ELSE 0.0 END::DOUBLE) AS llm
+  FROM p_cur GROUP BY ALL) g LEFT JOIN p_hist USING (company_id, capability) JOIN (SELECT company_id, count(*) AS total FROM p_cur GROUP BY 1) t USING (company_id)
+""")
+
+
+@query("agg22_snapshot_signals", """
+SELECT company_id, coalesce(business_unit, '') AS business_unit, capability, n AS job_count, coalesce(previous, -1) AS previous_job_count, senior AS senior_role_count,
+  round_even(least(1.0, 0.55 * (n / total) + 0.30 * least(n / 20, 1.0) + 0.15 * least(senior / 3, 1.0)), 2) AS strength,
+  round_even(least(1.0, round_even(conf * 0.4, 3) + round_even(done * 0.25, 3) + round_even(llm * 0.15, 3) + round_even(least(n / 10, 1.0) * 0.2, 3)), 2) AS confidence FROM p_sig""")
+def _(b):
+    s = P.snapshot_signals(_current_jobs(b), _history(b))
+    return s.select("company_id", F.coalesce("business_unit", F.lit("")).alias("business_unit"), "capability", "job_count", F.coalesce("previous_job_count", F.lit(-1)).alias("previous_job_count"), "senior_role_count", "strength", "confidence")
+
+
+@query("sig19_snapshot_direction", """
+SELECT company_id, coalesce(business_unit, '') AS business_unit, capability, CASE WHEN previous IS NULL THEN 'concentration' WHEN n - previous > greatest(1, round_even(previous * 0.1, 0)) THEN 'growth' WHEN n - previous < -greatest(1, round_even(previous * 0.1, 0)) THEN 'decline' ELSE 'stable' END AS direction,
+  CASE WHEN previous IS NULL THEN 'current active-job snapshot' ELSE 'current snapshot vs historical snapshot' END AS analysis_period FROM p_sig""")
+def _(b):
+    return P.snapshot_signals(_current_jobs(b), _history(b)).select("company_id", F.coalesce("business_unit", F.lit("")).alias("business_unit"), "capability", "direction", "analysis_period")
+
+
+@query("sig20_confidence_parts", """
+SELECT company_id, coalesce(business_unit, '') AS business_unit, capability, round_even(conf * 0.4, 3) AS confidence_classification, round_even(done * 0.25, 3) AS confidence_page_enrichment, round_even(llm * 0.15, 3) AS confidence_llm_coverage,
+  round_even(least(n / 10, 1.0) * 0.2, 3) AS confidence_sample_size FROM p_sig""")
+def _(b):
+    s = P.snapshot_signals(_current_jobs(b), _history(b))
+    return s.select("company_id", F.coalesce("business_unit", F.lit("")).alias("business_unit"), "capability", *[c for c in s.columns if c.startswith("confidence_")])
+
+
+@query("joi17_history_join", "SELECT company_id, capability, sum(n)::BIGINT AS now, max(coalesce(previous, -1)) AS before FROM p_sig GROUP BY ALL")
+def _(b):
+    s = P.snapshot_signals(_current_jobs(b), _history(b))
+    return s.groupBy("company_id", "capability").agg(F.sum("job_count").alias("now"), F.max(F.coalesce("previous_job_count", F.lit(-1))).alias("before"))
+
+
+@query("agg24_historical_counts", "SELECT company_id, capability, prev AS previous_job_count FROM p_hist")
+def _(b):
+    return _history(b)
+
+
+@query("agg23_top_technologies", """
+SELECT company_id, coalesce(business_unit, '') AS business_unit, capability, value, value_count, value_rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id, business_unit, capability ORDER BY value_count DESC, value) AS value_rank FROM (
+  SELECT company_id, business_unit, capability, technology AS value, count(*) AS value_count FROM p_cur JOIN b_techs USING (job_id) GROUP BY ALL)) WHERE value_rank <= 10""")
+def _(b):
+    t = P.top_values(_current_jobs(b), ["company_id", "business_unit", "capability"], "technologies", 10)
+    return t.select("company_id", F.coalesce("business_unit", F.lit("")).alias("business_unit"), "capability", "value", "value_count", "value_rank")
+
+
+@query("sig21_snapshot_warnings", """
+SELECT company_id, count(*) AS unique_jobs, count(*) FILTER (employment_type = 'F') AS enriched_jobs, count(*) FILTER (employment_type = 'O') AS failed_enrichments,
+  concat_ws(' ', CASE WHEN count(*) FILTER (employment_type = 'O') > 0 THEN count(*) FILTER (employment_type = 'O') || ' job pages were unavailable; CSV metadata was retained.' END, 'LLM classification was disabled; heuristic classification was used.',
+  CASE WHEN company_id = 'ASIA' THEN 'Only a current active-job snapshot was supplied; signals describe concentration, not growth.' END) AS warnings FROM p_cur GROUP BY 1""")
+def _(b):
+    w = P.snapshot_warnings(_current_jobs(b), True, False, _history(b))
+    return w.withColumn("warnings", F.array_join("warnings", " "))
+
+
+@query("sig28_snapshot_status", "SELECT r_name AS company_id, CASE WHEN r_name IN (SELECT company_id FROM p_cur WHERE country = 'US') THEN 'analyzed' ELSE 'insufficient_data' END AS status FROM region")
+def _(b):
+    companies = b.table("region").select(F.col("r_name").alias("company_id"))
+    return P.snapshot_status(companies, P.snapshot_signals(_current_jobs(b).filter("country = 'US'"))).select("company_id", "status")
+
+
+@query("win5_sequence_ids", """
+SELECT company_id, job_id AS source_job_id, printf('HIRE_EV_%05d', row_number() OVER (PARTITION BY company_id ORDER BY CAST(job_id AS BIGINT))) AS evidence_id, 'Open role: ' || title || '; capability: ' || capability AS statement FROM p_cur""")
+def _(b):
+    return P.snapshot_evidence(_current_jobs(b), [F.col("source_job_id").cast("long")]).select("company_id", "source_job_id", "evidence_id", "statement")
+
+
+@query("win4_select_sources", """
+SELECT source AS grp, page, position FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rnk, doc_id) AS position FROM (SELECT source, doc_id, doc_id % 7 AS page, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 3 ELSE 8 END AS rnk, row_number() OVER (PARTITION BY source, doc_id % 7 ORDER BY doc_id) AS f FROM documents) WHERE f = 1) WHERE position <= 5""")
+def _(b):
+    docs = b.table("documents").select(F.col("source").alias("grp"), "doc_id", (F.col("doc_id") % 7).alias("page"), F.when(F.col("lang") == "en", "quarterly_report").when(F.col("lang") == "de", "sec_filing").otherwise("news").alias("source_type"))
+    from signalloom.operators.research import source_rank
+
+    url = F.concat(F.lit("https://www.x.com/"), F.col("page").cast("string"), F.lit("/?a=1"))
+    return O.select_sources(docs, X.canonical_url(url, strip_www=True), source_rank("source_type"), "doc_id", "grp", 5).select("grp", "page", "position")
+
+
+@query("win8_strongest", "SELECT l_orderkey, p, q FROM (SELECT l_orderkey, l_partkey AS p, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1")
+def _(b):
+    return O.argmax_per(b.table("lineitem"), ["l_orderkey"], "l_quantity", [F.col("l_linenumber"), F.col("l_partkey")]).select("l_orderkey", F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"))
+
+
+# --- streams --------------------------------------------------------------------------------
+
+
+def _stream(b):
+    schema = b.table("events").schema
+    return V.file_stream(b.spark, b.folder, schema, pattern="events.parquet")
+
+
+def _zoned(stream):
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("str1_incremental_ingest", "SELECT event_type, count(*) AS n, round_even(sum(value), 2) AS total FROM events GROUP BY 1")
+def _(b):
+    target, checkpoint = scratch_path(b.spark, "ingest"), scratch_path(b.spark, "ingest-checkpoint")
+    for _ in range(2):  # the second run finds nothing new
+        V.ingest_available(_stream(b), target, checkpoint).awaitTermination()
+    return b.spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.bround(F.sum("value"), 2).alias("total"))
+
+
+@query("str2_stream_upsert", "SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def _(b):
+    table, checkpoint = scratch_path(b.spark, "upsert"), scratch_path(b.spark, "upsert-checkpoint")
+    order = [F.col("ts"), F.col("event_id")]
+    upsert = lambda stored, batch: tables.merge_upsert(stored, batch, ["user_id"], order=order)
+    first = lambda batch: O.latest_per(batch, ["user_id"], [c.desc() for c in order])
+    V.upsert_stream(_stream(b), table, checkpoint, upsert, first).awaitTermination()
+    return tables.read_current(b.spark, table).select("user_id", "event_type")
+
+
+def _run_to_table(b, frame, mode, label):
+    target, checkpoint = scratch_path(b.spark, label), scratch_path(b.spark, f"{label}-checkpoint")
+    # A batch without data lets the watermark close the windows that are complete.
+    frame.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
+    return b.spark.read.schema(frame.schema).parquet(target)
+
+
+@query("str3_weekly_trend", """
+SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS bucket_start, event_type, count(*) AS event_count FROM events WHERE date_trunc('week', ts) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+def _(b):
+    trend = V.weekly_trend(_zoned(_stream(b)), "ts", ["event_type"], watermark="1 day")
+    return _run_to_table(b, trend, "append", "trend").select(day("bucket_start"), "event_type", "event_count")
+
+
+@query("str3_daily_trend", """
+SELECT strftime(ts, '%Y-%m-%d') AS bucket_start, event_type, count(*) AS event_count FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+def _(b):
+    trend = V.daily_trend(_zoned(_stream(b)), "ts", ["event_type"])
+    return _run_to_table(b, trend, "append", "daily").select(day("bucket_start"), "event_type", "event_count")
+
+
+@query("str4_stream_dedupe", "SELECT count(DISTINCT (user_id, event_type)) AS identities FROM events")
+def _(b):
+    once = V.dedupe_stream(_zoned(_stream(b)), "ts", ["user_id", "event_type"], "60 days")
+    return _run_to_table(b, once, "append", "dedupe").agg(F.count(F.lit(1)).alias("identities"))
+
+
+@query("str5_batch_audit", "SELECT count(*) AS records_encountered, count(*) FILTER (event_type = 'error') AS records_skipped, 0::BIGINT AS run_id FROM events")
+def _(b):
+    path, checkpoint = scratch_path(b.spark, "audit"), scratch_path(b.spark, "audit-checkpoint")
+    measures = {"records_encountered": F.count(F.lit(1)), "records_skipped": F.count_if(F.col("event_type") == "error")}
+    V.audit_stream(_stream(b), path, checkpoint, measures).awaitTermination()
+    return b.spark.read.parquet(path).select("records_encountered", "records_skipped", "run_id")
