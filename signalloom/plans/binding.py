@@ -77,7 +77,7 @@ class Binding:
             key.cast("string").alias("job_id"), key.cast("string").alias("source_job_id"),
             F.col("c_name").alias("title"), text(segment, " role at ", F.col("c_name"), ", ", name).alias("description"),
             F.when(key % 97 == 0, F.lit("")).otherwise(location).alias("location"),
-            _pick(F.col("n_nationkey"), 5, ["US", "CA", "IN", "GB", "AU"]).alias("country"),
+            _pick(F.floor(F.col("n_nationkey") / 5), 5, ["US", "CA", "IN", "GB", "AU"]).alias("country"),
             F.when(key % 3 != 0, segment).alias("business_unit"),
             F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.expr("substring(o_orderpriority, 3)")).alias("seniority_level"),
             (F.col("o_orderpriority") == "1-URGENT").alias("is_leadership"),

@@ -136,12 +136,13 @@ SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'failed' ELSE 'cached' END AS sta
 def _(b):
     pages = b.table("pages")
     path = scratch_path(b.spark, "page-cache")
+    address = F.concat(F.lit("HTTPS://Cache.example.com/p/"), F.col("page_id").cast("string"))
     pages.select(
-        F.lit("completed").alias("status"), F.col("url").alias("source_url"), F.col("html").alias("text"),
+        F.lit("completed").alias("status"), address.alias("source_url"), F.col("html").alias("text"),
         F.struct(F.struct(F.when(F.col("page_id") % 4 == 0, F.lit("Other Corp")).when(F.col("page_id") % 4 == 1, F.lit("ACME, Inc.")).alias("name")).alias("hiringOrganization")).alias("structured_data"),
     ).write.json(path)
     contexts = b.spark.createDataFrame([("ACME", "Acme", ["acme inc"], [], [])], "company_id string, canonical_name string, aliases array<string>, allowed_subsidiaries array<string>, excluded_entities array<string>")
-    jobs = pages.select("page_id", F.col("url").alias("posting_url"), F.lit("ACME").alias("company_id"))
+    jobs = pages.select("page_id", F.concat(address, F.lit("/?again")).alias("posting_url"), F.lit("ACME").alias("company_id"))
     cache = b.spark.read.schema(S.PAGE_SCHEMA).json(path).withColumns({"url_key": I.hash_key("source_url"), "status": F.lit("cached")})
     checked = S.validate_page_company(S.attach_pages(jobs, cache), contexts)
     return checked.select("page_id", F.col("page_status").alias("status"), F.coalesce(F.length("page_text"), F.lit(0)).alias("chars"))

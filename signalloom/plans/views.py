@@ -7,7 +7,7 @@ SELECT r_name AS organization, CAST(o_orderkey AS VARCHAR) AS job_id, c_name AS
   c_mktsegment || ' role at ' || c_name || ', ' || n_name AS description,
   CASE WHEN o_orderkey % 97 = 0 THEN '' WHEN o_orderkey % 4 = 0 THEN n_name || ', ' || c_mktsegment WHEN o_orderkey % 4 = 1 THEN n_name
        WHEN o_orderkey % 4 = 2 THEN n_name || ', ' || c_mktsegment || ', ' || r_name ELSE n_name || ', ' || c_mktsegment || ' / Remote, ' || r_name END AS location,
-  CASE n_nationkey % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 2 THEN 'IN' WHEN 3 THEN 'GB' ELSE 'AU' END AS country,
+  CASE n_nationkey // 5 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 2 THEN 'IN' WHEN 3 THEN 'GB' ELSE 'AU' END AS country,
   CASE WHEN o_orderkey % 3 <> 0 THEN c_mktsegment END AS business_unit,
   CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN substr(o_orderpriority, 3) END AS seniority_level,
   o_orderpriority = '1-URGENT' AS is_leadership, CAST(o_orderdate AS DATE) AS posted_date, o_orderstatus AS employment_type,
