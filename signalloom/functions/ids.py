@@ -44,10 +44,11 @@ def canonical_json(columns: Iterable[str]) -> Column:
     """Compact JSON object of the columns with keys in sorted order and control escapes in lower case."""
     names = sorted(columns)
     text = F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in names]), {"ignoreNullFields": "false"})
-    # Spark writes control characters as \u001F; lower-case the two hex letters that can occur.
+    # Spark writes control characters as \\u001F; lower-case the hex letter where such an escape occurs.
+    fixed = text
     for upper in "ABCDEF":
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*\\u00[01]){upper}", f"$1{upper.lower()}")
-    return text
+        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*\\u00[01]){upper}", f"$1{upper.lower()}")
+    return F.when(F.contains(text, F.lit("\\u00")), fixed).otherwise(text)
 
 
 def content_hash(columns: Iterable[str] = ("title", "description", "location", "country", "posted_date", "source_url")) -> Column:

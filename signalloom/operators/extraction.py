@@ -115,13 +115,15 @@ def term_excerpt(name: str, text_cols: Sequence, terms: Mapping[str, Sequence[st
 # --- grounding ------------------------------------------------------------------------------
 
 TOKEN = r"[^\W_]+|[&+#]+"
+# Java's word class counts combining marks, Python's does not; letters and numbers are what both sides mean.
+JAVA_TOKEN = r"[\p{L}\p{N}]+|[&+#]+"
 
 
 def tokens(value, normalize: bool = True) -> Column:
     """Folded word and symbol tokens of a text; a lone ampersand reads as ``and``."""
-    text = nfkc(value) if normalize else as_col(value)
-    found = F.regexp_extract_all(text, F.lit(f"(?U){TOKEN}"), F.lit(0))
-    return F.transform(found, lambda t: F.when(t == "&", F.lit("and")).otherwise(casefold(t)))
+    text = casefold(nfkc(value) if normalize else value)
+    found = F.regexp_extract_all(text, F.lit(JAVA_TOKEN), F.lit(0))
+    return F.transform(found, lambda t: F.when(t == "&", F.lit("and")).otherwise(t))
 
 
 def token_line(value, normalize: bool = True) -> Column:
@@ -319,7 +321,7 @@ def omitted_classifications(classified: DataFrame, by: Sequence[str]) -> DataFra
 
 def word_line(value) -> Column:
     """Compatibility-normalised, folded words of a text joined by blanks."""
-    return F.array_join(F.regexp_extract_all(casefold(nfkc(value)), F.lit(r"(?U)\w+"), F.lit(0)), " ")
+    return F.array_join(F.regexp_extract_all(casefold(nfkc(value)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
 
 
 def excerpt_grounded(citations: DataFrame, catalog: DataFrame, citation_id: str, key: str, excerpt_col: str = "excerpt", source_col: str = "source_text") -> DataFrame:
