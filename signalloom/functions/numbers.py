@@ -8,8 +8,22 @@ from signalloom.functions.text import as_col
 
 
 def half_even(value, scale: int) -> Column:
-    """Round ties to the even neighbour."""
-    return F.bround(as_col(value), scale)
+    """Round the double's exact binary value, ties to the even neighbour.
+
+    Spark's own rounding works on the shortest decimal text, where 0.545 is a tie; its binary
+    value is above the tie. The product with the power of ten is split so that its rounding error
+    is known, and the error decides apparent ties.
+    """
+    x = as_col(value).cast("double")
+    power = float(10**scale)
+    product = x * power
+    wide = x * 134217729.0  # 2^27 + 1 splits a double into two halves
+    high = wide - (wide - x)
+    error = (high * power - product) + (x - high) * power
+    base = F.floor(product).cast("double")
+    part = product - base
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.abs(base % 2) == 1))))
+    return (base + F.when(up, 1.0).otherwise(0.0)) / power
 
 
 def ratio(numerator, denominator) -> Column:

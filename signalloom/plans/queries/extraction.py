@@ -1,4 +1,8 @@
-"""Term extraction, grounding, classification and lints over documents and conversations."""
+"""Term extraction, grounding, classification and lints over documents and conversations.
+
+Scores are compared after rounding the exact binary value, which in DuckDB is what ``printf`` does;
+its ``round_even`` rounds the product with the power of ten and turns 0.0375 into 0.038.
+"""
 
 from pyspark.sql import functions as F
 
@@ -111,9 +115,9 @@ def _(b):
 
 
 @query("txt6_enrichment_confidence", """
-SELECT doc_id, CASE WHEN removed > 0 THEN round_even(base * (0.75 + 0.25 * kept / (kept + removed)), 4) ELSE base END AS confidence FROM (
+SELECT doc_id, CASE WHEN removed > 0 THEN CAST(printf('%.4f', CAST(base * (0.75 + 0.25 * kept / (kept + removed)) AS DOUBLE)) AS DOUBLE) ELSE base END AS confidence FROM (
   SELECT c.doc_id, c.n - coalesce(s.n, 0) AS removed, coalesce(s.n, 0) AS kept,
-    round_even((CASE WHEN d.lang = 'en' THEN 1.0 ELSE 0.75 END + 1.0 + (CASE WHEN coalesce(s.sk, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(s.te, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END + 1)::DOUBLE / 7)::DOUBLE / 3, 4) AS base
+    CAST(printf('%.4f', CAST((CASE WHEN d.lang = 'en' THEN 1.0 ELSE 0.75 END + 1.0 + (CASE WHEN coalesce(s.sk, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(s.te, 0) > 0 THEN 1 ELSE 0 END + CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END + 1)::DOUBLE / 7)::DOUBLE / 3 AS DOUBLE)) AS DOUBLE) AS base
   FROM (SELECT doc_id, count(*) AS n FROM x_claims WHERE field IN ('skills', 'technologies') GROUP BY 1) c JOIN documents d USING (doc_id)
   LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (field = 'skills') AS sk, count(*) FILTER (field = 'technologies') AS te FROM x_support WHERE field IN ('skills', 'technologies') GROUP BY 1) s USING (doc_id))""")
 def _(b):

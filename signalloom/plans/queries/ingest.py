@@ -1,4 +1,8 @@
-"""Sources, sinks, snapshot signals, audits, planning and streams."""
+"""Sources, sinks, snapshot signals, audits, planning and streams.
+
+Scores are compared after rounding the exact binary value, which in DuckDB is what ``printf`` does;
+its ``round_even`` rounds the product with the power of ten and turns 0.0375 into 0.038.
+"""
 
 from pyspark.sql import functions as F
 
@@ -308,8 +312,8 @@ SELECT g.*, CASE WHEN company_id = 'ASIA' THEN NULL ELSE coalesce(prev, 0) END A
 
 @query("agg22_snapshot_signals", """
 SELECT company_id, coalesce(business_unit, '') AS business_unit, capability, n AS job_count, coalesce(previous, -1) AS previous_job_count, senior AS senior_role_count,
-  round_even(least(1.0, 0.55 * (n / total) + 0.30 * least(n / 20, 1.0) + 0.15 * least(senior / 3, 1.0)), 2) AS strength,
-  round_even(least(1.0, round_even(conf * 0.4, 3) + round_even(done * 0.25, 3) + round_even(llm * 0.15, 3) + round_even(least(n / 10, 1.0) * 0.2, 3)), 2) AS confidence FROM p_sig""")
+  CAST(printf('%.2f', CAST(least(1.0, 0.55 * (n / total) + 0.30 * least(n / 20, 1.0) + 0.15 * least(senior / 3, 1.0)) AS DOUBLE)) AS DOUBLE) AS strength,
+  CAST(printf('%.2f', CAST(least(1.0, CAST(printf('%.3f', CAST(conf * 0.4 AS DOUBLE)) AS DOUBLE) + CAST(printf('%.3f', CAST(done * 0.25 AS DOUBLE)) AS DOUBLE) + CAST(printf('%.3f', CAST(llm * 0.15 AS DOUBLE)) AS DOUBLE) + CAST(printf('%.3f', CAST(least(n / 10, 1.0) * 0.2 AS DOUBLE)) AS DOUBLE)) AS DOUBLE)) AS DOUBLE) AS confidence FROM p_sig""")
 def _(b):
     s = P.snapshot_signals(_current_jobs(b), _history(b))
     return s.select("company_id", F.coalesce("business_unit", F.lit("")).alias("business_unit"), "capability", "job_count", F.coalesce("previous_job_count", F.lit(-1)).alias("previous_job_count"), "senior_role_count", "strength", "confidence")
@@ -323,8 +327,8 @@ def _(b):
 
 
 @query("sig20_confidence_parts", """
-SELECT company_id, coalesce(business_unit, '') AS business_unit, capability, round_even(conf * 0.4, 3) AS confidence_classification, round_even(done * 0.25, 3) AS confidence_page_enrichment, round_even(llm * 0.15, 3) AS confidence_llm_coverage,
-  round_even(least(n / 10, 1.0) * 0.2, 3) AS confidence_sample_size FROM p_sig""")
+SELECT company_id, coalesce(business_unit, '') AS business_unit, capability, CAST(printf('%.3f', CAST(conf * 0.4 AS DOUBLE)) AS DOUBLE) AS confidence_classification, CAST(printf('%.3f', CAST(done * 0.25 AS DOUBLE)) AS DOUBLE) AS confidence_page_enrichment, CAST(printf('%.3f', CAST(llm * 0.15 AS DOUBLE)) AS DOUBLE) AS confidence_llm_coverage,
+  CAST(printf('%.3f', CAST(least(n / 10, 1.0) * 0.2 AS DOUBLE)) AS DOUBLE) AS confidence_sample_size FROM p_sig""")
 def _(b):
     s = P.snapshot_signals(_current_jobs(b), _history(b))
     return s.select("company_id", F.coalesce("business_unit", F.lit("")).alias("business_unit"), "capability", *[c for c in s.columns if c.startswith("confidence_")])

@@ -1,4 +1,8 @@
-"""Nested documents, evidence assessment, gates, scores, outlook and report."""
+"""Nested documents, evidence assessment, gates, scores, outlook and report.
+
+Scores are compared after rounding the exact binary value, which in DuckDB is what ``printf`` does;
+its ``round_even`` rounds the product with the power of ten and turns 0.0375 into 0.038.
+"""
 
 from pyspark.sql import functions as F
 
@@ -315,7 +319,7 @@ _RELATIONS = list(L.CITATION_WEIGHTS)
 
 
 @query("agg34_citation_reliability", """
-SELECT o.o_orderkey AS answer_id, CASE WHEN coalesce(k.n, 0) = 0 THEN 0.0 WHEN coalesce(c.m, 0) = 0 THEN round_even(least(0.4, k.n / 5), 4) ELSE round_even(least(1.0, (c.q + least(c.m / 3, 1.0) + least(k.n / 5, 1.0)) / 3), 4) END::DOUBLE AS reliability FROM orders o
+SELECT o.o_orderkey AS answer_id, CASE WHEN coalesce(k.n, 0) = 0 THEN 0.0 WHEN coalesce(c.m, 0) = 0 THEN CAST(printf('%.4f', CAST(least(0.4, k.n / 5) AS DOUBLE)) AS DOUBLE) ELSE CAST(printf('%.4f', CAST(least(1.0, (c.q + least(c.m / 3, 1.0) + least(k.n / 5, 1.0)) / 3) AS DOUBLE)) AS DOUBLE) END::DOUBLE AS reliability FROM orders o
 LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) k ON k.l_orderkey = o_orderkey
 LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS m, avg(CASE l_linenumber % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 WHEN 3 THEN 0.7 WHEN 4 THEN 0.65 ELSE 0.65 END::DOUBLE) AS q FROM lineitem WHERE l_quantity > 25 GROUP BY 1) c ON c.l_orderkey = o_orderkey""")
 def _(b):

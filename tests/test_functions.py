@@ -79,6 +79,13 @@ def test_percentage_matches_python_rounding(spark):
     assert one(spark, 3, N.pct("v", F.lit(0)), "v int") == 0.0
 
 
+def test_half_even_matches_python(spark):
+    values = [0.545, 2.675, 1.005, 0.125, 0.375, -0.545, -2.5, 12.345, 1e-9, 99.995, 0.285, 1234.5675] + [i / 1000 + 0.0005 for i in range(400)]
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for value, two, three, none in frame.select("v", N.half_even("v", 2), N.half_even("v", 3), N.half_even("v", 0)).collect():
+        assert (two, three, none) == (round(value, 2), round(value, 3), round(value))
+
+
 def test_dates(spark):
     assert one(spark, "2026-08-03T10:00", D.iso_date("v")) == datetime.date(2026, 8, 3)
     assert one(spark, "2026", D.iso_date("v")) is None
