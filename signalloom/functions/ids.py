@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from signalloom.functions.text import as_col, canonical_url
 
-# Fixed value: the URL namespace of RFC 9562 name-based UUIDs.
+# The URL namespace of RFC 9562 name-based UUIDs, and the prefixes of canonical ids below.
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 

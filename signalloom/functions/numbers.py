@@ -14,16 +14,20 @@ def half_even(value, scale: int) -> Column:
     value is above the tie. The product with the power of ten is split so that its rounding error
     is known, and the error decides apparent ties.
     """
-    x = as_col(value).cast("double")
     power = float(10**scale)
-    product = x * power
-    wide = x * 134217729.0  # 2^27 + 1 splits a double into two halves
-    high = wide - (wide - x)
-    error = (high * power - product) + (x - high) * power
-    base = F.floor(product).cast("double")
-    part = product - base
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.abs(base % 2) == 1))))
-    return (base + F.when(up, 1.0).otherwise(0.0)) / power
+
+    def rounded(x):
+        product = x * power
+        wide = x * 134217729.0  # 2^27 + 1 splits a double into two halves
+        high = wide - (wide - x)
+        error = (high * power - product) + (x - high) * power
+        base = F.floor(product).cast("double")
+        part = product - base
+        up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.abs(base % 2) == 1))))
+        return (base + F.when(up, 1.0).otherwise(0.0)) / power
+
+    # The lambda names the value once; written out, a long expression would repeat some twenty times.
+    return F.transform(F.array(as_col(value).cast("double")), rounded)[0]
 
 
 def ratio(numerator, denominator) -> Column:
