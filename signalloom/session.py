@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,21 +27,13 @@ def build_session(app: str = "signalloom", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` if the cluster names one.
+    """The folder every executor can reach, for intermediate tables.
 
-    Only where that setting is absent (local tests) is a temporary folder made.
+    ``spark.checkpoint.dir`` if the session names one, else the context's checkpoint folder, else a
+    folder inside the warehouse, which all executors share too. Never a machine-local temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="signalloom-"))
-    return context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -47,12 +41,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write the frame once to reliable storage and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame several steps read to the shared folder as Parquet and read it from there.
 
@@ -61,3 +49,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write the frame once to the shared folder and cut its lineage there."""
+    return stage(df, "settled")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once per application.
+
+    Workers that start in another folder import it from the archive, which Spark serves from the driver.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_signalloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="package-")
+    archive = shutil.make_archive(f"{folder}/signalloom", "zip", os.path.dirname(root), os.path.basename(root))
+    context.addPyFile(archive)
+    context._signalloom_shipped = True
