@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import huffman, packing, warc
+from signalloom.llm import huffman, packing, pivots, quality, warc
 from signalloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +31,38 @@ def op1_huffman_token_files(spark, folder):
     return huffman.token_file_round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+@query
+def op3_pivot_top_k(spark, folder):
+    """The five largest inner products of every fiftieth vector with all others."""
+    return pivots.top_k(table(spark, folder, "embeddings"), k=5, every=50)
+
+
+ORACLES["op3_pivot_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 @query
 def op5_min_slack_packing(spark, folder):
     """All documents packed into sequences of at most 4096 ids."""
     return packing.pack_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+@query
+def op6_compression_bands(spark, folder):
+    """Word, line and compression rules over all documents."""
+    return quality.quality(table(spark, folder, "documents"))
+
+
 @query
 def op10_seekable_warc(spark, folder):
     """All pages written to seekable archives and read back."""
