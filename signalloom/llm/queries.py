@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import huffman, hyperminhash, packing, pivots, quality, warc
+from signalloom.llm import huffman, hyperminhash, packing, pivots, quality, toxicity, warc
 from signalloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,12 @@ def op6_compression_bands(spark, folder):
     return quality.quality(table(spark, folder, "documents"))
 
 
+@query
+def op7_toxicity_chain(spark, folder):
+    """Category probabilities and verdict of all documents."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op9_hyperminhash(spark, folder):
     """Near-duplicate components of all documents."""
