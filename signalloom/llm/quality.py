@@ -8,6 +8,7 @@ plain to compressed bytes. Texts below ``SHORTEST`` bytes carry no verdict of th
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -112,3 +113,21 @@ def quality(docs: DataFrame) -> DataFrame:
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
     out = out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
     return out.withColumn("kept", F.expr("NOT base_failed AND band IN ('inside', 'short')"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass all rules, with their columns; texts do not move between tasks."""
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+
+        def passes(one: str | None) -> bool:
+            words, _, _, _, repeats = base_counts(one or "")
+            return words >= MIN_WORDS and 100 * repeats <= MAX_REPEAT_PERCENT * words and band_verdict((one or "").encode(), packer)[2] in ("inside", "short")
+
+        return text.map(passes)
+
+    return docs.filter(good(F.col("text").cast("string")))

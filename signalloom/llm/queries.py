@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import huffman, hyperminhash, packing, pivots, quality, toxicity, warc
+from signalloom.llm import huffman, hyperminhash, packing, pivots, quality, suffixes, toxicity, warc
 from signalloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op1_huffman_token_files(spark, folder):
     return huffman.token_file_round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+@query
+def op2_suffix_dedup(spark, folder):
+    """All documents without the bytes of 200-byte strings that also start elsewhere."""
+    return suffixes.digests(table(spark, folder, "documents"))
+
+
 @query
 def op3_pivot_top_k(spark, folder):
     """The five largest inner products of every fiftieth vector with all others."""

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,7 +28,7 @@ SELECT_STEP, REFIT_STEP = 0.3, 0.5
 LASSO = 3e-3
 SUPPORT = 0.05
 RIDGE = 1e-4
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 CACHE_WORDS = 500_000
 #: Category and its training label; the labels tell toxic texts only as such, so the first two split them by language.
 CATEGORIES = (("toxic_en", "toxic = 1 AND lang = 'en'"), ("toxic_other", "toxic = 1 AND NOT lang <=> 'en'"), ("toxic", "toxic = 1"))
@@ -194,3 +195,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     ignored.
     """
     return score(docs, fit(docs, labels)).withColumn("kept", F.col("toxic") < threshold)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with their columns; texts do not move between tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        found = [features(t) for t in text]
+        starts = np.concatenate([[0], np.cumsum(np.array([len(x) for x in found], np.int64))])
+        return pd.Series(score_chain(shared.value, np.concatenate(found) if found else np.zeros(0, np.int32), starts)[:, -1] < threshold)
+
+    return docs.filter(clean(F.col("text").cast("string")))
