@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import huffman, hyperminhash, packing, pivots, quality, suffixes, toxicity, warc
+from signalloom.llm import huffman, hyperminhash, lattice, licenses, packing, pivots, quality, suffixes, toxicity, warc
 from signalloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,14 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 
+@query
+def op4_sampled_pieces(spark, folder):
+    """A sampled segmentation of every document, decoded again."""
+    model = vocabulary("piece_bpe_32k.model")
+    decoded = lattice.decode(lattice.sample_encode(table(spark, folder, "documents"), model), model)
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+
+
 @query
 def op5_min_slack_packing(spark, folder):
     """All documents packed into sequences of at most 4096 ids."""
@@ -75,6 +83,12 @@ def op7_toxicity_chain(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op8_license_scan(spark, folder):
+    """Blocks with licence wording in all documents, with the template each comes from."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query
 def op9_hyperminhash(spark, folder):
     """Near-duplicate components of all documents."""
