@@ -67,20 +67,15 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at].view(np.int64)
 
 
-def _starts(at, size):
-    """First and last start of the strings over an anchor that lie inside the text."""
-    return np.maximum(at - BEFORE, 0), np.minimum(at, size - LENGTH)
-
-
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, at, size, gram, around``: the anchors of every text with the hash of all bytes in reach."""
+    """``doc_id, at, gram, around``: the anchors of every text with the hash of all bytes in reach."""
 
     def work(batches):
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            keys, places, sizes, grams, around = [], [], [], [], []
+            keys, places, grams, around = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = (text.as_py() or "").encode()
                 if len(raw) < LENGTH:
@@ -89,21 +84,20 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 places.append(at)
                 grams.append(gram)
                 keys.append(np.full(len(at), key, np.int64))
-                sizes.append(np.full(len(at), len(raw), np.int64))
                 around += [digest(raw[max(0, p - BEFORE) : p + LENGTH], min(p, BEFORE)) for p in at.tolist()]
                 if len(around) > 100_000:
-                    yield _anchor_batch(keys, places, sizes, grams, around)
-                    keys, places, sizes, grams, around = [], [], [], [], []
+                    yield _anchor_batch(keys, places, grams, around)
+                    keys, places, grams, around = [], [], [], []
             if around:
-                yield _anchor_batch(keys, places, sizes, grams, around)
+                yield _anchor_batch(keys, places, grams, around)
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
-    return plain.mapInArrow(work, "doc_id long, at long, size long, gram long, around long")
+    return plain.mapInArrow(work, "doc_id long, at int, gram long, around long")
 
 
-def _anchor_batch(keys, places, sizes, grams, around) -> pa.RecordBatch:
-    columns = [np.concatenate(x) for x in (keys, places, sizes, grams)] + [np.array(around, np.uint64).view(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "at", "size", "gram", "around"])
+def _anchor_batch(keys, places, grams, around) -> pa.RecordBatch:
+    columns = [np.concatenate(keys), np.concatenate(places).astype(np.int32), np.concatenate(grams), np.array(around, np.uint64).view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "at", "gram", "around"])
 
 
 def tails(raw: bytes, at: int) -> list[tuple[str, int, bytes, bytes]]:
@@ -279,24 +273,24 @@ def _resolved(variants: DataFrame) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """``doc_id, low, high``: starts of strings that also occur elsewhere."""
+    """``doc_id, low, high``: starts of strings that also occur elsewhere; the last of a text may lie
+    behind its last string and stands for that one."""
     found = stage(anchor_rows(docs), "anchors")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
-    grams = grams.filter("n > 1").select("gram", F.expr("a = b").alias("alike"))
+    grams = stage(grams.filter("n > 1").select("gram", F.expr("a = b").alias("alike")), "shared-grams")  # a plain table, so that a hot gram's join can be split
     shared = stage(found.join(grams, "gram"), "shared-anchors")
-    first, last = F.greatest(F.col("at") - BEFORE, F.lit(0)), F.least(F.col("at"), F.col("size") - LENGTH)
-    whole = shared.filter("alike").select("doc_id", first.alias("low"), last.alias("high"))
+    whole = shared.filter("alike").select("doc_id", F.greatest(F.col("at") - BEFORE, F.lit(0)).alias("low"), F.col("at").alias("high"))
 
     mixed = shared.filter("NOT alike")
     kinds = mixed.groupBy("gram", "around").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("one"))
     wanted = kinds.groupBy(F.col("one.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("gram", "around", "times", F.col("one.at").alias("at"))).alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id").select("text", "wanted")
+    texts = docs.select(F.col("doc_id").cast("long"), _packed()(F.col("text").cast("string")).alias("text")).join(wanted, "doc_id").select("text", "wanted")
 
     def cut(batches):
         for batch in batches:
             out = []
             for text, wanted in zip(batch.column(0), batch.column(1)):
-                raw = (text.as_py() or "").encode()
+                raw = _unpacked(text.as_py())
                 for w in wanted.as_py():
                     out += [(w["gram"], w["around"], w["times"], *half) for half in tails(raw, w["at"])]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
@@ -320,15 +314,34 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), runs
 
 
+def _packed():
+    """Compressed texts: whole texts cross a shuffle twice, and fast block compression alone saves little of them."""
+
+    @F.pandas_udf("binary")
+    def packed(text: pd.Series) -> pd.Series:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
+        return text.map(lambda t: packer.compress(t.encode()), na_action="ignore")
+
+    return packed
+
+
+def _unpacked(packed: bytes | None) -> bytes:
+    import zstandard
+
+    return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
+
+
 _OUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _removal():
     @F.pandas_udf(_OUT)
-    def removal(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def removal(packed: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
-        for one, ranges in zip(text, spans):
-            raw = (one or "").encode()
+        for one, ranges in zip(packed, spans):
+            raw = _unpacked(one)
             cuts = [(s["low"], min(s["high"] + LENGTH, len(raw))) for s in ([] if ranges is None else ranges) if s["low"] < len(raw)]
             kept, runs = _kept(raw, cuts) if cuts else (raw, 0)
             rows.append((len(raw), len(raw) - len(kept), runs, kept))
@@ -338,15 +351,16 @@ def _removal():
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``_cut`` of ``n_bytes, n_removed, n_spans`` and ``kept``, the remaining bytes.
+    """``docs`` without ``text`` but with a struct ``_cut`` of ``n_bytes, n_removed, n_spans`` and ``kept``, the remaining bytes.
 
     Null text counts as empty; texts under ``LENGTH`` bytes hold no string and stay whole. Rows without
     ``doc_id`` stay whole and are no one's match. Rows that repeat a ``doc_id`` need unique keys to be
     told apart and share their spans otherwise. An empty table gives no rows. Other columns stay.
     """
     spans = repeated_starts(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("low", "high")).alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    return joined.select(*docs.columns, _removal()(F.col("text").cast("string"), "_spans").alias("_cut"))
+    slim = docs.withColumn("_text", _packed()(F.col("text").cast("string"))).drop("text")
+    joined = slim.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    return joined.withColumn("_cut", _removal()("_text", "_spans")).withColumn("_null", F.col("_text").isNull()).drop("_doc", "_spans", "_text")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -359,7 +373,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A cut may split a character; what is left of it goes too. Null text stays null.
     """
-    text = F.when(F.col("text").isNotNull(), _decoded()(F.col("_cut.kept")))
+    text = F.when(~F.col("_null"), _decoded()(F.col("_cut.kept")))
     out = remove_repeats(docs).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
