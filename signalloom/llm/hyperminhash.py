@@ -8,9 +8,10 @@
    only. A pair whose collision-corrected similarity estimate lies ``SIGMAS`` standard errors below the
    threshold is dropped; others are verified on their full sets, one pair per document first, then all
    pairs whose ends are still in different components.
-4. In buckets that still hold several components, every member outside the bucket's main component is
-   compared with the members of other components. So every pair that shares a band and is not already
-   joined gets verified, and nothing emits all pairs of a group.
+4. In buckets that still hold several components, every member outside the bucket's main component meets
+   the members of other components, in groups of bounded size. The likeliest partner of each other
+   component is verified first, then all likely pairs that are still apart. So every likely pair that
+   shares a band and is not already joined gets verified, and nothing emits all pairs of a group.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75 ** 4) ** 32, about 5 in a million.
 """
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from signalloom.llm.common import stage
+from signalloom.llm.common import partitions, stage
 from signalloom.llm.graph import components
 
 WIDTH = 5
@@ -30,7 +31,8 @@ PERCENT = 75
 P = 7
 MANTISSA = 10
 ROWS = 4
-SIGMAS = 5.0
+SIGMAS = 4.0
+GROUP = 5_000  # rows of a bucket that meet in one group
 CACHE_WORDS = 1_000_000
 COLLISIONS = 0.169919487159739093975315012348  # fixed value of the published collision estimate
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -82,14 +84,14 @@ def registers(hashes: np.ndarray, p: int = P, mantissa: int = MANTISSA) -> np.nd
     return out
 
 
-def band_keys(sketch: np.ndarray, rows: int = ROWS) -> list[int]:
-    """A signed 64-bit key for each band that has a filled register."""
+def band_keys(sketch: np.ndarray, rows: int = ROWS, every: bool = False) -> np.ndarray:
+    """A signed 64-bit key for each band that has a filled register, or for every band."""
     keys = sketch.reshape(-1, rows).astype("<u2").copy().view("<u8").ravel()
-    band = np.flatnonzero(keys)
+    band = np.arange(len(keys)) if every else np.flatnonzero(keys)
     mixed = (keys[band] + np.uint64(1)) * _MIX ^ (band.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return mixed.view(np.int64).tolist()
+    return mixed.view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, p: int = P, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +103,12 @@ def similarity(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, p: in
     return np.maximum(equal - expected, 0) / filled, filled
 
 
+def _plausible(estimate: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Estimates that do not rule the threshold out."""
+    limit = PERCENT / 100
+    return estimate >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / filled)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, digest, sketch`` of every row; ``digest`` names the set and is null for an empty one."""
 
@@ -124,7 +132,7 @@ def _bands(classes: DataFrame) -> DataFrame:
         for batch in batches:
             keys, ids, sizes = [], [], []
             for node, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found = band_keys(np.frombuffer(raw.as_buffer(), "<u2"))
+                found = band_keys(np.frombuffer(raw.as_buffer(), "<u2")).tolist()
                 keys += found
                 ids += [node] * len(found)
                 sizes += [n] * len(found)
@@ -143,9 +151,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(size, -1) for i in (2, 3))
             n, m = (batch.column(i).to_numpy().astype(float) for i in (4, 5))
-            estimate, filled = similarity(a, b, n, m)
-            limit = PERCENT / 100
-            keep = estimate >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / filled)
+            keep = _plausible(*similarity(a, b, n, m))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
 
     side = classes.select(F.col("node"), "sketch", "n_shingles")
@@ -176,6 +182,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(work, "u long, v long")
 
 
+def _texts_of(plain: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of some ids. The ids grow with the corpus, so they are merged and not broadcast at any size."""
+    return plain.join(ids.hint("merge"), "node", "left_semi")
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends have different components; nodes without a label are their own."""
     of_u = labels.select(F.col("node").alias("u"), F.col("component").alias("_cu"))
@@ -184,6 +195,68 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("_cu", "u") != F.coalesce("_cv", "v")).select("u", "v")
 
 
+def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
+    """Likely pairs ``u, v`` of different components inside a bucket, its smallest member aside.
+
+    Members outside the bucket's main component meet the others in groups of about ``GROUP`` rows, so a
+    large bucket is dealt over many tasks; estimates are computed in blocks and only likely pairs leave a
+    task. With ``best_only`` that is the most likely partner in each other component.
+    """
+
+    def first_shared(row, sketch):
+        """Whether this bucket's band is the first the two share, so that a pair leaves one bucket only."""
+        own = np.frombuffer(row[5], "<u2").reshape(-1, ROWS)
+        same = (own[None] == sketch.reshape(len(sketch), -1, ROWS)).all(2) & (own > 0).any(1)[None]
+        return band_keys(own.reshape(-1), every=True)[same.argmax(1)] == row[0]
+
+    def pairs_of(lone, others):
+        sketch, numbers = (np.frombuffer(b"".join(r[k] for r in others), "<u2").reshape(len(others), -1) if k == 5 else np.array([r[2:5] for r in others], np.int64) for k in (5, 0))
+        node, n, part = numbers.T
+        both = {r[2] for r in lone}
+        double = np.array([x in both for x in node.tolist()])
+        for row in lone:
+            fits = (100 * np.minimum(n, row[3]) >= PERCENT * np.maximum(n, row[3])) & (part != row[4])
+            if not best_only:
+                fits &= ~double | (node > row[2])
+            at = np.flatnonzero(fits)
+            if not len(at):
+                continue
+            own = np.broadcast_to(np.frombuffer(row[5], "<u2"), (len(at), sketch.shape[1]))
+            estimate, filled = similarity(own, sketch[at], np.full(len(at), float(row[3])), n[at].astype(float))
+            at, estimate = at[likely := _plausible(estimate, filled)], estimate[likely]
+            at, estimate = at[first := first_shared(row, sketch[at])], estimate[first]
+            if best_only and len(at):
+                by = np.lexsort((node[at], -estimate, part[at]))
+                at = at[by][np.concatenate([[True], np.diff(part[at][by]) != 0])]
+            for other in node[at].tolist():
+                yield min(row[2], other), max(row[2], other)
+
+    def work(batches):
+        key, rows = None, []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:2] != key:
+                    found += pairs_of([r for r in rows if r[6]], [r for r in rows if not r[6]]) if rows else []
+                    key, rows = row[:2], []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+        found = list(pairs_of([r for r in rows if r[6]], [r for r in rows if not r[6]])) if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    placed = buckets.filter("size > 2").join(labels.select("node", "component"), "node", "left")
+    placed = stage(placed.select("key", "node", "n", "size", "u", F.coalesce("component", "node").alias("c")), "placed")
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"))
+    parts = stage(parts.filter("parts > 1").select("key", "main"), "mixed-keys")
+    salts = F.ceil(F.col("size") / GROUP).cast("int")
+    mixed = placed.filter("node <> u").join(parts, "key").join(classes.select("node", "sketch"), "node").withColumn("salts", salts)
+    columns = ["key", "salt", "node", "n", "c", "sketch"]
+    others = mixed.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select(*columns, F.lit(False).alias("lone"))
+    lone = mixed.filter("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*columns, F.lit(True).alias("lone"))
+    dealt = others.unionByName(lone).repartition(partitions(classes.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
+    return dealt.mapInArrow(work, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row.
 
@@ -203,7 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ids = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = stage(plain.join(ids, "node", "left_semi"), "texts")
+    texts = stage(_texts_of(plain, ids), "texts")
     first = likely.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     links = stage(_verified(first, texts), "links")
     labels = components(links)
@@ -213,17 +286,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.unionByName(more)
         labels = components(links)
 
-    placed = buckets.filter("size > 2").join(labels.select("node", "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).select("key", "node", "n", "u", "c")
-    per = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = stage(placed.join(per.select("key", "main"), "key"), "mixed")
-    lone = mixed.filter("c <> main AND node <> u").select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("c").alias("cx"))
-    others = mixed.filter("node <> u").select("key", F.col("node").alias("y"), "n", F.col("c").alias("cy"))
-    cross = lone.join(others, "key").filter(f"cx <> cy AND {sized}").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    cross = stage(_likely(cross.join(likely, ["u", "v"], "left_anti"), classes), "likely")
-    if not cross.isEmpty():
+    tested = likely.unionByName(first).select("u", "v")
+    for best_only in (True, False):
+        cross = _mixed_pairs(buckets, labels, classes, best_only)
+        cross = stage(cross.distinct().join(tested, ["u", "v"], "left_anti"), "cross")
+        if cross.isEmpty():
+            continue
         ids = cross.select(F.col("u").alias("node")).union(cross.select("v")).distinct()
-        more = stage(_verified(cross, stage(plain.join(ids, "node", "left_semi"), "texts")), "links")
-        labels = components(links.unionByName(more))
+        more = stage(_verified(cross, stage(_texts_of(plain, ids), "texts")), "links")
+        tested, links = tested.unionByName(cross), links.unionByName(more)
+        if not more.isEmpty():
+            labels = components(links)
 
     by_class = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
