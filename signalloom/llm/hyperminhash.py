@@ -224,6 +224,8 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, best
             own = np.broadcast_to(np.frombuffer(row[5], "<u2"), (len(at), sketch.shape[1]))
             estimate, filled = similarity(own, sketch[at], np.full(len(at), float(row[3])), n[at].astype(float))
             at, estimate = at[likely := _plausible(estimate, filled)], estimate[likely]
+            if not len(at):
+                continue
             at, estimate = at[first := first_shared(row, sketch[at])], estimate[first]
             if best_only and len(at):
                 by = np.lexsort((node[at], -estimate, part[at]))
