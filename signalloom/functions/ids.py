@@ -25,14 +25,14 @@ def uuid5(name, namespace: str = NAMESPACE_URL) -> Column:
     )
 
 
-def job_uuid(organization_key, source_id, external_id) -> Column:
+def job_uuid(organization_key, source_id, external_id, prefix: str = "job:v1:") -> Column:
     """Canonical job id of a source-scoped posting."""
-    return uuid5(F.concat(F.lit("bsi:job:v1:"), F.concat_ws("|", as_col(organization_key), as_col(source_id), as_col(external_id))))
+    return uuid5(F.concat(F.lit(prefix), F.concat_ws("|", as_col(organization_key), as_col(source_id), as_col(external_id))))
 
 
-def evidence_uuid(organization_key, source_id, external_id) -> Column:
+def evidence_uuid(organization_key, source_id, external_id, prefix: str = "evidence:v1:") -> Column:
     """Canonical evidence id of a source-scoped posting."""
-    return uuid5(F.concat(F.lit("bsi:evidence:v1:"), F.concat_ws("|", as_col(organization_key), as_col(source_id), as_col(external_id))))
+    return uuid5(F.concat(F.lit(prefix), F.concat_ws("|", as_col(organization_key), as_col(source_id), as_col(external_id))))
 
 
 def collector_uuid(collector: str, kind: str, raw_reference) -> Column:

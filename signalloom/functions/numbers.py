@@ -12,7 +12,8 @@ def half_even(value, scale: int) -> Column:
 
     Spark's own rounding works on the shortest decimal text, where 0.545 is a tie; its binary
     value is above the tie. The product with the power of ten is split so that its rounding error
-    is known, and the error decides apparent ties.
+    is known, and the error decides apparent ties. The value may be any column expression but a
+    scalar subquery, which Spark does not allow beside a lambda; bind one to a column first.
     """
     power = float(10**scale)
 

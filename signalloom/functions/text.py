@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
@@ -51,7 +52,7 @@ def casefold(value) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+    return values.map(lambda v: v if unicodedata.is_normalized("NFKC", v) else unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -70,7 +71,7 @@ def _ascii_forms() -> tuple[str, str, dict[str, str]]:
     """Every character whose compatibility decomposition holds ASCII: single letters and longer forms."""
     single: dict[str, str] = {}
     longer: dict[str, str] = {}
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
         if plain:
@@ -78,22 +79,6 @@ def _ascii_forms() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), longer
 
 
-@lru_cache(maxsize=1)
-def _stable_class() -> str:
-    """Negated class of long runs of characters that composition never changes."""
-    runs, start = [], None
-    for code in range(0x10000):
-        char = chr(code)
-        fixed = not 0xD800 <= code <= 0xDFFF and not 0x1100 <= code <= 0x11FF and not unicodedata.category(char).startswith("M") and unicodedata.normalize("NFKC", char) == char
-        if fixed and start is None:
-            start = code
-        elif not fixed and start is not None:
-            if code - start >= 8:
-                runs.append(rf"\u{start:04x}-\u{code - 1:04x}")
-            start = None
-    return "[^" + "".join(runs) + "]"
-
-
 def ascii_fold(value) -> Column:
     """Drop accents and other non-ASCII without leaving the JVM.
 
@@ -103,14 +88,14 @@ def ascii_fold(value) -> Column:
     letters, plain, longer = _ascii_forms()
     table = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
     expanded = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    spelled = F.when(text.rlike("[" + "".join(rf"\u{ord(c):04x}" for c in longer) + "]"), expanded).otherwise(text)
+    spelled = F.when(text.rlike("[" + "".join(rf"\x{{{ord(c):x}}}" for c in longer) + "]"), expanded).otherwise(text)
     return F.when(text.rlike(NON_ASCII), F.regexp_replace(F.translate(spelled, letters, plain), NON_ASCII, "")).otherwise(text)
 
 
 def nfkc(value) -> Column:
-    """Compatibility-composed text; only rows with characters composition may change reach Python."""
+    """Compatibility-composed text; plain ASCII rows do not reach Python."""
     text = as_col(value)
-    return F.coalesce(_nfkc(F.when(text.rlike(_stable_class()), text)), text)
+    return F.coalesce(_nfkc(F.when(text.rlike(NON_ASCII), text)), text)
 
 
 def repair_text(value) -> Column:

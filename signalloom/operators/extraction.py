@@ -278,10 +278,10 @@ def rule_classification(jobs: DataFrame, capability_rules=L.CAPABILITY_RULES, se
     )
 
 
-def classification_input(jobs: DataFrame, pages: DataFrame, limit: int = 12_000) -> DataFrame:
-    """Text to classify: page text, else description, cut to ``limit``; empty becomes null."""
+def classification_input(jobs: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Text to classify: page text, else description, whole unless a ``limit`` is asked for; empty becomes null."""
     text = F.coalesce(F.nullif(F.col("page_text"), F.lit("")), F.col("description"), F.lit(""))
-    return jobs.join(pages, "source_job_id", "left").withColumn("classifier_text", F.nullif(F.substring(text, 1, limit), F.lit("")))
+    return jobs.join(pages, "source_job_id", "left").withColumn("classifier_text", F.nullif(text if limit is None else F.substring(text, 1, limit), F.lit("")))
 
 
 def merge_classifications(jobs: DataFrame, supplied: DataFrame, labels: Mapping[str, str] = L.CAPABILITY_LABELS, order: str = "position", key: str = "source_job_id") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signalloom.functions.text import as_col, casefold
@@ -69,27 +68,14 @@ def sequence_id(df: DataFrame, prefix: str, width: int, order: Sequence[Column],
 # --- first wins on either of two keys -------------------------------------------------------
 
 
-def _greedy_tail(batch: pd.DataFrame) -> pd.DataFrame:
-    taken_a: set = set()
-    taken_b: set = set()
-    keep = []
-    for a, b in zip(batch["_a"], batch["_b"]):
-        fresh = a not in taken_a and b not in taken_b
-        keep.append(fresh)
-        if fresh:
-            taken_a.add(a)
-            taken_b.add(b)
-    return batch.loc[keep, ["_a", "_b", "_o"]]
-
-
-def dedupe_either(df: DataFrame, key_a, key_b, order: str, tail_rows: int = 50_000) -> DataFrame:
+def dedupe_either(df: DataFrame, key_a, key_b, order: str) -> DataFrame:
     """Rows kept by first-wins dedupe on either key, where only kept rows claim their keys.
 
     ``order`` is a sortable column, unique per row. Equal key pairs shrink to their earliest row.
     Each round keeps every pending pair that is earliest under both of its keys and drops all
     pairs that share a key with it; both steps are min-aggregations and equi-joins, so a key
-    holding many rows is combined before the shuffle. When at most ``tail_rows`` pairs are left,
-    one sorted pass ends the rounds; larger remainders keep going, so the result is always exact.
+    holding many rows is combined before the shuffle. Rounds go on until
+    nothing is pending; their number follows the longest chain of pairs that share keys in turn.
     """
     blank = F.lit("")
     keyed = df.withColumns({"_a": F.coalesce(as_col(key_a), blank), "_b": F.coalesce(as_col(key_b), blank)})
@@ -101,11 +87,7 @@ def dedupe_either(df: DataFrame, key_a, key_b, order: str, tail_rows: int = 50_0
         won = settle(pending.join(first_a, "_a").join(first_b, "_b").filter("_o = _oa AND _o = _ob").select("_a", "_b", "_o"))
         kept.append(won)
         pending = settle(pending.join(won.select("_a"), "_a", "left_anti").join(won.select("_b"), "_b", "left_anti"))
-        left = pending.count()
-        if left == 0:
-            break
-        if left <= tail_rows:
-            kept.append(pending.orderBy("_o").coalesce(1).mapInPandas(lambda frames: [_greedy_tail(pd.concat(list(frames)))], pending.schema))
+        if pending.isEmpty():
             break
     chosen = reduce(DataFrame.unionByName, kept).select("_a", "_b", F.col("_o").alias(order))
     return keyed.join(chosen, ["_a", "_b", order], "left_semi").dropDuplicates(["_a", "_b"]).drop("_a", "_b")

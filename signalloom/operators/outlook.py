@@ -18,7 +18,7 @@ def name_key(value) -> Column:
     return slug(value, " ", fold_accents=False)
 
 
-def validate_evidence(items: DataFrame, names: DataFrame, order: str = "position", scope: str = "company", tail_rows: int = 50_000) -> DataFrame:
+def validate_evidence(items: DataFrame, names: DataFrame, order: str = "position", scope: str = "company") -> DataFrame:
     """Evidence with ``reject_reason``: unrelated company, invalid source date, duplicate, or null.
 
     ``names(scope, company_key)`` lists accepted names. Of the remaining items the first of an id or
@@ -33,7 +33,7 @@ def validate_evidence(items: DataFrame, names: DataFrame, order: str = "position
     ).drop("_known", "company_key")
     bar = F.lit("\u0001")
     fingerprint = F.concat(as_col(scope), bar, name_key("statement"), bar, name_key(F.coalesce("source_url", F.lit(""))), bar, F.coalesce("source_date", F.lit("")))
-    kept = dedupe_either(checked.filter("reject_reason IS NULL"), F.concat(as_col(scope), bar, F.col("evidence_id")), fingerprint, order, tail_rows)
+    kept = dedupe_either(checked.filter("reject_reason IS NULL"), F.concat(as_col(scope), bar, F.col("evidence_id")), fingerprint, order)
     return checked.join(kept.select(order, F.lit(True).alias("_kept")), order, "left").withColumn(
         "reject_reason", F.when(F.col("reject_reason").isNull() & F.col("_kept").isNull(), F.lit("duplicate evidence")).otherwise(F.col("reject_reason"))
     ).drop("_kept")

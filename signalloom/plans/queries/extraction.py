@@ -221,7 +221,7 @@ def _(b):
 
 
 @query("joi21_classification_input", """
-SELECT CAST(page_id AS VARCHAR) AS source_job_id, CASE WHEN page_id % 3 = 0 THEN length(substr(html, 1, 12000)) WHEN page_id % 3 = 1 THEN length(url) ELSE 0 END AS chars FROM pages""")
+SELECT CAST(page_id AS VARCHAR) AS source_job_id, CASE WHEN page_id % 3 = 0 THEN length(html) WHEN page_id % 3 = 1 THEN length(url) ELSE 0 END AS chars FROM pages""")
 def _(b):
     pages = b.table("pages")
     jobs = pages.select(F.col("page_id").cast("string").alias("source_job_id"), F.when(F.col("page_id") % 3 < 2, F.col("url")).alias("description"))

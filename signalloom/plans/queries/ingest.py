@@ -221,7 +221,7 @@ def _(b):
     evidence = jobs.select("position", "evidence_id", "source_url")
     path = scratch_path(b.spark, "batch")
     saved = tables.save_batch(b.spark, jobs, evidence, path, "v1")
-    stored = tables.read_current(b.spark, f"{path}/jobs")
+    stored = tables.read_saved(b.spark, path, "jobs")
     return stored.groupBy("organization").agg(F.count(F.lit(1)).alias("jobs")).withColumn("saved", F.lit(saved).cast("long"))
 
 

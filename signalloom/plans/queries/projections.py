@@ -188,7 +188,7 @@ def _(b):
 
 project(
     "prj29_name_uuids", "customer", lambda: [I.job_uuid(X.slug("c_mktsegment"), F.lit("csv_import"), "c_name").alias("job_id"), I.evidence_uuid(X.slug("c_mktsegment"), F.lit("csv_import"), "c_name").alias("evidence_id"), I.collector_uuid("feed-v1", "job", "c_name").alias("feed_id")],
-    "SELECT " + uuid5("'bsi:job:v1:' || lower(c_mktsegment) || '|csv_import|' || c_name") + " AS job_id, " + uuid5("'bsi:evidence:v1:' || lower(c_mktsegment) || '|csv_import|' || c_name") + " AS evidence_id, " + uuid5("'feed-v1:job:' || c_name") + " AS feed_id FROM customer",
+    "SELECT " + uuid5("'job:v1:' || lower(c_mktsegment) || '|csv_import|' || c_name") + " AS job_id, " + uuid5("'evidence:v1:' || lower(c_mktsegment) || '|csv_import|' || c_name") + " AS evidence_id, " + uuid5("'feed-v1:job:' || c_name") + " AS feed_id FROM customer",
 )
 
 

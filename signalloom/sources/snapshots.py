@@ -20,13 +20,14 @@ SNAPSHOT_COLUMNS = (
 def read_snapshot(spark: SparkSession, paths: str | Sequence[str], required: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
     """CSV snapshots with a header (a byte-order mark is allowed), every column text.
 
-    Each file is read by its own header. Rows carry file and position, which give the arrival
+    Each path is read by its own header; a folder whose files differ in header raises, since its columns
+    would mix. Rows carry file and position, which give the arrival
     order: files in the given order, then rows as written.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
     frames = []
     for number, path in enumerate(listed):
-        frame = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        frame = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
         missing = sorted(set(required) - set(frame.columns))
         if missing:
             raise ValueError(f"{path} is missing required columns: {missing}")
@@ -83,7 +84,7 @@ def filter_company(df: DataFrame, contexts: DataFrame, company_col: str = "compa
     return keyed.join(company_names(contexts), "company_key").drop("company_key")
 
 
-def load_snapshot(df: DataFrame, contexts: DataFrame, order: str = "arrival", tail_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def load_snapshot(df: DataFrame, contexts: DataFrame, order: str = "arrival") -> tuple[DataFrame, DataFrame]:
     """Clean, scope, validate and dedupe snapshot rows; returns kept rows and one diagnostics row per company.
 
     Rows of other companies are only counted; rows without a required text are rejected; then the
@@ -103,7 +104,7 @@ def load_snapshot(df: DataFrame, contexts: DataFrame, order: str = "arrival", ta
             "_address": F.concat_ws("\u0001", F.col("company_id"), X.canonical_url("posting_url")),
         }
     )
-    kept = dedupe_either(usable, "_id", "_address", order, tail_rows).drop("_valid", "_id", "_address")
+    kept = dedupe_either(usable, "_id", "_address", order).drop("_valid", "_id", "_address")
     read = df.agg(F.count(F.lit(1))).scalar()
     counted = scoped.groupBy("company_id").agg(F.count(F.lit(1)).alias("own_rows"), F.count_if(~F.col("_valid")).alias("rows_rejected"))
     accepted = kept.groupBy("company_id").agg(F.count(F.lit(1)).alias("rows_accepted"))

@@ -79,12 +79,22 @@ def upsert_research(target, updates, order=()):
 # --- versioned Parquet folders --------------------------------------------------------------
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Name of the published version, None before the first publish."""
+_VERSIONS = "sequence long, version string"
+
+
+def published_versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the published versions, oldest first; an empty list only before the first publish."""
     try:
-        return spark.read.text(f"{path}/_current").first()[0]
-    except AnalysisException:
-        return None
+        return [r.version for r in spark.read.schema(_VERSIONS).json(f"{path}/_versions").orderBy("sequence").collect()]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Name of the version published last, None before the first publish."""
+    return next(reversed(published_versions(spark, path)), None)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
@@ -93,14 +103,20 @@ def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     return None if version is None else spark.read.parquet(f"{path}/{version}")
 
 
+def _announce(spark: SparkSession, path: str, version: str) -> None:
+    """Adds the version to the list readers go by; earlier entries are never rewritten."""
+    sequence = len(published_versions(spark, path))
+    spark.createDataFrame([(sequence, version)], _VERSIONS).coalesce(1).write.mode("append").json(f"{path}/_versions")
+
+
 def publish(df: DataFrame, path: str, version: str, partition_by: Sequence[str] = ()) -> None:
-    """Write a new version beside the old one, then point readers to it.
+    """Write a new version beside the old one, then announce it.
 
-    A run that fails before the pointer moves leaves the published version untouched.
+    A run that fails before the announcement leaves the published version untouched. One writer at a time.
     """
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{version}")
-    df.sparkSession.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+    _announce(df.sparkSession, path, version)
 
 
 def mismatched_pairs(batch: DataFrame) -> DataFrame:
@@ -118,15 +134,20 @@ def save_batch(spark: SparkSession, jobs: DataFrame, evidence: DataFrame, path:
     if counts[1]:
         raise ValueError("posting evidence_id must match evidence evidence_id")
     for name, updates, upsert, parts in (("evidence", evidence, upsert_evidence, ()), ("jobs", jobs, upsert_jobs, ("organization",))):
-        stored = read_current(spark, f"{path}/{name}")
+        stored = read_saved(spark, path, name)
         merged = latest_per(updates, EVIDENCE_KEY if name == "evidence" else JOB_KEY, [F.desc(order)]).drop(order) if stored is None else upsert(stored, updates, [F.col(order)])
         writer = merged.write.mode("overwrite")
         (writer.partitionBy(*parts) if parts else writer).parquet(f"{path}/{name}/{version}")
-    for name in ("evidence", "jobs"):
-        spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}/_current")
+    _announce(spark, path, version)  # one entry for both tables: readers see all of the batch or nothing
     return counts[0]
 
 
+def read_saved(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """One of the tables of the last complete batch."""
+    version = current_version(spark, path)
+    return None if version is None else spark.read.parquet(f"{path}/{name}/{version}")
+
+
 def check_enrichments(enrichments: DataFrame, jobs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Enrichments with ``reject_reason``: null means the version may be stored."""
     foreign = F.exists("field_support", lambda s: s["evidence_id"] != F.col("evidence_id"))

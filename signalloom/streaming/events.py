@@ -29,14 +29,15 @@ def ingest_available(stream: DataFrame, target: str, checkpoint: str, partition_
 def upsert_stream(stream: DataFrame, table: str, checkpoint: str, upsert: Callable[[DataFrame, DataFrame], DataFrame], first: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Merge every micro-batch into a versioned table folder.
 
-    The version written last names its batch, so a batch replayed after a failure is recognised
-    and not merged twice.
+    Versions are named by query and batch, so a batch replayed after a failure is recognised and not
+    merged twice, and the batches of a stream started anew from another checkpoint are new ones.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        version = f"batch-{batch_id:012d}"
-        if tables.current_version(session, table) == version:
+        query = session.read.json(f"{checkpoint}/metadata").first()["id"]
+        version = f"query-{query}-batch-{batch_id:012d}"
+        if version in tables.published_versions(session, table):
             return
         stored = tables.read_current(session, table)
         tables.publish(first(batch) if stored is None else upsert(stored, batch), table, version)

@@ -132,13 +132,12 @@ def greedy(rows):
     return kept
 
 
-@pytest.mark.parametrize("tail", [0, 10, 50_000])
-def test_dedupe_either_matches_sequential_rule(spark, tail):
+def test_dedupe_either_matches_sequential_rule(spark):
     rng = random.Random(7)
     rows = [(n, f"a{rng.randrange(40)}", f"b{rng.randrange(60)}") for n in range(300)] + [(1000 + n, "hot", f"h{n}") for n in range(200)]
     rows += [(2000 + n, f"c{n // 2}", f"d{(n + 1) // 2}") for n in range(30)]
     frame = spark.createDataFrame(rows, "n long, x string, y string").repartition(5)
-    got = sorted(r["n"] for r in O.dedupe_either(frame, "x", "y", "n", tail_rows=tail).collect())
+    got = sorted(r["n"] for r in O.dedupe_either(frame, "x", "y", "n").collect())
     assert got == greedy(rows)
 
 
@@ -214,7 +213,7 @@ def test_batch_save_is_all_or_nothing(spark, tmp_path, fixture_jobs):
     with pytest.raises(ValueError):
         tables.save_batch(spark, jobs, evidence.withColumn("evidence_id", F.lit("wrong")), path, "v2")
     assert tables.save_batch(spark, jobs, evidence, path, "v3") == 6
-    assert tables.read_current(spark, f"{path}/jobs").count() == 6
+    assert tables.read_saved(spark, path, "jobs").count() == 6
 
 
 def test_snapshot_files(spark, tmp_path):
@@ -238,7 +237,7 @@ def test_evidence_validation_matches_sequential_rule(spark):
     rows = [(i, "c", f"E{i % 7}", f"stmt {i % 5}", None, "2026-01-01" if i % 4 else "bad") for i in range(30)]
     frame = spark.createDataFrame(rows, "position long, company string, evidence_id string, statement string, company_id string, source_date string").withColumn("source_url", F.lit(None).cast("string"))
     names = spark.createDataFrame([("c", "c")], "company string, company_key string")
-    got = sorted(r["position"] for r in W.validate_evidence(frame, names, tail_rows=0).filter("reject_reason IS NULL").collect())
+    got = sorted(r["position"] for r in W.validate_evidence(frame, names).filter("reject_reason IS NULL").collect())
     assert got == greedy([(n, e, (s, d)) for n, _, e, s, _, d in rows if d != "bad"])
 
 
@@ -250,3 +249,35 @@ def test_plan_covers_every_job(spark, fixture_jobs):
     row = counts.filter("organization = 'Wells Fargo'").first()
     assert (row["discovered_jobs"], row["planned_jobs"], row["deferred_jobs"], row["no_evidence_skips"]) == (5, 2, 2, 1)
     assert runs.plan_violations(counts).count() == 0
+
+
+def test_upsert_stream_survives_a_new_checkpoint(spark, tmp_path):
+    from signalloom.operators.ordering import latest_per
+    from signalloom.streaming import events
+
+    table, schema = f"{tmp_path}/table", "k string, n long"
+    upsert = lambda stored, batch: tables.merge_upsert(stored, batch, ["k"], order=[F.col("n")])
+    first = lambda batch: latest_per(batch, ["k"], [F.desc("n")])
+    for name, rows in (("one", [("k1", 1), ("k1", 2)]), ("two", [("k2", 1)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in-{name}")
+        stream = events.file_stream(spark, f"{tmp_path}/in-{name}", spark.createDataFrame([], schema).schema)
+        events.upsert_stream(stream, table, f"{tmp_path}/checkpoint-{name}", upsert, first).awaitTermination()
+    assert sorted(map(tuple, tables.read_current(spark, table).collect())) == [("k1", 2), ("k2", 1)]
+
+
+def test_folder_with_two_header_orders_is_refused(spark, tmp_path):
+    from signalloom.sources.snapshots import read_snapshot
+
+    for name, text in (("a", "title,company\nEngineer,Bank\n"), ("b", "company,title\nBank,Analyst\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        read_snapshot(spark, str(tmp_path), required=["title"]).collect()
+    both = read_snapshot(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"], required=["title"])
+    assert sorted((r.title, r.company) for r in both.collect()) == [("Analyst", "Bank"), ("Engineer", "Bank")]
+
+
+def test_slug_above_the_basic_plane(spark):
+    from signalloom.functions.text import slug
+
+    frame = spark.createDataFrame([("\U0001d400bc Café",)], "t string")
+    assert frame.select(slug("t").alias("s")).first().s == "abc_cafe"
