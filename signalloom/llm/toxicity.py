@@ -138,9 +138,10 @@ def _rows(index: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tuple[np
 
 
 def score_chain(models: list[Linear], index: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    dense = np.zeros((len(starts) - 1, 0))
+    """A probability per row and category; a text without words is no evidence of anything and gets 0."""
+    dense, worded = np.zeros((len(starts) - 1, 0)), np.diff(starts) > 0
     for model in models:
-        dense = np.column_stack([dense, model.score(index, starts, dense)])
+        dense = np.column_stack([dense, np.where(worded, model.score(index, starts, dense), 0.0)])
     return dense
 
 
@@ -190,7 +191,7 @@ def score(docs: DataFrame, models: list[Linear], categories=CATEGORIES) -> DataF
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Probabilities and ``kept`` per row: the last category, toxic at all, stays below the threshold.
 
-    Null or empty text has no words and gets the models' base rates. Null or repeated ``doc_id`` are scored
+    Null or empty text has no words, gets probability 0 and is kept. Null or repeated ``doc_id`` are scored
     row by row. Without labelled rows every row is kept. An empty table gives no rows. Other columns are
     ignored.
     """
