@@ -9,7 +9,8 @@
    threshold is dropped; others are verified on their full sets, one pair per document first, then all
    pairs whose ends are still in different components.
 4. In buckets that still hold several components, every member outside the bucket's main component meets
-   the members of other components, in groups of bounded size. The likeliest partner of each other
+   the members of other components, in groups of bounded size. A likely pair must also be possible by the
+   smallest hashes of both sets, which are the whole sets of short texts. The likeliest partner of each other
    component is verified first, then all likely pairs that are still apart. So every likely pair that
    shares a band and is not already joined gets verified, and nothing emits all pairs of a group.
 
@@ -33,6 +34,7 @@ MANTISSA = 10
 ROWS = 4
 SIGMAS = 4.0
 GROUP = 5_000  # rows of a bucket that meet in one group
+LEAST = 256  # smallest hashes of a set that go with a row of a mixed bucket; 32 bits of each
 CACHE_WORDS = 1_000_000
 COLLISIONS = 0.169919487159739093975315012348  # fixed value of the published collision estimate
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -109,6 +111,25 @@ def _plausible(estimate: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return estimate >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / filled)
 
 
+def _possible(own: np.ndarray, size: int, table: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the smallest hashes of a set of ``size`` and of other sets leave the threshold possible.
+
+    A row of ``table`` holds ``lengths`` ascending hashes of a set of ``sizes``. Two whole sets decide, up to
+    one hash for equal leading bits; parts of sets are samples of the union up to the smaller of their last
+    hashes, judged like the other estimate.
+    """
+    beyond = 1 << 32
+    last = table[np.arange(len(table)), lengths - 1].astype(np.int64)
+    top = np.minimum(np.where(lengths < sizes, last, beyond), int(own[-1]) if len(own) < size else beyond)
+    counted = (np.arange(table.shape[1]) < lengths[:, None]) & (table <= top[:, None])
+    found = own[np.minimum(np.searchsorted(own, table), len(own) - 1)] == table
+    both = (found & counted).sum(1)
+    union = np.searchsorted(own, top, "right") + counted.sum(1) - both
+    limit = PERCENT / 100
+    slack = np.where(top < beyond, SIGMAS * np.sqrt(limit * (1 - limit) / np.maximum(union, 1)), 0)
+    return both + 1 >= (limit - slack) * (union - 1)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, digest, sketch`` of every row; ``digest`` names the set and is null for an empty one."""
 
@@ -182,6 +203,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(work, "u long, v long")
 
 
+def _with_least(texts: DataFrame) -> DataFrame:
+    """``node, text`` with the ``LEAST`` smallest hashes of the text's set."""
+
+    def work(batches):
+        for batch in batches:
+            least = [(shingle_set(text.as_py())[:LEAST] >> np.uint64(32)).astype("<u4").tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.binary())], ["node", "text", "least"])
+
+    return texts.select("node", "text").mapInArrow(work, "node long, text string, least binary")
+
+
 def _texts_of(plain: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of some ids. The ids grow with the corpus, so they are merged and not broadcast at any size."""
     return plain.join(ids.hint("merge"), "node", "left_semi")
@@ -195,12 +227,12 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("_cu", "u") != F.coalesce("_cv", "v")).select("u", "v")
 
 
-def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
+def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, candidates: DataFrame, best_only: bool) -> DataFrame:
     """Likely pairs ``u, v`` of different components inside a bucket, its smallest member aside.
 
     Members outside the bucket's main component meet the others in groups of about ``GROUP`` rows, so a
-    large bucket is dealt over many tasks; estimates are computed in blocks and only likely pairs leave a
-    task. With ``best_only`` that is the most likely partner in each other component.
+    large bucket is dealt over many tasks; estimates are computed in blocks and only likely pairs that the
+    smallest hashes leave possible leave a task. With ``best_only`` that is the most likely partner in each other component.
     """
 
     def first_shared(row, sketch):
@@ -210,9 +242,13 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, best
         return band_keys(own.reshape(-1), every=True)[same.argmax(1)] == row[0]
 
     def pairs_of(lone, others):
+        if not lone or not others:
+            return
         sketch, numbers = (np.frombuffer(b"".join(r[k] for r in others), "<u2").reshape(len(others), -1) if k == 5 else np.array([r[2:5] for r in others], np.int64) for k in (5, 0))
         node, n, part = numbers.T
         both = {r[2] for r in lone}
+        lengths = np.array([len(r[6]) // 4 for r in others], np.int64)
+        least = np.frombuffer(b"".join(r[6].ljust(4 * lengths.max(initial=1), b"\0") for r in others), "<u4").reshape(len(others), -1)
         double = np.array([x in both for x in node.tolist()])
         for row in lone:
             fits = (100 * np.minimum(n, row[3]) >= PERCENT * np.maximum(n, row[3])) & (part != row[4])
@@ -227,6 +263,10 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, best
             if not len(at):
                 continue
             at, estimate = at[first := first_shared(row, sketch[at])], estimate[first]
+            if not len(at):
+                continue
+            possible = _possible(np.frombuffer(row[6], "<u4"), row[3], least[at], lengths[at], n[at])
+            at, estimate = at[possible], estimate[possible]
             if best_only and len(at):
                 by = np.lexsort((node[at], -estimate, part[at]))
                 at = at[by][np.concatenate([[True], np.diff(part[at][by]) != 0])]
@@ -239,11 +279,11 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, best
             found = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:2] != key:
-                    found += pairs_of([r for r in rows if r[6]], [r for r in rows if not r[6]]) if rows else []
+                    found += pairs_of([r for r in rows if r[7]], [r for r in rows if not r[7]]) if rows else []
                     key, rows = row[:2], []
                 rows.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
-        found = list(pairs_of([r for r in rows if r[6]], [r for r in rows if not r[6]])) if rows else []
+        found = list(pairs_of([r for r in rows if r[7]], [r for r in rows if not r[7]])) if rows else []
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     placed = buckets.filter("size > 2").join(labels.select("node", "component"), "node", "left")
@@ -251,8 +291,8 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, best
     parts = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"))
     parts = stage(parts.filter("parts > 1").select("key", "main"), "mixed-keys")
     salts = F.ceil(F.col("size") / GROUP).cast("int")
-    mixed = placed.filter("node <> u").join(parts, "key").join(classes.select("node", "sketch"), "node").withColumn("salts", salts)
-    columns = ["key", "salt", "node", "n", "c", "sketch"]
+    mixed = placed.filter("node <> u").join(parts, "key").join(classes.select("node", "sketch"), "node").join(candidates.select("node", "least"), "node").withColumn("salts", salts)
+    columns = ["key", "salt", "node", "n", "c", "sketch", "least"]
     others = mixed.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select(*columns, F.lit(False).alias("lone"))
     lone = mixed.filter("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*columns, F.lit(True).alias("lone"))
     dealt = others.unionByName(lone).repartition(partitions(classes.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
@@ -278,7 +318,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ids = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = stage(_texts_of(plain, ids), "texts")
+    candidates = stage(_with_least(_texts_of(plain, buckets.select("node").distinct())), "candidates")
+    texts = stage(_texts_of(candidates.select("node", "text"), ids), "texts")
     first = likely.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     links = stage(_verified(first, texts), "links")
     labels = components(links)
@@ -290,12 +331,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     tested = likely.unionByName(first).select("u", "v")
     for best_only in (True, False):
-        cross = _mixed_pairs(buckets, labels, classes, best_only)
+        cross = _mixed_pairs(buckets, labels, classes, candidates, best_only)
         cross = stage(cross.distinct().join(tested, ["u", "v"], "left_anti"), "cross")
         if cross.isEmpty():
             continue
         ids = cross.select(F.col("u").alias("node")).union(cross.select("v")).distinct()
-        more = stage(_verified(cross, stage(_texts_of(plain, ids), "texts")), "links")
+        more = stage(_verified(cross, stage(_texts_of(candidates.select("node", "text"), ids), "texts")), "links")
         tested, links = tested.unionByName(cross), links.unionByName(more)
         if not more.isEmpty():
             labels = components(links)

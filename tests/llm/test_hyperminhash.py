@@ -79,3 +79,23 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(300, 299), (299, 250), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {found[k] for k in range(41)} == {0} and {found[k] for k in range(100, 160)} == {100} and found[300] == 250
+
+
+def test_smallest_hashes_keep_every_pair_at_the_threshold():
+    rng = np.random.default_rng(8)
+    for size in (1, 4, 8, 100, 200, 256, 300, 5000):
+        for share in (0.3, 0.75, 0.8, 1.0):
+            for _ in range(20):
+                pool = rng.permutation(np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)))
+                both = -(-int(len(pool) * share * 100) // 100)
+                cut = both + (len(pool) - both) // 2
+                a, b = np.sort(pool[:cut]), np.sort(np.concatenate([pool[:both], pool[cut:]]))
+                if not len(a) or not len(b):
+                    continue
+                left, right = ((x[: H.LEAST] >> np.uint64(32)).astype(np.uint32) for x in (a, b))
+                exact = 100 * both >= H.PERCENT * len(pool)
+                table = np.zeros((2, max(len(left), len(right))), np.uint32)
+                table[0, : len(right)], table[1, : len(left)] = right, left
+                other, same = H._possible(left, len(a), table, np.array([len(right), len(left)]), np.array([len(b), len(a)]))
+                assert same and (other or not exact)
+                assert not other or share != 0.3 or size < 100
