@@ -44,11 +44,10 @@ def _(b):
 
 @query("txt3_term_excerpt", """
 SELECT doc_id, CASE WHEN m = '' THEN '' ELSE trim(substr(text, greatest(1, p - 60), p + len(m) + 60 - greatest(1, p - 60)), e' \\n\\t\\r') END AS excerpt
-FROM (SELECT doc_id, text, m, length(regexp_extract(text, '(?s)^(.*?)\\b(und|and)\\b', 1)) + 1 AS p FROM (SELECT doc_id, text, regexp_extract(text, '\\b(und|and)\\b') AS m FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')))""")
+FROM (SELECT doc_id, text, m, length(regexp_extract(text, '(?s)^(.*?(?:^|[^A-Za-z0-9]))(?:und|and)(?:[^A-Za-z0-9]|$)', 1)) + 1 AS p FROM (SELECT doc_id, text, regexp_extract(text, '(?:^|[^A-Za-z0-9])(und|and)(?:[^A-Za-z0-9]|$)', 1) AS m FROM documents))""")
 def _(b):
-    plain = b.table("documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
     excerpt = T.term_excerpt("Conjunction", ["text"], {}, {"Conjunction": ["and", "und"]})
-    return plain.select("doc_id", F.coalesce(excerpt, F.lit("")).alias("excerpt"))
+    return b.table("documents").select("doc_id", F.coalesce(excerpt, F.lit("")).alias("excerpt"))
 
 
 view("x_tokens", """
@@ -184,18 +183,17 @@ def _(b):
     return T.excerpt_grounded(cited, docs.select("doc_id", F.col("text").alias("source_text")), "citation_id", "doc_id").select("doc_id", "kind", "grounded")
 
 
-@query("txt12_unsafe_claims", "SELECT conv_id, turn, regexp_matches(regexp_replace(lower(text), '\\s+', ' ', 'g'), '\\bof the\\b|\\bque la\\b|\\bund\\b.{0,80}\\b(?:der|die)\\b') AS unsafe FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("txt12_unsafe_claims", "SELECT conv_id, turn, regexp_matches(regexp_replace(lower(text), '\\s+', ' ', 'g'), '(?:^|[^\\pL\\pN_])(?:of the|que la|und[^\\pL\\pN_](?:.{0,78}[^\\pL\\pN_])?(?:der|die))(?:[^\\pL\\pN_]|$)') AS unsafe FROM conversations")
 def _(b):
-    plain = b.table("conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("conv_id", "turn", T.unsafe_claim("text", [r"\bof the\b", r"\bque la\b", r"\bund\b.{0,80}\b(?:der|die)\b"]).alias("unsafe"))
+    return b.table("conversations").select("conv_id", "turn", T.unsafe_claim("text", [r"\bof the\b", r"\bque la\b", r"\bund\b.{0,80}\b(?:der|die)\b"]).alias("unsafe"))
 
 
 @query("txt13_unsupported_narrowing", """
-SELECT conv_id, turn, needs FROM (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\\bthe\\b.{0,120}\\bin\\b') THEN 'cross_domain' WHEN regexp_matches(t, '\\bof\\b') AND regexp_matches(t, '\\band\\b') THEN 'technology_scope' END AS needs
-  FROM (SELECT *, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')))
+SELECT conv_id, turn, needs FROM (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?:^|[^\\pL\\pN_])the[^\\pL\\pN_](?:.{0,118}[^\\pL\\pN_])?in(?:[^\\pL\\pN_]|$)') THEN 'cross_domain' WHEN regexp_matches(t, '(?:^|[^\\pL\\pN_])of(?:[^\\pL\\pN_]|$)') AND regexp_matches(t, '(?:^|[^\\pL\\pN_])and(?:[^\\pL\\pN_]|$)') THEN 'technology_scope' END AS needs
+  FROM (SELECT *, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM conversations))
 WHERE needs IS NOT NULL AND NOT (conv_id % 3 = 0 OR (conv_id % 3 = 1 AND needs = 'technology_scope'))""")
 def _(b):
-    talk = b.table("conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    talk = b.table("conversations")
     supports = talk.select("conv_id").distinct().filter("conv_id % 3 < 2").select(
         "conv_id", F.when(F.col("conv_id") % 3 == 1, F.lit("technology")).otherwise(F.lit("strategy")).alias("domain"), F.lit("derived_analytics").alias("support_class"),
         F.when(F.col("conv_id") % 3 == 0, F.lit("strategy.get_signals")).otherwise(F.lit("technology.get_summary")).alias("tool_name"), F.when(F.col("conv_id") % 3 == 0, 2).otherwise(0).alias("signal_count"),
