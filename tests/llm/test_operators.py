@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -124,6 +125,31 @@ def test_quality_counts(spark):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_long_clean_texts_lie_inside_the_bands(lang):
+    import zstandard
+
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    good = {r["doc_id"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist() if r["quality"] == 1}
+    words = [w for r in rows if r["lang"] == lang and r["doc_id"] in good for w in (r["text"] or "").split()]
+    packer, rng = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(7)
+    for size in (20_000, 70_000, 140_000, 262_000, 300_000, 1_000_000, 2_500_000, 5_000_000):
+        text = " ".join(rng.choices(words, k=size // 4)).encode()[:size]
+        assert quality.band_verdict(text, packer)[2] == "inside", size
+        copied = text[: size * 6 // 10] + text[: size - size * 6 // 10]
+        assert size > 2_000_000 or quality.band_verdict(copied, packer)[2] == "repetitive", size
+
+
+def test_short_texts_get_a_verdict():
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    for text in ("12 years in Rome, 3 years in Oslo, 4 years in Turin", "to be or not to be that is the question whether tis nobler", "it was the best of times, it was the worst of times, it was the age of wisdom", "You can fool all the people some of the time, and some of the people all the time, but you cannot fool all the people all the time."):
+        assert quality.band_verdict(text.encode(), packer)[2] == "inside"
+    assert all(quality.band_verdict(b"ab " * n, packer)[2] == "repetitive" for n in (12, 20, 40, 80))
+    assert quality.band_verdict(random.Random(1).randbytes(200), packer)[2] == "incompressible" and quality.band_verdict(b"", packer) == (None, None, "empty")
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(90, 8)).astype(float)
