@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``doc_id`` takes no part and is kept. Rows that repeat a ``doc_id`` count as one document with all
     their links. Long texts are hashed whole. An empty table gives no rows. Other columns are ignored.
     """
-    sized = f"n <= {100 / PERCENT} * m AND m <= {100 / PERCENT} * n"
+    sized = f"100 * least(n, m) >= {PERCENT} * greatest(n, m)"  # whole numbers: SQL reads 1.33... as a decimal
     sketched = stage(sketches(docs), "sketches")
     members = sketched.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = stage(members.groupBy("digest").agg(F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("digest", "node", "s.*"), "classes")

@@ -59,6 +59,14 @@ def test_components_equal_all_pairs(spark):
     assert H.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_prefix_of_exactly_three_quarters_is_linked(spark):
+    rows = [t for n, m, base in ((8, 7, 0), (44, 34, 10), (404, 304, 20)) for t in ((base, " ".join(f"{base}w{k}" for k in range(n))), (base + 1, " ".join(f"{base}w{k}" for k in range(m))))]
+    rows += [(base + 2, text.replace("w", "v")) for base, text in rows[:5:2]] + [(base + 1, text.replace("w", "v")) for base, text in rows[1::2]]  # the shorter or the longer one first
+    rows = [(k, text) for k, (_, text) in enumerate(rows)]
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute(rows) and sum(r[2] for r in found.values()) == 6
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.75, 0.9):
