@@ -33,7 +33,8 @@ P = 7
 MANTISSA = 10
 ROWS = 4
 SIGMAS = 4.0
-GROUP = 5_000  # rows of a bucket that meet in one group
+GROUP = 5_000  # rows of each side of a bucket that meet in one group
+STEP = 1.34  # of sizes from class to class, above 100 / PERCENT: linked sets are in the same class or in neighbouring ones
 LEAST = 256  # smallest hashes of a set that go with a row of a mixed bucket; 32 bits of each
 CACHE_WORDS = 1_000_000
 COLLISIONS = 0.169919487159739093975315012348  # fixed value of the published collision estimate
@@ -227,12 +228,42 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("_cu", "u") != F.coalesce("_cv", "v")).select("u", "v")
 
 
+def _dealt(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, cell, node, n, c, lone, apart``: the members of mixed buckets, dealt so that rows of one cell meet.
+
+    A cell holds a block of ``lone`` rows, outside the bucket's main component, and a block of all its members,
+    ``apart`` where they are outside too. Both have about ``GROUP`` rows at most. Each lone row meets every
+    member of its own and the neighbouring size classes in one cell.
+    """
+    placed = buckets.filter("size > 2").join(labels.select("node", "component"), "node", "left")
+    placed = stage(placed.select("key", "node", "n", "size", "u", F.coalesce("component", "node").alias("c")), "placed")
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"))
+    parts = stage(parts.filter("parts > 1").select("key", "main"), "mixed-keys")
+    mixed = placed.filter("node <> u").join(parts, "key").withColumn("apart", F.expr("c <> main")).withColumn("kind", F.floor(F.log(STEP, "n")).cast("int"))
+    columns = ["key", "node", "n", "c", "apart"]
+    near = F.explode(F.array(*(F.col("kind") + k for k in (-1, 0, 1))))
+
+    small, large = mixed.filter(f"size <= {GROUP}").withColumn("cell", F.lit(0).cast("long")), mixed.filter(f"size > {GROUP}")
+    counts = large.groupBy("key", "kind").agg(F.count("*").alias("all"), F.count_if("apart").alias("lone"))
+    meet = counts.select("key", near.alias("kind"), "lone").groupBy("key", "kind").agg(F.sum("lone").alias("lone"))
+    cells = counts.select("key", "kind", "all").join(meet.filter("lone > 0"), ["key", "kind"])
+    cells = stage(cells.select("key", "kind", *(F.ceil(F.col(k) / GROUP).cast("long").alias(k) for k in ("all", "lone"))), "cells")
+    block = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    number = lambda lone, every: ((F.col("kind") * F.lit(1 << 24) + lone) * F.lit(1 << 24) + every).alias("cell")
+    span = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    others = large.join(cells, ["key", "kind"]).withColumn("_block", span("lone")).select(*columns, number(F.col("_block"), block("all")), F.lit(False).alias("lone"))
+    lone = large.filter("apart").select(*columns, near.alias("kind")).join(cells, ["key", "kind"]).withColumn("_block", span("all")).select(*columns, number(block("lone"), F.col("_block")), F.lit(True).alias("lone"))
+    small = small.select(*columns, "cell")
+    out = small.withColumn("lone", F.lit(False)).unionByName(small.filter("apart").withColumn("lone", F.lit(True)))
+    return out.unionByName(others).unionByName(lone).select("key", "cell", "node", "n", "c", "lone", "apart")
+
+
 def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, candidates: DataFrame, best_only: bool) -> DataFrame:
     """Likely pairs ``u, v`` of different components inside a bucket, its smallest member aside.
 
-    Members outside the bucket's main component meet the others in groups of about ``GROUP`` rows, so a
-    large bucket is dealt over many tasks; estimates are computed in blocks and only likely pairs that the
-    smallest hashes leave possible leave a task. With ``best_only`` that is the most likely partner in each other component.
+    Members outside the bucket's main component meet the others in the cells of ``_dealt``, so a large
+    bucket is dealt over many tasks; estimates are computed in blocks and only likely pairs that the smallest
+    hashes leave possible leave a task. With ``best_only`` that is the most likely partner in each other component.
     """
 
     def first_shared(row, sketch):
@@ -246,10 +277,9 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, cand
             return
         sketch, numbers = (np.frombuffer(b"".join(r[k] for r in others), "<u2").reshape(len(others), -1) if k == 5 else np.array([r[2:5] for r in others], np.int64) for k in (5, 0))
         node, n, part = numbers.T
-        both = {r[2] for r in lone}
         lengths = np.array([len(r[6]) // 4 for r in others], np.int64)
         least = np.frombuffer(b"".join(r[6].ljust(4 * lengths.max(initial=1), b"\0") for r in others), "<u4").reshape(len(others), -1)
-        double = np.array([x in both for x in node.tolist()])
+        double = np.array([r[8] for r in others])  # lone too: this pair comes from both sides
         for row in lone:
             fits = (100 * np.minimum(n, row[3]) >= PERCENT * np.maximum(n, row[3])) & (part != row[4])
             if not best_only:
@@ -286,16 +316,9 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, cand
         found = list(pairs_of([r for r in rows if r[7]], [r for r in rows if not r[7]])) if rows else []
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    placed = buckets.filter("size > 2").join(labels.select("node", "component"), "node", "left")
-    placed = stage(placed.select("key", "node", "n", "size", "u", F.coalesce("component", "node").alias("c")), "placed")
-    parts = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"))
-    parts = stage(parts.filter("parts > 1").select("key", "main"), "mixed-keys")
-    salts = F.ceil(F.col("size") / GROUP).cast("int")
-    mixed = placed.filter("node <> u").join(parts, "key").join(classes.select("node", "sketch"), "node").join(candidates.select("node", "least"), "node").withColumn("salts", salts)
-    columns = ["key", "salt", "node", "n", "c", "sketch", "least"]
-    others = mixed.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select(*columns, F.lit(False).alias("lone"))
-    lone = mixed.filter("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*columns, F.lit(True).alias("lone"))
-    dealt = others.unionByName(lone).repartition(partitions(classes.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
+    columns = ["key", "cell", "node", "n", "c", "sketch", "least", "lone", "apart"]
+    rows = _dealt(buckets, labels).join(classes.select("node", "sketch"), "node").join(candidates.select("node", "least"), "node").select(*columns)
+    dealt = rows.repartition(partitions(classes.sparkSession), "key", "cell").sortWithinPartitions("key", "cell")
     return dealt.mapInArrow(work, "u long, v long")
 
 

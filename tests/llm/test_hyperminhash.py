@@ -67,6 +67,27 @@ def test_prefix_of_exactly_three_quarters_is_linked(spark):
     assert found == brute(rows) and sum(r[2] for r in found.values()) == 6
 
 
+def test_hot_buckets_are_dealt_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(H, "GROUP", 50)
+    rng = random.Random(4)
+    sizes = {k: rng.choice((3, 4, 30, 40, 41, 53, 54)) for k in range(1, 901)}
+    buckets = spark.createDataFrame([(7, k, n, 901, 0) for k, n in sizes.items()], "key long, node long, n long, size long, u long")
+    cells = {}
+    for r in H._dealt(buckets, spark.createDataFrame([], "node long, component long")).collect():
+        cells.setdefault((r.key, r.cell), ([], []))[r.lone].append(r.node)
+    assert max(len(side) for cell in cells.values() for side in cell) <= 2 * H.GROUP
+    met = {(a, b) for others, lone in cells.values() for a in lone for b in others}
+    close = {(a, b) for a in sizes for b in sizes if a != 900 and 100 * min(sizes[a], sizes[b]) >= H.PERCENT * max(sizes[a], sizes[b])}
+    assert close <= met and not any(max(sizes[a], sizes[b]) > 5 * min(sizes[a], sizes[b]) for a, b in met)
+
+
+def test_components_with_dealt_buckets(spark, monkeypatch):
+    monkeypatch.setattr(H, "GROUP", 6)
+    rows = corpus()
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute(rows)
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.75, 0.9):
