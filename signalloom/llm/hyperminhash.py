@@ -371,5 +371,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    return docs.join(near_duplicates(docs).filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """The rows of ``docs`` that are kept, with their columns: all without ``doc_id``, and one of those that
+    repeat both ``doc_id`` and text."""
+    found = near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id")
+    ids = found.agg(F.max("kept").alias("_kept"), (F.count("*") > 1).alias("_again")).filter("_kept").drop("_kept")
+    rows = docs.join(ids, "doc_id").select(*docs.columns, "_again")
+    repeated = rows.filter("_again").dropDuplicates(["doc_id", "text"])
+    nameless = docs.filter(F.col("doc_id").cast("long").isNull())
+    return rows.filter("NOT _again").unionByName(repeated).drop("_again").select(*docs.columns).unionByName(nameless)

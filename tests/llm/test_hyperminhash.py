@@ -88,6 +88,13 @@ def test_components_with_dealt_buckets(spark, monkeypatch):
     assert found == brute(rows)
 
 
+def test_one_row_of_each_group(spark):
+    rows = [(None, "a b c", "x"), (None, "a b c", "x"), (1, "a b c", "x"), (2, "a b c", "y"), (3, "d e f", "x"), (3, "d e f", "x"), (4, None, "x"), (4, None, "y"), (5, "g", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = sorted((r.doc_id or 0, r.text or "") for r in H.one_per_group(docs).collect())
+    assert found == [(0, "a b c"), (0, "a b c"), (1, "a b c"), (3, "d e f"), (4, ""), (5, "g")]
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.75, 0.9):
