@@ -16,6 +16,9 @@ A byte goes when some string of ``LENGTH`` bytes that covers it also starts else
    for what precedes, read backwards. No suffix is sorted again after its shard.
 4. With common prefixes in both directions, a string is repeated when two suffixes share t bytes to the
    left and the rest to the right, for each t in turn.
+5. A task orders whole keys of some ``BOUND`` suffixes at a time. Where more share one key, as at the edges of a
+   passage that much of the corpus holds, their strings are counted by 128-bit hashes instead, so that
+   the rows of a key never have to meet in one task.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ GRAM = 64
 SPAN = LENGTH - GRAM + 1
 BEFORE = SPAN - 1  # a string may begin so far before its anchor
 REACH = BEFORE // 2
+BOUND = 20_000  # suffixes that a task orders at once; keys with more are counted instead
 
 _rng = np.random.default_rng(20)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -246,30 +250,88 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
+def _ordered_ranges(pieces: list[list[list]]):
+    """Ranges of the repeated strings of whole keys; each piece is a shard."""
+    for side, low in (("R", 0), ("L", REACH + 1)):
+        parts = [[[c[i] for i in chosen] for c in p] for p in pieces if (chosen := [i for i, s in enumerate(p[3]) if s == side])]
+        if not parts:
+            continue
+        reach = REACH if side == "R" else BEFORE - REACH - 1
+        bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+        shards = [np.arange(a, b) for a, b in zip(bounds, bounds[1:])]
+        gram, around, times, _, core, left, right = ([x for p in parts for x in p[k]] for k in range(7))
+        keys = np.column_stack([np.array(core, np.int64), np.array(gram, np.int64)]).view(np.uint64)
+        flags = repeated_strings(keys, left, right, np.array(times), shards, reach)
+        row, first, last = _ranges(flags)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(gram, np.int64)[row]), pa.array(np.array(around, np.int64)[row]), pa.array(first + low), pa.array(last + low)], ["gram", "around", "low", "high"])
+
+
+def _whole_keys(batches, bound: int):
+    """Lists of pieces of sorted batches, cut between keys once ``bound`` rows have come together."""
+    held, rows, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_pylist() for c in batch.columns]
+        keys = [last, *zip(*(columns[k] for k in (3, 4, 0)))]
+        last, cut = keys[-1], None
+        if rows + batch.num_rows > bound:
+            cut = next((i for i in range(batch.num_rows - 1, -1, -1) if keys[i] != keys[i + 1]), None)
+        if cut is not None:
+            yield held + [[c[:cut] for c in columns]] * (cut > 0)
+            held, rows, columns = [], 0, [c[cut:] for c in columns]
+        held.append(columns)
+        rows += len(columns[0])
+    yield held
+
+
 def _resolved(variants: DataFrame) -> DataFrame:
     """Repeated strings over anchors whose surroundings differ: ``gram, around, low, high`` in bytes before the anchor."""
+    bound = BOUND
 
     def work(batches):
-        parts: dict[str, list] = {"R": [], "L": []}
+        for pieces in _whole_keys(batches, bound):
+            yield from _ordered_ranges(pieces)
+
+    schema, key = "gram long, around long, low long, high long", ["side", "core", "gram"]
+    hot = stage(variants.groupBy(*key).count().filter(f"count > {bound}").select(*key), "hot-cores")  # one row per ``bound`` suffixes at most
+    if hot.isEmpty():
+        return variants.repartition(partitions(variants.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(work, schema)
+    rest = variants.join(F.broadcast(hot), key, "left_anti").select(*variants.columns)
+    ordered = rest.repartition(partitions(variants.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(work, schema)
+    return ordered.unionByName(_counted(variants.join(F.broadcast(hot), key, "left_semi").select(*variants.columns)))
+
+
+def _counted(variants: DataFrame) -> DataFrame:
+    """The same by counts of the strings' hashes, without bringing the rows of a key together."""
+
+    def strings(batches):
+        import xxhash
+
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for side in parts:
-                chosen = [i for i, s in enumerate(columns[3]) if s == side]
-                if chosen:
-                    parts[side].append([[c[i] for i in chosen] for c in columns])
-        for side, low in (("R", 0), ("L", REACH + 1)):
-            if not parts[side]:
-                continue
-            reach = REACH if side == "R" else BEFORE - REACH - 1
-            bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts[side]])])
-            shards = [np.arange(a, b) for a, b in zip(bounds, bounds[1:])]
-            gram, around, times, _, core, left, right = ([x for p in parts[side] for x in p[k]] for k in range(7))
-            keys = np.column_stack([np.array(core, np.int64), np.array(gram, np.int64)]).view(np.uint64)
-            flags = repeated_strings(keys, left, right, np.array(times), shards, reach)
-            row, first, last = _ranges(flags)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(gram, np.int64)[row]), pa.array(np.array(around, np.int64)[row]), pa.array(first + low), pa.array(last + low)], ["gram", "around", "low", "high"])
-
-    return variants.mapInArrow(work, "gram long, around long, low long, high long")
+            for start in range(0, batch.num_rows, 1000):
+                out = []
+                for gram, around, times, side, core, left, right in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns)):
+                    reach, low = (REACH, 0) if side == "R" else (BEFORE - REACH - 1, REACH + 1)
+                    for t in range(max(0, reach - len(right)), min(reach, len(left)) + 1):
+                        out.append((gram, around, times, core, t + low, xxhash.xxh3_128_digest(left[:t] + right[: reach - t], t + low)))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["gram", "around", "times", "core", "before", "digest"])
+
+    def ranges(batches):
+        for batch in batches:
+            out = []
+            for gram, around, before in zip(*(c.to_pylist() for c in batch.columns)):
+                before = sorted(set(before))
+                firsts = [b for i, b in enumerate(before) if not i or before[i - 1] != b - 1]
+                lasts = [b for i, b in enumerate(before) if i + 1 == len(before) or before[i + 1] != b + 1]
+                out += [(gram, around, a, b) for a, b in zip(firsts, lasts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["gram", "around", "low", "high"])
+
+    key = ["gram", "core", "before", "digest"]
+    found = variants.mapInArrow(strings, "gram long, around long, times long, core long, before long, digest binary")
+    twice = stage(found.groupBy(*key).agg(F.sum("times").alias("n")).filter("n > 1").select(*key), "counted")  # a plain table, so that a hot string's join can be split
+    return found.join(twice, key).groupBy("gram", "around").agg(F.collect_set("before").alias("before")).mapInArrow(ranges, "gram long, around long, low long, high long")
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
@@ -296,8 +358,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["gram", "around", "times", "side", "core", "left", "right"])
 
-    variants = texts.mapInArrow(cut, "gram long, around long, times long, side string, core long, left binary, right binary")
-    ranges = _resolved(variants.repartition(partitions(docs.sparkSession), "side", "core", "gram"))
+    variants = stage(texts.mapInArrow(cut, "gram long, around long, times long, side string, core long, left binary, right binary"), "variants")
+    ranges = _resolved(variants)
     place = F.col("at")
     partly = mixed.join(ranges, ["gram", "around"]).select("doc_id", (place - F.col("high")).alias("low"), (place - F.col("low")).alias("high"))
     return whole.unionByName(partly)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from signalloom.llm import suffixes as S
@@ -59,6 +60,23 @@ def test_removal_equals_brute_force(spark):
     assert found[None] == (len(passage.encode()), 0, 0, hashlib.sha256(passage.encode()).hexdigest())
 
 
+def test_keys_above_the_bound_are_counted(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = word(260)
+    texts = [word(80) + passage + word(60) for _ in range(40)] + [word(5) + passage + word(9), passage[30:240], "a" * 500, "ab" * 300]
+    texts += [texts[0][40:380], "c" + texts[1][10:300], texts[2][3:] + "d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sizes = []
+    pieces = [pa.record_batch([pa.array(c) for c in zip(*[(g, i, 1, "R", 5, b"", b"") for i, g in enumerate(grams)])], list("abcdefg")) for grams in ([1, 1, 1, 2], [2, 2, 3], [3, 3, 4, 4, 5])]
+    for held in S._whole_keys(iter(pieces), 4):
+        sizes.append([g for p in held for g in p[0]])
+    assert sum(sizes, []) == [1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 5] and all(a[-1] != b[0] for a, b in zip(sizes, sizes[1:])) and max(map(len, sizes)) <= 8
+    for bound in (1, 10, 20_000):
+        monkeypatch.setattr(S, "BOUND", bound)
+        assert [tuple(r)[1:] for r in S.digests(docs).orderBy("doc_id").collect()] == brute(texts), bound
+
+
 def test_without_repeats_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "x" * 300 + "é", "en", "s", 301), (2, None, "en", "s", 0), (3, "plain", None, None, 5)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in S.without_repeats(docs).collect()}
