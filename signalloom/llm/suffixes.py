@@ -9,11 +9,12 @@ A byte goes when some string of ``LENGTH`` bytes that covers it also starts else
    hash aggregation, so hot passages and groups of copies collapse before anything is sorted.
 2. The rest are suffixes that differ somewhere near. They are dealt by the bytes that all strings of one
    half have in common (the gram and the ``REACH`` bytes to one side of it) and carry only the tails beyond.
-3. A task sorts each incoming shard by the right tails and keeps with each suffix what precedes it: the
-   Burrows-Wheeler transform of the shard, with eight-byte symbols. Shards are merged by refining their
-   interleave symbol by symbol: only blocks that still hold suffixes of both shards are looked at, and the
-   step and byte at which a block splits is the common prefix of the neighbours there. The same is done
-   for what precedes, read backwards. No suffix is sorted again after its shard.
+3. A task sorts each shard (an Arrow batch) by the right tails, in eight-byte symbols. Shards are merged by
+   refining their interleave symbol by symbol: only blocks that still hold suffixes of both shards are
+   looked at, and the step and byte at which a block splits is the common prefix of the neighbours there. The
+   same is done for what precedes, read backwards, in an order of its own. No suffix is sorted again after its
+   shard. No Burrows-Wheeler transform is built: the short tails lie beside their rows, so the merge reads
+   their own next symbols and need not recover them from preceding ones.
 4. With common prefixes in both directions, a string is repeated when two suffixes share t bytes to the
    left and the rest to the right, for each t in turn.
 5. A task orders whole keys of some ``BOUND`` suffixes at a time. Where more share one key, as at the edges of a
