@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import huffman, hyperminhash, lattice, licenses, packing, pivots, quality, suffixes, toxicity, warc
+from signalloom.llm import contentsort, huffman, hyperminhash, lattice, licenses, packing, pivots, quality, suffixes, toxicity, warc
 from signalloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,17 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
 FROM f
 """
+
+
+@query
+def op13_content_sort(spark, folder):
+    """Exact duplicates of all documents after white space is made alike."""
+    return contentsort.exact_duplicates(table(spark, folder, "documents"))
+
+
+ORACLES["op13_content_sort"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d
+"""
