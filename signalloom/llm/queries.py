@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import contentsort, huffman, hyperminhash, lattice, licenses, packing, pivots, quality, suffixes, toxicity, warc
+from signalloom.llm import collocations, contentsort, huffman, hyperminhash, lattice, licenses, packing, pivots, quality, suffixes, toxicity, warc
 from signalloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,36 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """
+
+
+@query
+def op12_dynamic_itemsets(spark, folder):
+    """The best phrases of two to four words of every language of all documents."""
+    return collocations.collocations(table(spark, folder, "documents"), threshold=30, top=2000)
+
+
+ORACLES["op12_dynamic_itemsets"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+words AS (SELECT lang, [w FOR w IN regexp_split_to_array(piece, '[\x20\x09]+') IF w <> ''] AS w FROM pieces),
+sizes AS (SELECT lang, w, unnest(range(1, 5)) AS k FROM words),
+starts AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sizes WHERE len(w) >= k),
+f AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS n FROM starts GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE n >= 30),
+listed AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM listed),
+scores AS (
+  SELECT u.lang, u.phrase, u.k, u.n AS a, cut, x.n AS l, y.n AS r, CAST(CAST(2000000 AS HUGEINT) * u.n // (x.n + y.n) AS BIGINT) AS score
+  FROM cuts AS u JOIN c AS x ON x.lang = u.lang AND x.phrase = array_to_string(w[1 : cut], ' ')
+  JOIN c AS y ON y.lang = u.lang AND y.phrase = array_to_string(w[cut + 1 :], ' ')
+),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (SELECT lang, k, n, w, unnest(range(2, k)) AS size FROM listed WHERE k > 2),
+inner_ AS (SELECT lang, n, size, w, unnest(range(1, k - size + 2)) AS i FROM parts),
+around AS (SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(n) AS n FROM inner_ GROUP BY ALL),
+kept AS (SELECT b.* FROM best AS b LEFT JOIN around AS o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.n IS NULL OR 100 * o.n < 80 * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(k.phrase)) AS rank, k.phrase, a, l, r, t.n, score
+FROM kept AS k JOIN total AS t ON t.lang = k.lang
+QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(k.phrase)) <= 2000
+"""
