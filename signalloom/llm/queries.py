@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import collocations, contentsort, huffman, hyperminhash, lattice, licenses, packing, pivots, quality, suffixes, toxicity, warc
+from signalloom.llm import collocations, contentsort, conversations, huffman, hyperminhash, lattice, licenses, packing, pivots, quality, suffixes, toxicity, warc
 from signalloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,12 @@ FROM d
 """
 
 
+@query
+def op11_cyk_repair(spark, folder):
+    """Faults and cheapest repair of every damaged conversation."""
+    return conversations.repair_digests(table(spark, folder, "conversations"))
+
+
 @query
 def op12_dynamic_itemsets(spark, folder):
     """The best phrases of two to four words of every language of all documents."""
