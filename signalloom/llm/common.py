@@ -39,6 +39,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+_owner: list = [None, None]
+
+
+def claim_cache(owner, forget) -> None:
+    """Gives a worker's memory for remembered results to one operator; the one before forgets its own.
+
+    Workers live on from stage to stage, so without this the caches of all operators would add up.
+    """
+    if _owner[0] != owner:
+        if _owner[1] is not None:
+            _owner[1]()
+        _owner[:] = owner, forget
+
+
 def crc_of(ids: np.ndarray, crc: int = 0) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes(), crc)

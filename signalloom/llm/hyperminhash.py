@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from signalloom.llm.common import partitions, stage
+from signalloom.llm.common import claim_cache, partitions, stage
 from signalloom.llm.graph import components
 
 WIDTH = 5
@@ -36,7 +36,7 @@ SIGMAS = 4.0
 GROUP = 5_000  # rows of each side of a bucket that meet in one group
 STEP = 1.34  # of sizes from class to class, above 100 / PERCENT: linked sets are in the same class or in neighbouring ones
 LEAST = 256  # smallest hashes of a set that go with a row of a mixed bucket; 32 bits of each
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 COLLISIONS = 0.169919487159739093975315012348  # fixed value of the published collision estimate
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,6 +59,7 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = (text or "").encode().lower().split()  # on bytes: A-Z only, and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
+    claim_cache("shingles", _words.clear)
     if len(_words) > CACHE_WORDS:
         _words.clear()
     codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -374,8 +375,9 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns: all without ``doc_id``, and one of those that
     repeat both ``doc_id`` and text."""
     found = near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id")
-    ids = found.agg(F.max("kept").alias("_kept"), (F.count("*") > 1).alias("_again")).filter("_kept").drop("_kept")
-    rows = docs.join(ids, "doc_id").select(*docs.columns, "_again")
-    repeated = rows.filter("_again").dropDuplicates(["doc_id", "text"])
-    nameless = docs.filter(F.col("doc_id").cast("long").isNull())
-    return rows.filter("NOT _again").unionByName(repeated).drop("_again").select(*docs.columns).unionByName(nameless)
+    ids = found.agg(F.max("kept").alias("kept"), (F.count("*") > 1).alias("again")).filter("kept").drop("kept")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))  # other columns may have any name
+    rows = held.join(ids, "doc_id")
+    repeated = rows.filter("again").withColumn("text", F.col("row.text")).dropDuplicates(["doc_id", "text"]).drop("text")
+    kept = rows.filter("NOT again").unionByName(repeated).drop("again").unionByName(held.filter("doc_id IS NULL"))
+    return kept.select("row.*")

@@ -1,7 +1,8 @@
 """Packing of token sequences by minimum bin slack.
 
 A document's full windows of ``capacity`` ids are sequences of their own; only its remainder is packed.
-Each task gathers the remainders of up to ``WINDOW`` documents as counts per length. For every sequence
+Each task gathers the remainders of up to ``WINDOW`` documents as counts per length; when it is full, at most
+half of it, the pieces of the sequences with most slack, waits for the next ones. For every sequence
 it takes the longest remainder and asks a bitset of reachable sums for the multiset of the other lengths
 that leaves the least slack; the bitsets are walked back to counts, and the multiset is used as often as
 the counts allow. Nothing is shuffled. Sequences that end with slack give their pieces to a second round
@@ -92,19 +93,30 @@ class _Packer:
         for piece in sorted(self.waiting, key=lambda p: (p[0] is None, p[0], p[1]), reverse=True):
             by_length[piece[2]].append(piece)
         self.waiting = []
+        inexact = []
         for pattern, times in fill_windows({k: len(v) for k, v in by_length.items()}, self.capacity):
-            exact = sum(k * n for k, n in pattern.items()) == self.capacity
+            slack = self.capacity - sum(k * n for k, n in pattern.items())
             for _ in range(times):
-                at = 0
                 pieces = [by_length[k].pop() for k in sorted(pattern, reverse=True) for _ in range(pattern[k])]
-                if not exact and not last:
-                    self.waiting += pieces
-                    continue
-                open_ = not exact and self.keep_open
-                for piece in pieces:
-                    self.out.append((*piece, None, None) if open_ else (*piece, self.next, at))
-                    at += piece[2]
-                self.next += not open_
+                if slack:
+                    inexact.append((slack, len(inexact), pieces))
+                else:
+                    self._place(pieces)
+        room = 0 if last else WINDOW // 2
+        for _, _, pieces in sorted(inexact, reverse=True):  # most slack first: it waits for more pieces
+            if len(self.waiting) + len(pieces) <= room:
+                self.waiting += pieces
+            elif self.keep_open:
+                self.out += [(*piece, None, None) for piece in pieces]
+            else:
+                self._place(pieces)
+
+    def _place(self, pieces: list[tuple]) -> None:
+        at = 0
+        for piece in pieces:
+            self.out.append((*piece, self.next, at))
+            at += piece[2]
+        self.next += 1
 
     def flush(self) -> pa.RecordBatch:
         rows, self.out = self.out, []

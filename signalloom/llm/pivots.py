@@ -27,7 +27,7 @@ def whole_vectors(df: DataFrame, key: str = "vec_id", column: str = "embedding",
     null or non-finite component are left out."""
     x = F.col("v")
     out = df.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
-    fine = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    fine = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return out.filter(fine & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
@@ -77,33 +77,32 @@ def search_chunk(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
 def top_k(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``.
 
-    Scores are whole numbers computed without rounding while they stay below 2^53. Vectors of unequal
-    length to the first pivot take no part. Rows that repeat an id are candidates each; a query never
-    meets rows of its own id. An empty table gives no rows. Other columns are ignored.
+    Scores are whole numbers computed without rounding while they stay below 2^53. A query meets the vectors
+    of its own length; lengths the sample of the pivots lacks are searched without bounds. Rows that repeat an
+    id are candidates each; of queries with one id the shortest and least vector is asked, and a query
+    never meets rows of its own id. An empty table gives no rows. Other columns are ignored.
     """
-    vectors = whole_vectors(df)
+    vectors = whole_vectors(df).withColumn("width", F.size("v"))
     sample = vectors.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(PIVOT_SAMPLE).collect()
     schema = "query_id long, vec_id long, score long"
     if not sample:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = len(sample[0].v)
-    pivots = choose_pivots(np.array([r.v for r in sample if len(r.v) == width], float))
-    vectors = vectors.filter(F.size("v") == width)
+    pivots = {n: choose_pivots(np.array([r.v for r in sample if len(r.v) == n], float)) for n in {len(r.v) for r in sample}}
     chosen = F.col("vec_id") % every == 0
     sizes = vectors.agg(F.count("*").alias("n"), F.count_if(chosen).alias("q")).first()
     chunks, blocks = -(-sizes.n // CHUNK), max(1, -(-sizes.q // BLOCK))
-    mark = F.xxhash64("vec_id", "v")
     block_list, chunk_list = F.array(*map(F.lit, range(blocks))), F.array(*map(F.lit, range(max(1, chunks))))
-    candidates = vectors.select("vec_id", "v", F.pmod(mark, F.lit(max(1, chunks))).cast("int").alias("chunk"), F.explode(block_list).alias("block"))
-    queries = vectors.filter(chosen).select("vec_id", "v", F.explode(chunk_list).alias("chunk"), F.pmod(mark, F.lit(blocks)).cast("int").alias("block"))
+    candidates = vectors.select("vec_id", "v", "width", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, chunks))).cast("int").alias("chunk"), F.explode(block_list).alias("block"))
+    asked = vectors.filter(chosen).groupBy("vec_id").agg(F.min(F.struct("width", "v")).alias("q"))
+    queries = asked.select("vec_id", "q.v", "q.width", F.explode(chunk_list).alias("chunk"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        right = right.drop_duplicates("vec_id")
-        rows = search_chunk(np.array(right.v.tolist(), float), right.vec_id.to_numpy(), np.array(left.v.tolist(), float), left.vec_id.to_numpy(), pivots, k)
+        own = pivots.get(int(left.width.iloc[0]), np.zeros((0, int(left.width.iloc[0]))))
+        rows = search_chunk(np.array(right.v.tolist(), float), right.vec_id.to_numpy(), np.array(left.v.tolist(), float), left.vec_id.to_numpy(), own, k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
 
-    found = candidates.groupBy("chunk", "block").cogroup(queries.groupBy("chunk", "block")).applyInPandas(work, schema)
+    found = candidates.groupBy("chunk", "block", "width").cogroup(queries.groupBy("chunk", "block", "width")).applyInPandas(work, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -72,16 +72,23 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at].view(np.int64)
 
 
+def _named(docs: DataFrame, *columns) -> DataFrame:
+    """``doc, mark`` and the given columns: the identifier and a hash of the text tell rows apart that repeat an
+    identifier; rows equal in both are copies and share all they have. Without identifier the hash stands for it."""
+    mark = F.xxhash64(F.col("text").cast("string"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), mark).alias("doc"), mark.alias("mark"), *columns)
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, at, gram, around``: the anchors of every text with the hash of all bytes in reach."""
+    """``doc, mark, at, gram, around``: the anchors of every text with the hash of all bytes in reach."""
 
     def work(batches):
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            keys, places, grams, around = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            keys, marks, places, grams, around = [], [], [], [], []
+            for key, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = (text.as_py() or "").encode()
                 if len(raw) < LENGTH:
                     continue
@@ -89,20 +96,20 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 places.append(at)
                 grams.append(gram)
                 keys.append(np.full(len(at), key, np.int64))
+                marks.append(np.full(len(at), mark, np.int64))
                 around += [digest(raw[max(0, p - BEFORE) : p + LENGTH], min(p, BEFORE)) for p in at.tolist()]
                 if len(around) > 100_000:
-                    yield _anchor_batch(keys, places, grams, around)
-                    keys, places, grams, around = [], [], [], []
+                    yield _anchor_batch(keys, marks, places, grams, around)
+                    keys, marks, places, grams, around = [], [], [], [], []
             if around:
-                yield _anchor_batch(keys, places, grams, around)
+                yield _anchor_batch(keys, marks, places, grams, around)
 
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
-    return plain.mapInArrow(work, "doc_id long, at int, gram long, around long")
+    return _named(docs, F.col("text").cast("string").alias("text")).mapInArrow(work, "doc long, mark long, at int, gram long, around long")
 
 
-def _anchor_batch(keys, places, grams, around) -> pa.RecordBatch:
-    columns = [np.concatenate(keys), np.concatenate(places).astype(np.int32), np.concatenate(grams), np.array(around, np.uint64).view(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "at", "gram", "around"])
+def _anchor_batch(keys, marks, places, grams, around) -> pa.RecordBatch:
+    columns = [np.concatenate(keys), np.concatenate(marks), np.concatenate(places).astype(np.int32), np.concatenate(grams), np.array(around, np.uint64).view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "mark", "at", "gram", "around"])
 
 
 def tails(raw: bytes, at: int) -> list[tuple[str, int, bytes, bytes]]:
@@ -298,9 +305,9 @@ def _resolved(variants: DataFrame) -> DataFrame:
     hot = stage(variants.groupBy(*key).count().filter(f"count > {bound}").select(*key), "hot-cores")  # one row per ``bound`` suffixes at most
     if hot.isEmpty():
         return variants.repartition(partitions(variants.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(work, schema)
-    rest = variants.join(F.broadcast(hot), key, "left_anti").select(*variants.columns)
+    rest = variants.join(hot, key, "left_anti").select(*variants.columns)
     ordered = rest.repartition(partitions(variants.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(work, schema)
-    return ordered.unionByName(_counted(variants.join(F.broadcast(hot), key, "left_semi").select(*variants.columns)))
+    return ordered.unionByName(_counted(variants.join(hot, key, "left_semi").select(*variants.columns)))
 
 
 def _counted(variants: DataFrame) -> DataFrame:
@@ -336,18 +343,18 @@ def _counted(variants: DataFrame) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """``doc_id, low, high``: starts of strings that also occur elsewhere; the last of a text may lie
+    """``doc, mark, low, high``: starts of strings that also occur elsewhere; the last of a text may lie
     behind its last string and stands for that one."""
     found = stage(anchor_rows(docs), "anchors")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
     grams = stage(grams.filter("n > 1").select("gram", F.expr("a = b").alias("alike")), "shared-grams")  # a plain table, so that a hot gram's join can be split
     shared = stage(found.join(grams, "gram"), "shared-anchors")
-    whole = shared.filter("alike").select("doc_id", F.greatest(F.col("at") - BEFORE, F.lit(0)).alias("low"), F.col("at").alias("high"))
+    whole = shared.filter("alike").select("doc", "mark", F.greatest(F.col("at") - BEFORE, F.lit(0)).alias("low"), F.col("at").alias("high"))
 
     mixed = shared.filter("NOT alike")
-    kinds = mixed.groupBy("gram", "around").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("one"))
-    wanted = kinds.groupBy(F.col("one.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("gram", "around", "times", F.col("one.at").alias("at"))).alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long"), _packed()(F.col("text").cast("string")).alias("text")).join(wanted, "doc_id").select("text", "wanted")
+    kinds = mixed.groupBy("gram", "around").agg(F.count("*").alias("times"), F.min(F.struct("doc", "mark", "at")).alias("one"))
+    wanted = kinds.groupBy("one.doc", "one.mark").agg(F.collect_list(F.struct("gram", "around", "times", F.col("one.at").alias("at"))).alias("wanted"))
+    texts = _named(docs, _packed()(F.col("text").cast("string")).alias("text")).join(wanted, ["doc", "mark"]).select("text", "wanted")
 
     def cut(batches):
         for batch in batches:
@@ -362,7 +369,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     variants = stage(texts.mapInArrow(cut, "gram long, around long, times long, side string, core long, left binary, right binary"), "variants")
     ranges = _resolved(variants)
     place = F.col("at")
-    partly = mixed.join(ranges, ["gram", "around"]).select("doc_id", (place - F.col("high")).alias("low"), (place - F.col("low")).alias("high"))
+    partly = mixed.join(ranges, ["gram", "around"]).select("doc", "mark", (place - F.col("high")).alias("low"), (place - F.col("low")).alias("high"))
     return whole.unionByName(partly)
 
 
@@ -413,34 +420,34 @@ def _removal():
     return removal
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without ``text`` but with a struct ``_cut`` of ``n_bytes, n_removed, n_spans`` and ``kept``, the remaining bytes.
+def remove_repeats(docs: DataFrame, *columns: str) -> DataFrame:
+    """``row``, a struct of the given columns of ``docs``, and ``cut``, a struct of ``n_bytes, n_removed, n_spans``
+    and ``kept``, the remaining bytes, null for a null text.
 
-    Null text counts as empty; texts under ``LENGTH`` bytes hold no string and stay whole. Rows without
-    ``doc_id`` stay whole and are no one's match. Rows that repeat a ``doc_id`` need unique keys to be
-    told apart and share their spans otherwise. An empty table gives no rows. Other columns stay.
+    Null text counts as empty; texts under ``LENGTH`` bytes hold no string and stay whole. Rows with a null or
+    repeated ``doc_id`` are texts of their own like all others; rows equal in ``doc_id`` and text
+    are copies, so all their strings repeat. An empty table gives no rows.
     """
-    spans = repeated_starts(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("low", "high")).alias("_spans"))
-    slim = docs.withColumn("_text", _packed()(F.col("text").cast("string"))).drop("text")
-    joined = slim.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    return joined.withColumn("_cut", _removal()("_text", "_spans")).withColumn("_null", F.col("_text").isNull()).drop("_doc", "_spans", "_text")
+    spans = repeated_starts(docs).groupBy(F.col("doc").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    slim = _named(docs, F.struct(*columns).alias("row"), _packed()(F.col("text").cast("string")).alias("packed"))
+    joined = slim.join(spans, (F.col("doc") == F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+    return joined.withColumn("cut", _removal()("packed", "spans")).select("row", "cut", F.col("packed").isNull().alias("none"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row."""
-    return remove_repeats(docs).select(F.col("doc_id").cast("long"), "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs, "doc_id").select(F.col("row.doc_id").cast("long").alias("doc_id"), "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` with the remaining text and its length in ``n_chars``.
 
-    A cut may split a character; what is left of it goes too. Null text stays null.
+    A cut may split a character; what is left of it goes too. Null text stays null. Other columns may have any name.
     """
-    text = F.when(~F.col("_null"), _decoded()(F.col("_cut.kept")))
-    out = remove_repeats(docs).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    text = F.when(~F.col("none"), _decoded()(F.col("cut.kept")))
+    held = remove_repeats(docs, *others).select("row", text.alias("text"))
+    return held.select(*(F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def _decoded():

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
-CACHE_CHUNKS = 1_000_000
+from signalloom.llm.common import claim_cache
+
+CACHE_CHUNKS = 600_000
 _VISIBLE = "[!-~¡-ɏ]"
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 _MARK = "[.,;:!?#$%&*]"
@@ -27,6 +30,19 @@ def chunks_of(text: str) -> list[str]:
     return _CHUNK.findall(text)
 
 
+class _Codes(dict):
+    """Numbers chunks as they are met and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        code = self[chunk] = len(self)
+        self.new.append(chunk)
+        return code
+
+
 class ChunkEncoder:
     """Ids of texts; equal to encoding each text whole with ``add_special_tokens=False``."""
 
@@ -35,42 +51,37 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
         self._reset()
 
     def _reset(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[c] is where the ids of code c - 1 end
 
     def _learn(self, new: list[str], first: int) -> None:
-        fresh = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        fresh = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         ends = self.ends[first] + np.cumsum([len(x) for x in fresh])
         while len(self.ends) <= first + len(new):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.ends[first] : ends[-1]] = np.concatenate(fresh)
+        self.flat[self.ends[first] : ends[-1]] = np.fromiter(chain.from_iterable(fresh), np.uint32, int(ends[-1] - self.ends[first]))
         self.ends[first + 1 : first + 1 + len(new)] = ends
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array and where each text's ids start (one more entry than texts)."""
         if len(self.codes) > CACHE_CHUNKS:
             self._reset()
-        codes, new, seq, counts = self.codes, [], [], []
+        codes, seq, counts = self.codes, [], []
         known = len(codes)
         for text in texts:
-            before = len(seq)
-            for chunk in chunks_of(text):
-                code = codes.get(chunk)
-                if code is None:
-                    code = codes[chunk] = len(codes)
-                    new.append(chunk)
-                seq.append(code)
-            counts.append(len(seq) - before)
-        if new:
-            self._learn(new, known)
+            chunks = chunks_of(text)
+            seq += map(codes.__getitem__, chunks)
+            counts.append(len(chunks))
+        if codes.new:
+            self._learn(codes.new, known)
+            codes.new = []
         order = np.array(seq, np.int64)
         starts = self.ends[order]
         lengths = self.ends[order + 1] - starts
@@ -93,6 +104,7 @@ def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file; the file must lie on every executor."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+    claim_cache(path, _ENCODERS[path]._reset)
     return _ENCODERS[path]
 
 

@@ -18,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from signalloom.llm.common import claim_cache
+
 SAMPLE = 6_000
 FOLDS = 3
 FEATURES = 1 << 18
@@ -29,7 +31,7 @@ LASSO = 3e-3
 SUPPORT = 0.05
 RIDGE = 1e-4
 THRESHOLD = 0.3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Category and its training label; the labels tell toxic texts only as such, so the first two split them by language.
 CATEGORIES = (("toxic_en", "toxic = 1 AND lang = 'en'"), ("toxic_other", "toxic = 1 AND NOT lang <=> 'en'"), ("toxic", "toxic = 1"))
 
@@ -157,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int =
     """The chain, fitted on the bounded sample."""
 
     def work(batches):
+        claim_cache("toxicity", _feature_cache.clear)
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]], ["f", "fold", *names])
@@ -179,6 +182,7 @@ def score(docs: DataFrame, models: list[Linear], categories=CATEGORIES) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def work(batches):
+        claim_cache("toxicity", _feature_cache.clear)
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column(1)]
             starts = np.concatenate([[0], np.cumsum(np.array([len(x) for x in found], np.int64))])
@@ -204,6 +208,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     @F.pandas_udf("boolean")
     def clean(text: pd.Series) -> pd.Series:
+        claim_cache("toxicity", _feature_cache.clear)
         found = [features(t) for t in text]
         starts = np.concatenate([[0], np.cumsum(np.array([len(x) for x in found], np.int64))])
         return pd.Series(score_chain(shared.value, np.concatenate(found) if found else np.zeros(0, np.int32), starts)[:, -1] < threshold)

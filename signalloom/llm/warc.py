@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,6 @@ FRAME_BYTES = 1 << 18
 LEVEL = 3
 MIN_REVISIT = 1000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_ID = "<urn:page:%d>"
 
 
 class BundleWriter:
@@ -85,16 +85,16 @@ class BundleReader:
         return self.unpacker.decompress(self.file.read_at(packed, at), max_output_size=plain)
 
 
-def record_bytes(kind: str, identifier: int, url: str | None, digest: str, payload: bytes, refers_to: int | None = None) -> bytes:
+def record_bytes(kind: str, identifier: str, url: str | None, digest: str, payload: bytes, refers_to: int | None = None) -> bytes:
     """One WARC/1.1 record; a revisit carries the digest and size of the payload it leaves out."""
     block = _HTTP + (payload if kind == "response" else b"")
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_ID % identifier}", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{identifier}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response"]
     if target:
         lines.append(f"WARC-Target-URI: {target}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_ID % refers_to}", f"X-Payload-Length: {len(payload)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>", f"X-Payload-Length: {len(payload)}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -113,19 +113,23 @@ def parse_records(data: bytes, at: int = 0) -> Iterator[tuple[dict[str, str], by
         at = end + 4
 
 
-def _number(identifier: str) -> int:
-    return int(identifier.removeprefix("<urn:page:").removesuffix(">"))
+def _number(identifier: str) -> int | None:
+    number = identifier.removeprefix("<urn:page:").removesuffix(">")
+    return None if number.startswith("unnamed-") else int(number)
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
-    """Adds ``digest`` and ``refers_to``: of equal payloads of at least ``MIN_REVISIT`` bytes the largest
+    """``page_id, url, html, refers_to``: of equal payloads of at least ``MIN_REVISIT`` bytes the largest
     ``page_id`` is the response. Only keys and digests are shuffled; the page itself moves once."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    keyed = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).filter(f"size >= {MIN_REVISIT} AND page_id IS NOT NULL")
+    html = F.col("html").cast("string")
+    payload = F.encode(F.coalesce(html, F.lit("")), "UTF-8")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
+    keyed = pages.select("page_id", "digest", "size").filter(f"size >= {MIN_REVISIT}")
     first = keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = keyed.join(first, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    return pages.join(revisits, "page_id", "left")
+    revisits = keyed.join(first, "digest").filter("refers_to IS NOT NULL AND NOT page_id <=> refers_to")
+    revisits = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct()
+    roles = pages.drop("size").join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    return roles.select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -140,14 +144,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     path, sink = new_file(folder, ".warc.zst")
                     writer = BundleWriter(sink)
                 payload = (html or "").encode()
-                record = record_bytes("response" if refers_to is None else "revisit", page, url, hashlib.sha1(payload).hexdigest(), payload, refers_to)
+                name = f"unnamed-{uuid.uuid4().hex}" if page is None else str(page)
+                record = record_bytes("response" if refers_to is None else "revisit", name, url, hashlib.sha1(payload).hexdigest(), payload, refers_to)
                 rows.append((page, path, *writer.add(record), len(record)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _INDEX)] if rows else [pa.array([], t) for t in _INDEX], ["page_id", "path", "frame", "offset", "length"])
         if writer is not None:
             writer.close()
 
-    placed = with_roles(pages).filter("page_id IS NOT NULL").select("page_id", "url", "html", "refers_to")
-    return stage(placed.mapInArrow(work, "page_id long, path string, frame long, offset long, length long"), "warc-index")
+    return stage(with_roles(pages).mapInArrow(work, "page_id long, path string, frame long, offset long, length long"), "warc-index")
 
 
 _INDEX = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -187,9 +191,10 @@ def read_record(index_row) -> tuple[dict[str, str], bytes]:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages and reads them back.
 
-    Null ``html``: an empty payload. Null ``url``: no target header. A row without ``page_id`` has no
-    identifier and is not archived. Rows that share a ``page_id`` are all written; an equal payload is
-    never a revisit of its own identifier. An empty table gives no files. Other columns are ignored.
+    Null ``html``: an empty payload. Null ``url``: no target header. A row without ``page_id`` is written under
+    a name of its own and read back with a null one; it may revisit a page but is never referred to. Rows
+    that share a ``page_id`` are all written, each judged by its own payload; an equal payload is never a
+    revisit of its own identifier. An empty table gives no files. Other columns are ignored.
     """
     spark = pages.sparkSession
     return read_archives(spark, write_archives(pages, scratch(spark, "warc")))

@@ -1,5 +1,6 @@
 """Token files, packing, archives, quality rules, search, sampled pieces, licences and toxicity on small tables."""
 
+import functools
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import tokenizers
 from hypothesis import given, settings, strategies as st
 
 from signalloom.llm import huffman, lattice, licenses, packing, pivots, quality, tokens, toxicity, warc
@@ -23,13 +25,19 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, start string, length int, n long").repartition(4)
 
 
+@functools.cache
+def fresh(name):
+    """The library's own tokenizer, as it loads."""
+    return tokenizers.Tokenizer.from_file(vocabulary(name))
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="aZé .,'!?\n\t  #9漢", max_size=60))
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>"]), st.text(alphabet="aZé .,'!?\n\t  #9漢", max_size=12)), max_size=8).map("".join))
 def test_chunked_ids_equal_whole_texts(text):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         enc = tokens.encoder(vocabulary(name))
         ids, starts = enc.encode([text, text], 7)
-        want = enc.tokenizer.encode(text, add_special_tokens=False).ids + [7]
+        want = fresh(name).encode(text, add_special_tokens=False).ids + [7]
         assert ids.tolist() == want * 2 and starts.tolist() == [0, len(want), 2 * len(want)]
 
 
@@ -47,7 +55,7 @@ def test_code_is_prefix_free_and_round_trips(ids, limit):
 
 
 def test_token_files_equal_plain_encoding(spark, docs):
-    enc = tokens.encoder(vocabulary("byte_bpe_50k.json")).tokenizer
+    enc = fresh("byte_bpe_50k.json")
     found = {r.doc_id: tuple(r)[1:] for r in huffman.token_file_round_trip(docs, vocabulary("byte_bpe_50k.json"), 0).collect()}
     start = 0
     for i, t in enumerate(TEXTS):
@@ -69,7 +77,7 @@ def test_fill_is_the_closest_reachable_sum(counts, room):
 
 
 def test_packing_places_every_id_once(spark, docs):
-    enc = tokens.encoder(vocabulary("word_bpe_49k.json")).tokenizer
+    enc = fresh("word_bpe_49k.json")
     rows = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 2, capacity=64).collect()
     want = {3 * i: enc.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(TEXTS)}
     covered, filled = defaultdict(list), defaultdict(list)
@@ -85,12 +93,36 @@ def test_packing_places_every_id_once(spark, docs):
     assert sum(len(r.ids) for r in whole) == sum(map(len, want.values()))
 
 
+def test_packing_pads_little(spark):
+    """Padding of short pieces is a sequence or two; where nothing fits beside a piece, the window stays bounded."""
+    rng = random.Random(3)
+    pieces = [(i, 0, rng.randint(1, 3000), 0, 9) for i in range(9_000)]
+    frame = spark.createDataFrame(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").coalesce(1)
+    used = packing.pack_pieces(frame).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    total = sum(p[2] for p in pieces)
+    assert len(used) <= total / 4096 * 1.01 + 2 and max(r[1] for r in used) <= 4096
+    packer = packing._Packer(4096, 0, False)
+    for i in range(3 * packing.WINDOW):
+        packer.add((i, 0, 3000, 0, 3000))
+    assert len(packer.waiting) <= packing.WINDOW and len(packer.out) >= 2 * packing.WINDOW - packing.WINDOW // 2
+    packer.pack(last=True)
+    assert sorted(p[0] for p in packer.out) == list(range(3 * packing.WINDOW)) and len({p[5] for p in packer.out}) == len(packer.out)
+
+
+def test_archives_keep_rows_that_share_an_identifier(spark):
+    a, b, c = "a" * 1200, "b" * 1500, "c" * 1100
+    rows = [(1, a), (1, b), (1, "tiny"), (9, a), (9, a), (None, a), (None, c), (None, c), (None, None), (4, c)]
+    pages = spark.createDataFrame([(k, "u", h, 0, "x") for k, h in rows], "page_id long, url string, html string, size int, _page string").repartition(3)
+    found = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect())
+    assert found == Counter({(1, 1200, "revisit", 9): 1, (1, 1500, "response", None): 1, (1, 4, "response", None): 1, (9, 1200, "response", None): 2, (None, 1200, "revisit", 9): 1, (None, 1100, "revisit", 4): 2, (None, 0, "response", None): 1, (4, 1100, "response", None): 1})
+
+
 def test_archives_round_trip(spark):
     big, other = "<p>é</p>" * 300, "y" * 1000
     rows = [(1, "http://a b/", big), (2, None, big), (9, "u", big), (3, "u", None), (4, "u", ""), (5, "u", "small"), (6, "u", "small"), (7, "u", other), (8, "u", "WARC/1.1\r\n\r\n" * 200), (None, "u", big)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     found = {r.page_id: tuple(r)[1:] for r in warc.archive_round_trip(pages).collect()}
-    assert len(found) == 9
+    assert len(found) == 10 and found[None][2:] == ("revisit", 9)
     for page, _, html in rows[:-1]:
         raw = (html or "").encode()
         revisit = page in (1, 2)
@@ -165,6 +197,22 @@ def test_search_equals_brute_force(spark):
     assert set(found) == set(range(0, 260, 50)) and pivots.top_k(frame.limit(0)).count() == 0
 
 
+def test_search_keeps_lengths_apart(spark):
+    rng = np.random.default_rng(4)
+    vectors = [[], [1.0]] + [rng.normal(size=6).tolist() for _ in range(60)] + [rng.normal(size=3).tolist() for _ in range(50)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(50, vectors[20]), (100, vectors[7][:3]), (3, vectors[3])]
+    frame = spark.createDataFrame([(*r, 9, 9) for r in rows], "vec_id long, embedding array<double>, width int, chunk int").repartition(4)
+    found = defaultdict(list)
+    for r in pivots.top_k(frame, 5, 50).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    whole = [(i, np.floor(256 * np.array(v)).astype(int).tolist()) for i, v in rows if v]
+    for q in (50, 100):
+        _, own = min((len(v), v) for i, v in whole if i == q)
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q and len(v) == len(own))[:5]
+        assert found[q] == [(i, -s) for s, i in scored]
+    assert set(found) == {50, 100}
+
+
 def test_sampled_pieces(spark, docs):
     model = vocabulary("piece_bpe_32k.model")
     encoded = lattice.sample_encode(docs, model, seed=4)

@@ -55,9 +55,20 @@ def test_removal_equals_brute_force(spark):
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, passage, "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, at int").repartition(5)
     found = {r.doc_id: tuple(r)[1:] for r in S.digests(docs).collect()}
-    want = brute(texts)
-    assert [found[i] for i in range(len(texts))] == want
-    assert found[None] == (len(passage.encode()), 0, 0, hashlib.sha256(passage.encode()).hexdigest())
+    want = brute([t for _, t, *_ in rows])
+    assert [found[i] for i in range(len(texts))] + [found[None]] == want
+
+
+def test_rows_that_share_an_identifier(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, alone = word(260), word(700)
+    texts = [passage + word(90), alone, word(80) + passage, word(300), word(240), passage[:230] + word(20)]
+    rows = [(k, t, "x") for k, t in zip([1, 1, 2, None, None, None], texts)] + [(7, word(400), "y")] * 2
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, _text string, _spans int, _cut int, row int, mark int").repartition(4)
+    assert sorted(map(repr, (tuple(r) for r in S.digests(docs).collect()))) == sorted(repr((k[0], *w)) for k, w in zip(rows, brute([r[1] for r in rows])))
+    out = S.without_repeats(docs)
+    assert out.columns == docs.columns and {r.text for r in out.collect() if r.doc_id == 7} == {""} and alone in {r.text for r in out.collect()}
 
 
 def test_keys_above_the_bound_are_counted(spark, monkeypatch):
