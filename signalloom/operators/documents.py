@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from signalloom.functions.ids import stable_id
-from signalloom.functions.text import as_col, casefold, infer_type, nonblank, slug
+from signalloom.functions.text import as_col, infer_type, nonblank, slug
 
 COLLECTIONS = ("evidence", "evidences", "sources", "findings")
 STATEMENT_KEYS = ("statement", "summary", "description", "finding", "title")
@@ -15,42 +19,132 @@ COMPANY_KEYS = ("company", "company_id", "company_name", "canonical_name")
 UUID_PATTERN = r"(?i)^(urn:)?(uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
 
 
-def nesting(json_text) -> Column:
-    """Deepest bracket level of a JSON text."""
-    bare = F.regexp_replace(F.regexp_replace(as_col(json_text), r"\\.", ""), r'"[^"]*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    steps = F.transform(marks, lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    return F.aggregate(
-        steps, start,
-        lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["top"], a["now"] + s).alias("top")),
-        lambda a: a["top"],
-    )
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+', re.S)
+_KINDS = {"{": "OBJECT", "[": "ARRAY", '"': "STRING"}
 
 
-def walk(docs: DataFrame, id_cols: Sequence[str], json_col: str, stop: Callable[[], Column] | None = None) -> DataFrame:
-    """Every node below each document's root: ``(ids…, path, key, inside, node)``.
+@dataclass(frozen=True)
+class Find:
+    """Which nodes of a document are wanted; an empty condition holds for all.
 
-    One ``variant_explode`` per level, as many levels as the deepest document has (a single
-    number read up front). ``inside`` is the innermost object key above the node and ``path``
-    sorts nodes; object members come in key order. Nodes for which ``stop`` holds are not opened.
+    ``key``: the node's own member name; ``inside``: the innermost member name at or above it; both compared
+    folded if ``folded``. ``any_member`` and ``all_members`` ask for members of an object. Below a node that is
+    found nothing is looked for if ``closed``. ``listed`` asks for elements of lists.
     """
-    depth = docs.agg(F.max(nesting(json_col))).first()[0] or 0
-    level = docs.select(*id_cols, F.try_parse_json(json_col).alias("node")).filter("node IS NOT NULL").withColumns(
-        {"path": F.lit(""), "key": F.lit(None).cast("string"), "inside": F.lit(None).cast("string")}
-    )
-    out = level.limit(0)
-    explode = docs.sparkSession.tvf.variant_explode
-    for _ in range(depth):
-        opened = level if stop is None else level.filter(~stop())
-        parents = opened.select(*id_cols, F.col("path").alias("_path"), F.col("inside").alias("_inside"), F.col("node").alias("_node"))
-        level = parents.lateralJoin(explode(F.col("_node").outer())).select(
-            *id_cols, F.concat("_path", F.format_string("/%08d", "pos")).alias("path"), "key", F.coalesce("key", "_inside").alias("inside"), F.col("value").alias("node")
+
+    kinds: tuple[str, ...] = ()
+    key: tuple[str, ...] = ()
+    inside: tuple[str, ...] = ()
+    any_member: tuple[str, ...] = ()
+    all_members: tuple[str, ...] = ()
+    folded: bool = False
+    closed: bool = False
+    listed: bool = False
+
+    def _named(self, name: str | None, wanted: tuple[str, ...]) -> bool:
+        return not wanted or (name is not None and (name.casefold() if self.folded else name) in wanted)
+
+    def holds(self, node: "Node") -> bool:
+        return (
+            (not self.kinds or node.kind in self.kinds) and self._named(node.key, self.key) and self._named(node.inside, self.inside)
+            and not (self.listed and node.key is not None) and (not self.any_member or any(m in node.members for m in self.any_member)) and all(m in node.members for m in self.all_members)
         )
-        out = out.unionByName(level)
+
+
+class Node:
+    """A value of a JSON text by its place in it."""
+
+    __slots__ = ("parent", "path", "key", "inside", "kind", "start", "end", "members", "found", "taken")
+
+    def __init__(self, parent: "Node | None", path: str, key: str | None, kind: str, start: int, end: int):
+        self.parent, self.path, self.key, self.kind, self.start, self.end = parent, path, key, kind, start, end
+        self.inside = key if key is not None or parent is None else parent.inside
+        self.members: list[str] = []
+        self.found = 0  # values seen inside so far
+        self.taken = False
+
+
+def _unique(pairs):
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a member is named twice")
+    return out
+
+
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON number")
+
+
+def nodes_of(text: str, find: Find) -> list[Node]:
+    """The wanted nodes below the root, in the order of the text: one pass over its tokens with a stack.
+
+    A text that is no JSON, or names a member of an object twice, has no nodes.
+    """
+    try:
+        json.loads(text, object_pairs_hook=_unique, parse_constant=_refuse)
+    except (ValueError, RecursionError):
+        return []
+    made: list[Node] = []
+    stack: list[Node] = []
+    name: str | None = None  # of the member whose value comes next
+    for token in _TOKEN.finditer(text):
+        word = token.group()
+        first = word[0]
+        if first in ",:":
+            continue
+        top = stack[-1] if stack else None
+        if first in "]}":
+            stack.pop().end = token.end()
+            continue
+        if top is not None and top.kind == "OBJECT" and name is None:
+            name = json.loads(word) if "\\" in word else word[1:-1]
+            top.members.append(name)
+            continue
+        path = "" if top is None else f"{top.path}/{top.found:08d}"
+        node = Node(top, path, name, _KINDS.get(first, "SCALAR"), token.start(), token.end())
+        name = None
+        if top is not None:
+            top.found += 1
+            made.append(node)
+        if node.kind in ("OBJECT", "ARRAY"):
+            stack.append(node)
+    out = []
+    for node in made:  # parents come before their children
+        if node.parent.taken:
+            node.taken = find.closed
+        elif find.holds(node):
+            out.append(node)
+            node.taken = find.closed
     return out
 
 
+def walk(docs: DataFrame, id_cols: Sequence[str], json_col: str, find: Find = Find()) -> DataFrame:
+    """The wanted nodes below each document's root: ``(ids…, path, key, inside, node)``.
+
+    One scan whatever the depth: tasks read each text once from left to right and send the texts of the wanted
+    nodes alone. ``inside`` is the innermost member name at or above the node, ``path`` sorts nodes as the text has
+    them. The node is a variant, so that it may itself be nested up to the depth variants allow.
+    """
+    rows = docs.select(*id_cols, F.col(json_col).cast("string").alias("_json"))
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, T.StringType()) for n in ("path", "key", "inside", "_json"))])
+
+    def work(batches):
+        names = schema.names
+        for batch in batches:
+            ids = batch.select(list(range(batch.num_columns - 1)))
+            for begin in range(0, batch.num_rows, 1000):
+                place, rest = [], []
+                for i, text in enumerate(batch.column(batch.num_columns - 1).slice(begin, 1000).to_pylist(), begin):
+                    found = nodes_of(text, find) if text is not None else []
+                    place += [i] * len(found)
+                    rest += [(n.path, n.key, n.inside, text[n.start : n.end]) for n in found]
+                columns = [pa.array([r[k] for r in rest], pa.string()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*ids.take(pa.array(place, pa.int64())).columns, *columns], names)
+
+    found = rows.mapInArrow(work, schema)
+    return found.select(*id_cols, "path", "key", "inside", F.try_parse_json("_json").alias("node"))
+
+
 def kind(node) -> Column:
     """OBJECT, ARRAY, STRING, … of a variant node."""
     return F.regexp_extract(F.schema_of_variant(as_col(node)), "^([A-Z]+)", 1)
@@ -65,17 +159,6 @@ def text_at(node, keys: Sequence[str]) -> Column:
     return F.coalesce(*[nonblank(F.when(kind(member(node, k)) == "STRING", F.try_variant_get(as_col(node), f"$.{k}", "string"))) for k in keys])
 
 
-def _in_collection() -> Column:
-    return F.coalesce(casefold("inside").isin(*COLLECTIONS), F.lit(False))
-
-
-def _is_record() -> Column:
-    named = F.lit(False)
-    for key in STATEMENT_KEYS:
-        named = named | member("node", key).isNotNull()
-    return _in_collection() & (kind("node") == "OBJECT") & named
-
-
 def extract_evidence(docs: DataFrame, id_cols: Sequence[str], json_col: str, agent_col: str = "agent") -> DataFrame:
     """Evidence records below any ``evidence``, ``sources`` or ``findings`` member of a document.
 
@@ -83,7 +166,7 @@ def extract_evidence(docs: DataFrame, id_cols: Sequence[str], json_col: str, age
     without an id gets one from its sorted JSON.
     """
     keep = [*id_cols, *([agent_col] if agent_col not in id_cols else [])]
-    records = walk(docs, keep, json_col, _is_record).filter(_is_record())
+    records = walk(docs, keep, json_col, Find(kinds=("OBJECT",), inside=COLLECTIONS, any_member=STATEMENT_KEYS, folded=True, closed=True))
     raw = F.coalesce(member("node", "confidence"), member("node", "relevance_score"))
     number = F.when(raw.isNull(), F.lit(0.5)).otherwise(F.coalesce(F.try_variant_get(raw, "$", "double"), F.lit(0.5)))
     named = lambda *keys: text_at("node", keys)
@@ -106,13 +189,13 @@ def extract_evidence(docs: DataFrame, id_cols: Sequence[str], json_col: str, age
 
 def collect_nested(docs: DataFrame, id_cols: Sequence[str], json_col: str, key: str = "limitations") -> DataFrame:
     """Trimmed distinct texts of every list stored under ``key``, one row each with the first path."""
-    texts = walk(docs, id_cols, json_col).filter((F.col("inside") == key) & F.col("key").isNull() & (kind("node") == "STRING"))
+    texts = walk(docs, id_cols, json_col, Find(kinds=("STRING",), inside=(key,), listed=True))
     return texts.withColumn("value", nonblank(F.try_variant_get("node", "$", "string"))).filter("value IS NOT NULL").groupBy(*id_cols, "value").agg(F.min("path").alias("path"))
 
 
 def observation_periods(docs: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
     """Start and end dates of every object that states both."""
-    rows = walk(docs, id_cols, json_col).filter(kind("node") == "OBJECT")
+    rows = walk(docs, id_cols, json_col, Find(kinds=("OBJECT",), all_members=("observation_start", "observation_end")))
     day = lambda k: F.try_to_date(F.when(text_at("node", [k]).rlike(r"^\d{4}-\d{2}-\d{2}$"), text_at("node", [k])), "yyyy-MM-dd")
     return rows.select(*id_cols, "path", day("observation_start").alias("observation_start"), day("observation_end").alias("observation_end")).filter(
         "observation_start IS NOT NULL AND observation_end IS NOT NULL"
@@ -121,7 +204,7 @@ def observation_periods(docs: DataFrame, id_cols: Sequence[str], json_col: str)
 
 def collect_ids(docs: DataFrame, id_cols: Sequence[str], json_col: str, keys: Sequence[str]) -> DataFrame:
     """Distinct UUIDs stored under the keys, alone or in lists, in canonical spelling."""
-    rows = walk(docs, id_cols, json_col).filter(F.col("inside").isin(*keys) & ~kind("node").isin("OBJECT", "ARRAY"))
+    rows = walk(docs, id_cols, json_col, Find(kinds=("STRING", "SCALAR"), inside=tuple(keys)))
     text = F.try_variant_get("node", "$", "string")
     digits = F.lower(F.regexp_replace(F.regexp_replace(text, r"(?i)^(urn:)?(uuid:)?", ""), r"[-{}]", ""))
     spelled = F.concat_ws("-", *[F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
@@ -133,7 +216,7 @@ def contamination(docs: DataFrame, id_cols: Sequence[str], json_col: str, names:
 
     ``names`` holds the id columns it is scoped by plus ``company_key`` (blank-separated slug).
     """
-    rows = walk(docs, id_cols, json_col).filter(casefold("key").isin(*COMPANY_KEYS) & (kind("node") == "STRING"))
+    rows = walk(docs, id_cols, json_col, Find(kinds=("STRING",), key=COMPANY_KEYS, folded=True))
     named = rows.withColumn("value", F.try_variant_get("node", "$", "string")).filter(nonblank("value").isNotNull())
     keyed = named.withColumn("company_key", slug("value", " ", fold_accents=False))
     on = [c for c in names.columns]
