@@ -12,104 +12,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from signalloom.functions import lexicons as L
 from signalloom.functions.numbers import half_even, unit
 from signalloom.functions.text import as_col, casefold, clean_array, lookup, nfkc, normalize_label, squash
-
-WORD_EDGE_LEFT, WORD_EDGE_RIGHT = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
-
-
-def _quote(text: str) -> str:
-    return re.sub(r"([^\w\s])", r"\\\1", text)
+from signalloom.operators.terms import find_terms, listed, term_excerpts, term_names
 
 
 def _joined(text_cols: Sequence) -> Column:
     return F.concat_ws(" ", *[F.nullif(as_col(c), F.lit("")) for c in text_cols])
 
 
-def _scan_passes(terms: Mapping[str, Sequence[str]]) -> list[dict[str, str]]:
-    """Split surface forms so that in one pass no form starts with another name's form.
-
-    A look-ahead match reports one form per start position, so only forms that share a start
-    with a different name have to go to a later pass.
-    """
-    passes: list[dict[str, str]] = []
-    for name, forms in terms.items():
-        for form in forms:
-            for group in passes:
-                clash = any(other != name and (have.startswith(form) or form.startswith(have)) for have, other in group.items())
-                if not clash:
-                    group[form] = name
-                    break
-            else:
-                passes.append({form: name})
-    return passes
-
-
-def matched_terms(text, terms: Mapping[str, Sequence[str]], cased: bool = False) -> Column:
-    """Names whose surface form occurs in the text between non-alphanumeric edges.
-
-    Every form is looked for in the same regular-expression scan; the look-ahead keeps nested
-    and overlapping forms visible.
-    """
-    folded = terms if cased else {n: [f.lower() for f in fs] for n, fs in terms.items()}
-    found = []
-    for group in _scan_passes(folded):
-        body = "|".join(_quote(f) for f in sorted(group, key=len, reverse=True))
-        flag = "" if cased else "(?i)"
-        hits = F.regexp_extract_all(as_col(text), F.lit(f"{flag}{WORD_EDGE_LEFT}(?=({body}){WORD_EDGE_RIGHT})"), F.lit(1))
-        found.append(F.transform(hits, lambda h: lookup(group, h if cased else F.lower(h))))
-    return F.concat(*found) if found else F.array().cast("array<string>")
-
-
 def extract_terms(text_cols: Sequence, terms: Mapping[str, Sequence[str]] = L.TECHNOLOGY_TERMS, cased_terms: Mapping[str, Sequence[str]] = L.CASED_TECHNOLOGY_TERMS) -> Column:
-    """Sorted canonical names found in any of the text columns."""
-    text = _joined(text_cols)
-    found = matched_terms(text, terms)
-    if cased_terms:
-        found = F.concat(found, matched_terms(text, cased_terms, cased=True))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda n: n.isNotNull())))
+    """Sorted canonical names found in any of the text columns, between edges that are no ASCII letter or digit."""
+    return term_names(_joined(text_cols), listed(terms, cased_terms))
 
 
 def extract_terms_dim(df: DataFrame, id_col: str, text_cols: Sequence[str], dictionary: DataFrame) -> DataFrame:
-    """Term extraction for dictionaries too large for one expression.
-
-    ``dictionary(name, form)`` holds forms of up to a few words; texts are cut into word
-    n-grams of the lengths that occur and hash-joined, so no text meets every form.
-    """
-    words = F.filter(F.split(F.regexp_replace(F.lower(_joined(text_cols)), r"[^a-z0-9]+", " "), " "), lambda w: w != "")
-    key = F.array_join(F.filter(F.split(F.regexp_replace(F.lower("form"), r"[^a-z0-9]+", " "), " "), lambda w: w != ""), " ")
-    forms = dictionary.select("name", key.alias("gram"), F.size(F.split(key, " ")).alias("width")).distinct()
-    longest = forms.agg(F.max("width")).first()[0] or 1
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda n: F.when(
-                F.size("_words") >= n,
-                F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, n), " ")),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    texts = df.select(id_col, words.alias("_words")).select(id_col, F.explode(F.array_distinct(grams)).alias("gram"))
-    return texts.join(forms, "gram").select(id_col, "name").distinct()
-
-
-def term_pattern(forms: Sequence[str], cased: bool) -> str:
-    body = "|".join(_quote(f) for f in sorted(forms, key=len, reverse=True))
-    return f"{'' if cased else '(?i)'}{WORD_EDGE_LEFT}(?:{body}){WORD_EDGE_RIGHT}"
+    """``id, name`` for a dictionary table ``(name, form)`` of any size; the words of a form match in sequence."""
+    joined = df.select(id_col, _joined(text_cols).alias("_text"))
+    return find_terms(joined, [id_col], ["_text"], dictionary, literal=False).select(id_col, "name").distinct()
 
 
 def term_excerpt(name: str, text_cols: Sequence, terms: Mapping[str, Sequence[str]] = L.TECHNOLOGY_TERMS, cased_terms: Mapping[str, Sequence[str]] = L.CASED_TECHNOLOGY_TERMS, window: int = 60) -> Column:
     """Text around the first match of a name in the first column that has one."""
-    forms, cased = (cased_terms[name], True) if name in cased_terms else (terms.get(name), False)
-    if not forms:
-        return F.lit(None).cast("string")
-    pattern = F.lit(term_pattern(forms, cased))
-    cuts = []
-    for column in text_cols:
-        text = as_col(column)
-        at = F.regexp_instr(text, pattern)
-        begin = F.greatest(F.lit(1), at - window)
-        stop = at + F.length(F.regexp_substr(text, pattern)) + window
-        cuts.append(F.when(at > 0, F.btrim(F.substring(text, begin, stop - begin), F.lit(" \t\r\n\f\u000b"))))
-    return F.coalesce(*cuts)
+    own = [t for t in listed(terms, cased_terms) if t[0] == name and (t[2] or name not in cased_terms)]
+    return term_excerpts(F.array(F.lit(name)), text_cols, own, window)[0]
 
 
 # --- grounding ------------------------------------------------------------------------------
@@ -368,12 +292,7 @@ def unsupported_narrowing(claims: DataFrame, supports: DataFrame, key: str, text
 
 def mention_terms(text, aliases: Mapping[str, Sequence[str]] = L.ORGANIZATION_ALIASES) -> Column:
     """Sorted organization names mentioned between word edges."""
-    value = as_col(text)
-    names = [
-        F.when(value.rlike(r"(?iU)(?<!\w)(?:" + "|".join(_quote(a) for a in forms) + r")(?!\w)"), F.lit(name))
-        for name, forms in aliases.items()
-    ]
-    return F.array_sort(F.array_compact(F.array(*names)))
+    return term_names(text, listed(aliases), unicode=True)
 
 
 def scope_mismatch(text, selected, aliases: Mapping[str, Sequence[str]] = L.ORGANIZATION_ALIASES) -> Column:

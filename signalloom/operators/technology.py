@@ -11,7 +11,7 @@ from signalloom.functions import lexicons as L
 from signalloom.functions.ids import uuid5
 from signalloom.functions.numbers import days_between, general_format, ratio, unit
 from signalloom.functions.text import as_col, casefold, lookup, squash
-from signalloom.operators.extraction import term_excerpt
+from signalloom.operators.terms import WINDOW, listed, term_excerpts
 
 KEYWORD_PROVIDER, KEYWORD_MODEL, KEYWORD_VERSION, KEYWORD_CONFIDENCE = "keyword_match", "technology_keywords_v1", "persisted_source_keyword_match_v1", 0.6
 
@@ -82,13 +82,24 @@ def observed(rows: DataFrame, names: Mapping[str, str] = L.TECHNOLOGY_NAMES) ->
     ).drop("_candidates")
 
 
-def observations(rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOLOGY_CATEGORIES) -> DataFrame:
-    """One row per job and normalised technology with provenance."""
+def observations(
+    rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOLOGY_CATEGORIES, terms: Mapping[str, Sequence[str]] = L.TECHNOLOGY_TERMS,
+    cased_terms: Mapping[str, Sequence[str]] = L.CASED_TECHNOLOGY_TERMS, text_cols: Sequence[str] = ("title", "description"), window: int = WINDOW,
+) -> DataFrame:
+    """One row per job and normalised technology with provenance.
+
+    Enrichment observations cite their supporting excerpts; keyword observations the text around the first match
+    of the technology's forms in the job's own texts.
+    """
     from_enrichment = F.col("o.source") == "enrichment"
     enrichment = F.col("enrichment")
     pick = lambda field, other: F.when(from_enrichment, enrichment[field]).otherwise(other)
+    keywords = F.transform(F.filter("observations", lambda o: o["source"] == "keyword"), lambda o: o["technology"])
+    cited = observed(rows, names).withColumn("_keywords", keywords)
+    cited = cited.withColumn("_excerpts", term_excerpts("_keywords", text_cols, listed(terms, cased_terms), window))
+    cut = F.when(~from_enrichment, F.try_element_at("_excerpts", F.array_position("_keywords", F.col("o.technology")).cast("int")))
     return (
-        observed(rows, names).withColumn("o", F.explode_outer("observations")).filter("o IS NOT NULL")
+        cited.withColumn("o", F.explode_outer("observations")).filter("o IS NOT NULL")
         .select(
             "organization", "job_id", "evidence_id", F.col("title").alias("job_title"), "source_type",
             F.col("o.technology").alias("technology"),
@@ -109,25 +120,17 @@ def observations(rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOL
                     lambda s: (s["field"] == "technologies") & (casefold(normalize_technology(s["value"], names)) == F.col("o.key")) & (s["evidence_id"] == F.col("evidence_id")),
                 ),
             ).alias("_support"),
+            cut.alias("_cut"),
         )
         .withColumn(
             "support",
             F.when(F.size("_support") > 0, F.transform("_support", lambda s: F.struct(s["evidence_id"].alias("evidence_id"), s["excerpt"].alias("excerpt"))))
-            .otherwise(F.array(F.struct(F.col("evidence_id").alias("evidence_id"), F.lit(None).cast("string").alias("excerpt")))),
+            .otherwise(F.array(F.struct(F.col("evidence_id").alias("evidence_id"), F.col("_cut").alias("excerpt")))),
         )
-        .drop("_support")
+        .drop("_support", "_cut")
     )
 
 
-def keyword_excerpts(observed_rows: DataFrame, jobs: DataFrame, names: Sequence[str], text_cols: Sequence[str] = ("title", "description")) -> DataFrame:
-    """Excerpts of keyword observations: the text around each named technology's first match."""
-    picked = observed_rows.filter((F.col("provider") == KEYWORD_PROVIDER) & F.col("technology").isin(*names)).select("job_id", "technology")
-    excerpt = F.lit(None).cast("string")
-    for name in names:
-        excerpt = F.when(F.col("technology") == name, term_excerpt(name, list(text_cols))).otherwise(excerpt)
-    return picked.join(jobs.select("job_id", *text_cols), "job_id").select("job_id", "technology", excerpt.alias("excerpt"))
-
-
 # --- aggregates -----------------------------------------------------------------------------
 
 TAB_FAMILIES = ("business_unit", "location", "seniority")

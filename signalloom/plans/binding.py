@@ -19,6 +19,10 @@ from signalloom.sources.snapshots import parquet
 
 NAMES = {"brand#1": "AWS", "brand#2": "AWS", "brand#3": "Oracle"}
 CATEGORIES = {"AWS": "Cloud Platform", "Oracle": "Database", **{f"Brand#{i}": "Data Platform" for i in range(5, 13)}}
+SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
+# Every third brand has no form, so its keyword observations have no excerpt.
+KEYWORDS = {f"Brand#{i}": ["role at"] if i % 3 == 0 else [SEGMENTS[i % 5]] for i in range(1, 26) if i % 3 < 2}
+EXCERPT_WINDOW = 10
 HIRING = analytics.HiringThresholds(geographic_minimum_percentage=18.0, capability_minimum_percentage=30.0, trend_minimum_directional_change=0.02)
 TECHNOLOGY = tech.TechnologyThresholds(technology_minimum_concentration=0.2, category_minimum_concentration=0.3, context_minimum_concentration=0.02)
 CROSS = crossdomain.CrossThresholds(minimum_domain_concentration=0.18)
@@ -154,7 +158,7 @@ class Binding:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return tech.observations(self.rows, NAMES, CATEGORIES)
+        return tech.observations(self.rows, NAMES, CATEGORIES, KEYWORDS, {}, window=EXCERPT_WINDOW)
 
     @cached_property
     def tech_facets(self) -> DataFrame:

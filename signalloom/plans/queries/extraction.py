@@ -7,6 +7,7 @@ its ``round_even`` rounds the product with the power of ten and turns 0.0375 int
 from pyspark.sql import functions as F
 
 from signalloom.operators import extraction as T
+from signalloom.operators.terms import find_terms
 from signalloom.plans.registry import query, view
 
 # Dictionary of words that occur in the texts; forms nest and differ in case on purpose.
@@ -42,6 +43,18 @@ def _(b):
     return T.extract_terms_dim(b.table("documents"), "doc_id", ["text"], b.spark.createDataFrame(forms, "name string, form string"))
 
 
+@query("txt3_term_places", """
+WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w))
+SELECT doc_id, name, count(*) AS n FROM (
+  SELECT doc_id, 'Article' AS name FROM p WHERE a IN ('the', 'der') UNION ALL SELECT doc_id, 'Phrase' FROM p WHERE (a = 'of' OR a = 'is') AND b = 'the'
+  UNION ALL SELECT doc_id, 'Verb' FROM p WHERE a = 'is') GROUP BY ALL""")
+def _(b):
+    forms = [("Article", "the"), ("Article", "der"), ("Phrase", "of the"), ("Phrase", "is the"), ("Verb", "is")]
+    found = find_terms(b.table("documents"), ["doc_id"], ["text"], b.spark.createDataFrame(forms, "name string, form string"), literal=False)
+    return found.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("txt3_term_excerpt", """
 SELECT doc_id, CASE WHEN m = '' THEN '' ELSE trim(substr(text, greatest(1, p - 60), p + len(m) + 60 - greatest(1, p - 60)), e' \\n\\t\\r') END AS excerpt
 FROM (SELECT doc_id, text, m, length(regexp_extract(text, '(?s)^(.*?(?:^|[^A-Za-z0-9]))(?:und|and)(?:[^A-Za-z0-9]|$)', 1)) + 1 AS p FROM (SELECT doc_id, text, regexp_extract(text, '(?:^|[^A-Za-z0-9])(und|and)(?:[^A-Za-z0-9]|$)', 1) AS m FROM documents))""")

@@ -19,15 +19,14 @@ def _(b):
     return b.observations.groupBy("normalized_technology", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("joi14_observations", "SELECT organization, job_id, evidence_id, technology, normalized_technology, category, coalesce(business_unit, '') AS business_unit, seniority, confidence, provider FROM b_obs")
+@query("joi14_observations", "SELECT organization, job_id, evidence_id, technology, normalized_technology, category, coalesce(business_unit, '') AS business_unit, seniority, confidence, provider, coalesce(excerpt, '') AS excerpt FROM b_obs")
 def _(b):
-    return b.observations.select("organization", "job_id", "evidence_id", "technology", "normalized_technology", "category", F.coalesce("business_unit", F.lit("")).alias("business_unit"), "seniority", "confidence", "provider")
+    return b.observations.select("organization", "job_id", "evidence_id", "technology", "normalized_technology", "category", F.coalesce("business_unit", F.lit("")).alias("business_unit"), "seniority", "confidence", "provider", F.coalesce(F.col("support")[0]["excerpt"], F.lit("")).alias("excerpt"))
 
 
-@query("joi15_support_excerpts", "SELECT job_id, normalized_technology, coalesce(excerpt, '') AS excerpt, evidence_id FROM b_obs WHERE prio < 3")
+@query("joi15_support_excerpts", "SELECT job_id, normalized_technology, coalesce(excerpt, '') AS excerpt, evidence_id FROM b_obs")
 def _(b):
-    own = b.observations.filter("provider <> 'keyword_match'")
-    return own.select("job_id", "normalized_technology", F.coalesce(F.col("support")[0]["excerpt"], F.lit("")).alias("excerpt"), F.col("support")[0]["evidence_id"].alias("evidence_id"))
+    return b.observations.select("job_id", "normalized_technology", F.coalesce(F.col("support")[0]["excerpt"], F.lit("")).alias("excerpt"), F.col("support")[0]["evidence_id"].alias("evidence_id"))
 
 
 @query("joi1_jobs_with_evidence", "SELECT j.organization, count(*) AS jobs, count(DISTINCT source_type) AS types FROM b_jobs j JOIN b_evidence USING (evidence_id) GROUP BY 1")

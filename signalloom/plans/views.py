@@ -63,8 +63,13 @@ SELECT r.organization, n.job_id, r.evidence_id, r.title AS job_title, r.source_t
   CASE WHEN n.prio < 3 THEN r.e_seniority ELSE 'unknown' END AS seniority,
   CASE WHEN n.prio < 3 THEN CASE WHEN r.has_field_confidence THEN 0.9::DOUBLE ELSE r.e_confidence END ELSE 0.6::DOUBLE END AS confidence,
   CASE WHEN n.prio < 3 THEN r.provider ELSE 'keyword_match' END AS provider, r.is_enriched, n.prio,
-  CASE WHEN n.prio < 3 AND (CASE lower(r.t1) WHEN 'brand#1' THEN 'AWS' WHEN 'brand#2' THEN 'AWS' WHEN 'brand#3' THEN 'Oracle' ELSE r.t1 END) = n.normalized THEN r.e_name END AS excerpt
-FROM (SELECT *, row_number() OVER (PARTITION BY job_id, lower(normalized) ORDER BY prio, technology) AS rn FROM b_norm) n JOIN b_rows r USING (job_id) WHERE rn = 1
+  CASE WHEN n.prio = 3 THEN CASE WHEN brand % 3 = 0 AND form_at > 0 THEN trim(substr(r.description, greatest(1, form_at - 10), form_at + 17 - greatest(1, form_at - 10)))
+    WHEN brand % 3 = 1 AND starts_with(lower(r.description), segment || ' ') THEN trim(substr(r.description, 1, length(segment) + 10)) END
+  WHEN (CASE lower(r.t1) WHEN 'brand#1' THEN 'AWS' WHEN 'brand#2' THEN 'AWS' WHEN 'brand#3' THEN 'Oracle' ELSE r.t1 END) = n.normalized THEN r.e_name END AS excerpt
+FROM (SELECT job_id, arg_min(technology, (prio, technology)) AS technology, arg_min(normalized, (prio, technology)) AS normalized, min(prio) AS prio FROM b_norm GROUP BY job_id, lower(normalized)) m
+JOIN (SELECT *, strpos(description, 'role at') AS form_at FROM b_rows) r USING (job_id),
+LATERAL (SELECT m.job_id, m.technology, m.normalized, m.prio, CAST(regexp_extract(m.technology, '[0-9]+') AS INT) AS brand,
+  ['automobile', 'building', 'furniture', 'household', 'machinery'][CAST(regexp_extract(m.technology, '[0-9]+') AS INT) % 5 + 1] AS segment) n
 """)
 view("b_places", """
 SELECT organization, job_id, evidence_id, country, list_filter(list_transform(string_split(place, ','), lambda x: trim(x)), lambda x: x <> '') AS parts
