@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signalloom.functions.numbers import pct
-from signalloom.functions.text import as_col, casefold, nonblank, preview
+from signalloom.functions.text import as_col, casefold, nonblank, preview, squash
 
 
 def evidence_source(provenance="provenance_metadata", collector="collector_identity") -> Column:
@@ -124,10 +124,10 @@ def _has(value, needle: str) -> Column:
 
 
 def search_evidence(unified: DataFrame, organization=None, search=None, source=None, enriched=None, technology=None, capability=None, location=None, job_id=None) -> DataFrame:
-    """Evidence records under optional filters, all of which must hold."""
+    """Evidence records under optional filters, all of which must hold; the search reads the whole source text."""
     out = unified if organization is None else unified.filter(F.col("organization") == organization)
     if search:
-        text = F.concat_ws(" ", "job_title", "job_location", F.coalesce("evidence_preview", F.lit("")), F.array_join("technologies", " "), F.array_join("capabilities", " "))
+        text = F.concat_ws(" ", "job_title", "job_location", F.coalesce(squash("source_excerpt"), F.lit("")), F.array_join("technologies", " "), F.array_join("capabilities", " "))
         out = out.filter(_has(text, search))
     if source:
         out = out.filter(_has("source", source))

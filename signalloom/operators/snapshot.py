@@ -44,9 +44,31 @@ def snapshot_evidence(jobs: DataFrame, order: Sequence[Column], prefix: str = "H
     )
 
 
-def historical_counts(jobs: DataFrame, capability: str = "capability") -> DataFrame:
-    """Jobs per company and capability of earlier snapshots."""
-    return jobs.groupBy("company_id", capability).agg(F.count(F.lit(1)).alias("previous_job_count"))
+def posting_intervals(sightings: DataFrame, keys: Sequence[str], seen: str = "seen_on") -> DataFrame:
+    """First and last sighting of each posting: ``(keys…, first_seen, last_seen)``."""
+    return sightings.filter(F.col(seen).isNotNull()).groupBy(*keys).agg(F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"))
+
+
+def open_postings(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Open postings per key over time: ``(keys…, day, open_count, until)``, one row per day on which something changes.
+
+    A posting is open from its first to its last sighting: +1 on the one, -1 on the day after the other. Changes
+    are summed per key and day before they are shuffled, and the running sum goes over days, not postings.
+    """
+    changes = F.explode(F.array(F.struct(F.col("first_seen").alias("day"), F.lit(1).alias("change")), F.struct(F.date_add("last_seen", 1).alias("day"), F.lit(-1).alias("change"))))
+    daily = intervals.select(*keys, changes.alias("c")).groupBy(*keys, F.col("c.day").alias("day")).agg(F.sum("c.change").alias("change"))
+    over = Window.partitionBy(*keys).orderBy("day")
+    return daily.select(*keys, "day", F.sum("change").over(over).alias("open_count"), F.lead("day").over(over).alias("until"))
+
+
+def historical_counts(sweep: DataFrame, as_of: DataFrame, without_history: DataFrame | None = None, capability: str = "capability") -> DataFrame:
+    """Jobs open per company and capability at each company's date of ``as_of(company_id, as_of)``.
+
+    Companies of ``without_history(company_id)`` have supplied no history and get no rows.
+    """
+    dates = as_of if without_history is None else as_of.join(without_history.select("company_id"), "company_id", "left_anti")
+    at = (F.col("day") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("until") > F.col("as_of")))
+    return sweep.join(dates, "company_id").filter(at & (F.col("open_count") > 0)).select("company_id", capability, F.col("open_count").alias("previous_job_count"))
 
 
 def direction(current: Column, previous: Column) -> Column:
@@ -69,7 +91,7 @@ def snapshot_signals(jobs: DataFrame, history: DataFrame | None = None, senior_l
         F.avg(F.col("extraction_status").isin(*DONE).cast("double")).alias("_completion"),
         F.avg((F.col("classification_source") == "llm").cast("double")).alias("_supplied"),
     )
-    grouped = grouped.withColumn("_total", F.sum("job_count").over(Window.partitionBy("company_id")))
+    grouped = grouped.join(jobs.groupBy("company_id").agg(F.count(F.lit(1)).alias("_total")), "company_id")
     if history is None:
         joined = grouped.withColumn("previous_job_count", F.lit(None).cast("long"))
     else:

@@ -130,9 +130,9 @@ def _(b):
 
 @query("prj36_job_intelligence", """
 SELECT j.job_id, j.title, j.country, coalesce(j.seniority_level, '') AS seniority_level, l.job_id IS NOT NULL AS available, coalesce(l.business_unit, '') AS enriched_business_unit, coalesce(l.confidence, 0.0) AS confidence
-FROM b_jobs j LEFT JOIN b_latest l USING (job_id) WHERE organization = 'AMERICA'""")
+FROM b_jobs j LEFT JOIN b_latest l USING (job_id)""")
 def _(b):
-    j = E.job_intelligence(S.scan(b.jobs, "AMERICA"), b.latest)
+    j = E.job_intelligence(b.jobs, b.latest)
     return j.select("job_id", "title", "country", F.coalesce("seniority_level", F.lit("")).alias("seniority_level"), "available", F.coalesce("enriched_business_unit", F.lit("")).alias("enriched_business_unit"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 

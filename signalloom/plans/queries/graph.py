@@ -215,10 +215,16 @@ def _(b):
     return _Graph.of(b).concepts.filter("edge_type = 'USES_TECHNOLOGY'").groupBy("node_id", F.col("derivation_type").alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk8_graph_round_trip", "SELECT node_type, count(*) AS n FROM g_nodes WHERE organization = 'ASIA' GROUP BY 1")
+@query("snk8_graph_round_trip", """
+SELECT organization, 'node' AS kind, node_type AS type, count(*) AS n FROM g_nodes GROUP BY ALL UNION ALL SELECT organization, 'edge', edge_type, count(*) FROM g_edges GROUP BY ALL""")
 def _(b):
     g = _Graph.of(b)
     path = scratch_path(b.spark, "graph")
     S.load_or_build_graph(b.spark, path, lambda: (g.nodes, g.edges))
-    nodes, _ = S.read_graph(b.spark, path, "ASIA")
-    return nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+
+    def stored_already():
+        raise AssertionError("the graph was stored, so it must be loaded")
+
+    nodes, edges = S.load_or_build_graph(b.spark, path, stored_already)
+    kinds = nodes.select("organization", F.lit("node").alias("kind"), F.col("node_type").alias("type")).unionByName(edges.select("organization", F.lit("edge").alias("kind"), F.col("edge_type").alias("type")))
+    return kinds.groupBy("organization", "kind", "type").agg(F.count(F.lit(1)).alias("n"))

@@ -281,9 +281,8 @@ def _(b):
 
 
 def _current_jobs(b):
-    """Jobs of the last year as classified snapshot rows."""
-    rows = b.jobs.filter("posted_date >= date'2000-06-01'")
-    return rows.select(
+    """All jobs as classified snapshot rows."""
+    return b.jobs.select(
         F.col("organization").alias("company_id"), F.col("job_id").alias("source_job_id"), "title", "business_unit", F.lit(None).cast("string").alias("department"),
         F.coalesce(F.try_element_at("capability_classifications", F.lit(1)), F.lit("Other")).alias("capability"), F.col("technologies"), F.split("title", "#").alias("skills"),
         F.when(F.col("is_leadership"), F.lit("Director")).otherwise(F.lit("Mid")).alias("seniority"),
@@ -293,20 +292,36 @@ def _current_jobs(b):
     )
 
 
+def _sweep(b):
+    """Open postings of all companies and capabilities over time; an order's dates are the sightings of its posting."""
+    seen = b.table("orders").select(F.col("o_orderkey").cast("string").alias("source_job_id"), F.to_date("o_orderdate").alias("seen_on"))
+    seen = seen.unionByName(b.table("lineitem").select(F.col("l_orderkey").cast("string").alias("source_job_id"), F.to_date("l_shipdate").alias("seen_on")))
+    intervals = P.posting_intervals(seen, ["source_job_id"])
+    return P.open_postings(_current_jobs(b).select("company_id", "capability", "source_job_id").join(intervals, "source_job_id"), ["company_id", "capability"])
+
+
 def _history(b):
-    past = b.jobs.filter("posted_date < date'2000-06-01' AND posted_date >= date'1999-06-01' AND organization <> 'ASIA'")
-    return P.historical_counts(past.select(F.col("organization").alias("company_id"), F.coalesce(F.try_element_at("capability_classifications", F.lit(1)), F.lit("Other")).alias("capability")))
+    """Counts one year before each company's newest posting; the first company by name has supplied none."""
+    newest = b.postings.groupBy(F.col("organization").alias("company_id")).agg(F.add_months(F.max("posted_date"), -12).alias("as_of"))
+    return P.historical_counts(_sweep(b), newest, b.table("region").agg(F.min("r_name").alias("company_id")))
 
 
 view("p_all", """
 SELECT organization AS company_id, job_id, title, business_unit, coalesce((SELECT min(capability) FROM b_caps c WHERE c.job_id = j.job_id), 'Other') AS capability, is_leadership, employment_type, country, posted_date, source_url FROM b_jobs j
 """)
-view("p_cur", "SELECT * FROM p_all WHERE posted_date >= DATE '2000-06-01'")
-view("p_hist", "SELECT company_id, capability, count(*) AS prev FROM p_all WHERE posted_date < DATE '2000-06-01' AND posted_date >= DATE '1999-06-01' AND company_id <> 'ASIA' GROUP BY ALL")
+view("p_none", "SELECT min(r_name) AS without_history FROM region")
+view("p_seen", """
+SELECT job_id, min(d) AS first_seen, max(d) AS last_seen FROM (SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CAST(o_orderdate AS DATE) AS d FROM orders UNION ALL SELECT CAST(l_orderkey AS VARCHAR), CAST(l_shipdate AS DATE) FROM lineitem) GROUP BY 1
+""")
+view("p_asof", "SELECT company_id, CAST(max(posted_date) - INTERVAL 12 MONTH AS DATE) AS as_of FROM p_all GROUP BY 1")
+view("p_hist", """
+SELECT company_id, capability, count(*) AS prev FROM p_all JOIN p_seen USING (job_id) JOIN p_asof USING (company_id)
+WHERE first_seen <= as_of AND as_of <= last_seen AND company_id <> (SELECT without_history FROM p_none) GROUP BY ALL
+""")
 view("p_sig", """
-SELECT g.*, CASE WHEN company_id = 'ASIA' THEN NULL ELSE coalesce(prev, 0) END AS previous, t.total FROM (
+SELECT g.*, CASE WHEN company_id = (SELECT without_history FROM p_none) THEN NULL ELSE coalesce(prev, 0) END AS previous, t.total FROM (
   SELECT company_id, business_unit, capability, count(*) AS n, count(*) FILTER (is_leadership) AS senior, avg(CASE WHEN country = 'US' THEN 0.75 ELSE 0.5 END::DOUBLE) AS conf, avg(CASE WHEN employment_type = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE) AS done, avg(CASE WHEN country = 'US' THEN 1.0 ELSE 0.0 END::DOUBLE) AS llm
-  FROM p_cur GROUP BY ALL) g LEFT JOIN p_hist USING (company_id, capability) JOIN (SELECT company_id, count(*) AS total FROM p_cur GROUP BY 1) t USING (company_id)
+  FROM p_all GROUP BY ALL) g LEFT JOIN p_hist USING (company_id, capability) JOIN (SELECT company_id, count(*) AS total FROM p_all GROUP BY 1) t USING (company_id)
 """)
 
 
@@ -340,6 +355,14 @@ def _(b):
     return s.groupBy("company_id", "capability").agg(F.sum("job_count").alias("now"), F.max(F.coalesce("previous_job_count", F.lit(-1))).alias("before"))
 
 
+@query("agg24_open_postings", """
+SELECT company_id, capability, strftime(day, '%Y-%m-%d') AS day, CAST(sum(change) OVER (PARTITION BY company_id, capability ORDER BY day) AS BIGINT) AS open_count FROM (
+  SELECT company_id, capability, day, sum(change) AS change FROM (
+    SELECT company_id, capability, first_seen AS day, 1 AS change FROM p_all JOIN p_seen USING (job_id) UNION ALL SELECT company_id, capability, last_seen + 1, -1 FROM p_all JOIN p_seen USING (job_id)) GROUP BY ALL)""")
+def _(b):
+    return _sweep(b).select("company_id", "capability", day("day"), "open_count")
+
+
 @query("agg24_historical_counts", "SELECT company_id, capability, prev AS previous_job_count FROM p_hist")
 def _(b):
     return _history(b)
@@ -347,7 +370,7 @@ def _(b):
 
 @query("agg23_top_technologies", """
 SELECT company_id, coalesce(business_unit, '') AS business_unit, capability, value, value_count, value_rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id, business_unit, capability ORDER BY value_count DESC, value) AS value_rank FROM (
-  SELECT company_id, business_unit, capability, technology AS value, count(*) AS value_count FROM p_cur JOIN b_techs USING (job_id) GROUP BY ALL)) WHERE value_rank <= 10""")
+  SELECT company_id, business_unit, capability, technology AS value, count(*) AS value_count FROM p_all JOIN b_techs USING (job_id) GROUP BY ALL)) WHERE value_rank <= 10""")
 def _(b):
     t = P.top_values(_current_jobs(b), ["company_id", "business_unit", "capability"], "technologies", 10)
     return t.select("company_id", F.coalesce("business_unit", F.lit("")).alias("business_unit"), "capability", "value", "value_count", "value_rank")
@@ -356,20 +379,21 @@ def _(b):
 @query("sig21_snapshot_warnings", """
 SELECT company_id, count(*) AS unique_jobs, count(*) FILTER (employment_type = 'F') AS enriched_jobs, count(*) FILTER (employment_type = 'O') AS failed_enrichments,
   concat_ws(' ', CASE WHEN count(*) FILTER (employment_type = 'O') > 0 THEN count(*) FILTER (employment_type = 'O') || ' job pages were unavailable; CSV metadata was retained.' END, 'LLM classification was disabled; heuristic classification was used.',
-  CASE WHEN company_id = 'ASIA' THEN 'Only a current active-job snapshot was supplied; signals describe concentration, not growth.' END) AS warnings FROM p_cur GROUP BY 1""")
+  CASE WHEN company_id = (SELECT without_history FROM p_none) THEN 'Only a current active-job snapshot was supplied; signals describe concentration, not growth.' END) AS warnings FROM p_all GROUP BY 1""")
 def _(b):
     w = P.snapshot_warnings(_current_jobs(b), True, False, _history(b))
     return w.withColumn("warnings", F.array_join("warnings", " "))
 
 
-@query("sig28_snapshot_status", "SELECT r_name AS company_id, CASE WHEN r_name IN (SELECT company_id FROM p_cur WHERE country = 'US') THEN 'analyzed' ELSE 'insufficient_data' END AS status FROM region")
+@query("sig28_snapshot_status", """
+SELECT company_id, CASE WHEN company_id IN (SELECT company_id FROM p_all) THEN 'analyzed' ELSE 'insufficient_data' END AS status FROM (SELECT r_name AS company_id FROM region UNION SELECT n_name FROM nation)""")
 def _(b):
-    companies = b.table("region").select(F.col("r_name").alias("company_id"))
-    return P.snapshot_status(companies, P.snapshot_signals(_current_jobs(b).filter("country = 'US'"))).select("company_id", "status")
+    companies = b.table("region").select(F.col("r_name").alias("company_id")).unionByName(b.table("nation").select(F.col("n_name").alias("company_id")))
+    return P.snapshot_status(companies, P.snapshot_signals(_current_jobs(b))).select("company_id", "status")
 
 
 @query("win5_sequence_ids", """
-SELECT company_id, job_id AS source_job_id, printf('HIRE_EV_%05d', row_number() OVER (PARTITION BY company_id ORDER BY CAST(job_id AS BIGINT))) AS evidence_id, 'Open role: ' || title || '; capability: ' || capability AS statement FROM p_cur""")
+SELECT company_id, job_id AS source_job_id, printf('HIRE_EV_%05d', row_number() OVER (PARTITION BY company_id ORDER BY CAST(job_id AS BIGINT))) AS evidence_id, 'Open role: ' || title || '; capability: ' || capability AS statement FROM p_all""")
 def _(b):
     return P.snapshot_evidence(_current_jobs(b), [F.col("source_job_id").cast("long")]).select("company_id", "source_job_id", "evidence_id", "statement")
 

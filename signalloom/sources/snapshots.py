@@ -149,7 +149,7 @@ def import_rows(df: DataFrame, as_of, source_id: str = "csv_import", names: Mapp
             "capability_classifications": F.filter(F.array("_role"), lambda r: r != ""),
             "technologies": extract_terms(["title", "description", "qualifications_text", "responsibilities_text"]),
             "source_type": F.lit("career_site"),
-            "source_excerpt": X.excerpt("description", 500),
+            "source_excerpt": F.col("description"),
             "raw_reference": F.concat_ws(":", F.lit(source_id), key, "source_job_id"),
             "collector_identity": F.lit("csv-import-script"),
             "provenance_metadata": F.to_json(F.struct(key.alias("organization_key"), F.lit(source_id).alias("source_id"), F.col("source_job_id").alias("external_job_id"))),

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -198,6 +199,36 @@ def test_snapshot_direction(spark):
     assert got["Data and AI"]["strength"] == round(0.55 * 5 / 6 + 0.3 * 0.25 + 0.15, 2)
 
 
+def test_open_postings_at_any_date(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("CD"), rng.choice("xyz"), f"p{i % 90}", datetime.date(2025, 1, 1) + datetime.timedelta(rng.randrange(200))) for i in range(260)] + [("C", "x", "none", None)]
+    df = spark.createDataFrame(rows, "company_id string, capability string, source_job_id string, seen_on date")
+    keys = ["company_id", "capability", "source_job_id"]
+    sweep = P.open_postings(P.posting_intervals(df, keys), keys[:2]).cache()
+    spans = {}
+    for *key, seen in rows:
+        if seen:
+            low, high = spans.get(tuple(key), (seen, seen))
+            spans[tuple(key)] = min(low, seen), max(high, seen)
+    for offset in (-1, 0, 30, 77, 150, 199, 260):
+        at = datetime.date(2025, 1, 1) + datetime.timedelta(offset)
+        want = {}
+        for (company, capability, _), (low, high) in spans.items():
+            if low <= at <= high and company == "C":
+                want[company, capability] = want.get((company, capability), 0) + 1
+        dates = spark.createDataFrame([("C", at), ("D", at)], "company_id string, as_of date")
+        without = spark.createDataFrame([("D",)], "company_id string")
+        assert {(r.company_id, r.capability): r.previous_job_count for r in P.historical_counts(sweep, dates, without).collect()} == want
+
+
+def test_search_reads_whole_texts(spark):
+    rows = [("o", "e1", "word " * 400 + "needle", "t"), ("o", "e2", "word " * 400, "t"), ("o", "e3", None, "Needle")]
+    df = spark.createDataFrame(rows, "organization string, evidence_id string, source_excerpt string, job_title string").selectExpr("*", "'l' AS job_location", "array('x') AS technologies", "array('y') AS capabilities")
+    assert {r.evidence_id for r in E.search_evidence(df, search="NEEDLE").collect()} == {"e1", "e3"}
+
+
 def test_upsert_keeps_identity_and_last_row_wins(spark):
     old = spark.createDataFrame([("o", "1", "id-1", "e1"), ("o", "2", "id-2", "e2")], "organization string, source_job_id string, job_id string, evidence_id string")
     new = spark.createDataFrame([("o", "1", "id-x", "e9", 1), ("o", "1", "id-y", "e10", 2), ("o", "3", "id-3", "e3", 1)], "organization string, source_job_id string, job_id string, evidence_id string, n int")
