@@ -19,11 +19,8 @@ def capabilities(jobs_col: str = "capability_classifications") -> Column:
     return X.clean_array(jobs_col)
 
 
-def job_facets(jobs: DataFrame, families: Sequence[str] = FAMILIES) -> DataFrame:
-    """One row per job and facet value it counts towards: ``(organization, family, value, job_id, evidence_id, posted_date)``.
-
-    Values are distinct within a job, so counting rows counts jobs.
-    """
+def facet_array(families: Sequence[str]) -> Column:
+    """The facet values a job counts towards, distinct, as an array of ``family, value``."""
     country = X.strip("country")
     one = lambda family, value, cond=None: F.array(F.when(F.lit(True) if cond is None else cond, F.struct(F.lit(family).alias("family"), value.alias("value"))))
     many = lambda family, values: F.transform(values, lambda v: F.struct(F.lit(family).alias("family"), v.alias("value")))
@@ -42,9 +39,16 @@ def job_facets(jobs: DataFrame, families: Sequence[str] = FAMILIES) -> DataFrame
         "day": lambda: one("day", F.col("posted_date").cast("string"), F.col("posted_date").isNotNull()),
         "week": lambda: one("week", week_start("posted_date").cast("string"), F.col("posted_date").isNotNull()),
     }
-    facets = F.array_compact(F.concat(*[F.coalesce(parts[f](), F.array().cast("array<struct<family:string,value:string>>")) for f in families]))
+    return F.array_compact(F.concat(*[F.coalesce(parts[f](), F.array().cast("array<struct<family:string,value:string>>")) for f in families]))
+
+
+def job_facets(jobs: DataFrame, families: Sequence[str] = FAMILIES) -> DataFrame:
+    """One row per job and facet value it counts towards: ``(organization, family, value, job_id, evidence_id, posted_date)``.
+
+    Values are distinct within a job, so counting rows counts jobs.
+    """
     # An inner explode would make Catalyst build the array a second time to filter on its size.
-    return jobs.select("organization", "job_id", "evidence_id", "posted_date", F.explode_outer(facets).alias("f")).filter("f IS NOT NULL").select(
+    return jobs.select("organization", "job_id", "evidence_id", "posted_date", F.explode_outer(facet_array(families)).alias("f")).filter("f IS NOT NULL").select(
         "organization", "f.family", "f.value", "job_id", "evidence_id", "posted_date"
     )
 
@@ -359,9 +363,13 @@ def signals_from_counts(counts: DataFrame, t: HiringThresholds) -> DataFrame:
     )
 
 
+#: Facets whose jobs support a signal.
+SUPPORT_FAMILIES = ("total", "country", "region", "city", "capability", "leadership")
+
+
 def hiring_signal_support(jobs: DataFrame, signals: DataFrame) -> DataFrame:
     """Supporting records of every signal, one row each."""
-    facets = job_facets(jobs, ("total", "country", "region", "city", "capability", "leadership")).drop("posted_date")
+    facets = job_facets(jobs, SUPPORT_FAMILIES).drop("posted_date")
     chosen = signals.select("organization", "family", "value", "signal_id", "signal_type", "title")
     return facets.join(chosen, ["organization", "family", "value"]).select("organization", "signal_id", "signal_type", "title", "job_id", "evidence_id")
 

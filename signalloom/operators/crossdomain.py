@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from signalloom.functions import lexicons as L
 from signalloom.functions.ids import uuid5
 from signalloom.functions.numbers import days_between, pct, ratio, unit
-from signalloom.operators.analytics import _per_org, facet_counts, job_facets
-from signalloom.operators.technology import with_tech_totals
+from signalloom.operators.analytics import SUPPORT_FAMILIES, facet_array
+from signalloom.operators.technology import observed, tech_facet_array, with_tech_totals
 
 
 @dataclass(frozen=True)
@@ -83,108 +84,136 @@ def signal_limitations(t: CrossThresholds) -> Column:
     )
 
 
-# Both sides of an overlap are member rows: (organization, family, subject, member, evidence_id, size, concentration).
-# ``member`` is the job, or the evidence record for signal clusters.
+# --- gates and overlaps inside the job row ----------------------------------------------------
+#
+# A job carries its groups as keys; the groups, signals and units of its organization that pass their own gates
+# come to it as one short array. Pairs are made inside the row and summed map-side: no job meets another job.
 
+SEP = "\u0001"
+SALTS = 32  # a large organization's jobs meet its gates in so many groups
+GROUP_FAMILIES = ("total", "with_capability", "capability", "city", "leadership")
+GATE = ["organization", "kind", "side", "family", "subject", "key", "size", "concentration", "signal_id"]
+
+
+def _key(*parts) -> Column:
+    return F.concat(*[p for part in parts for p in (F.lit(SEP), F.coalesce(F.lit(part) if isinstance(part, str) else part, F.lit("")))])
 
-def gate_members(members: DataFrame, groups: DataFrame, minimum: int, t: CrossThresholds) -> DataFrame:
-    """Member rows of the groups that pass their own side's gates.
 
-    Concentrated groups are few per organization, so the pairing join below never meets the long tail.
+def tagged_jobs(rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOLOGY_CATEGORIES) -> DataFrame:
+    """``organization, job_id, evidence_id, tags, technologies`` of jobs with evidence (``enriched_jobs``).
+
+    Tags are the keys of all groups the job belongs to: hiring and technology facets, the business unit of its
+    record and the technologies its enrichment names.
     """
-    passing = groups.filter((F.col("size") >= minimum) & (F.col("concentration") >= t.minimum_domain_concentration))
-    return members.join(passing, ["organization", "family", "subject"])
+    e = F.col("enrichment")
+    unit_value = F.when(e.isNotNull(), e["business_unit"]).otherwise(F.col("business_unit"))
+    named = F.array_distinct(F.coalesce(e["technologies"], F.array().cast("array<string>")))
+    hiring = F.transform(facet_array(SUPPORT_FAMILIES), lambda f: _key("h", f["family"], f["value"]))
+    technology = F.transform(tech_facet_array(categories), lambda f: _key("t", f["family"], f["label"], f["technology"]))
+    unit_key = F.when(unit_value != "", F.array(_key("u", unit_value))).otherwise(F.array().cast("array<string>"))
+    return observed(rows, names).select(
+        "organization", "job_id", "evidence_id", F.array_distinct(F.concat(hiring, technology, unit_key, F.transform(named, lambda n: _key("r", n)))).alias("tags"),
+        F.when(F.size(unit_key) > 0, unit_value).alias("unit"), named.alias("technologies"),
+    )
 
 
-GROUP_FAMILIES = ("total", "with_capability", "capability", "city", "leadership")
+def _gates(frame: DataFrame, kind: str, side: str, family, subject: str, key: Column, size, concentration, signal_id=None) -> DataFrame:
+    return frame.select("organization", F.lit(kind).alias("kind"), F.lit(side).alias("side"), family.alias("family"), F.col(subject).cast("string").alias("subject"), key.alias("key"),
+                        F.col(size).cast("long").alias("size") if size else F.lit(None).cast("long").alias("size"), concentration.cast("double").alias("concentration"),
+                        F.col(signal_id).alias("signal_id") if signal_id else F.lit(None).cast("string").alias("signal_id"))
 
 
-def hiring_members(jobs: DataFrame, context: DataFrame, t: CrossThresholds, counts: DataFrame | None = None) -> DataFrame:
-    """Jobs of concentrated capabilities, cities and leadership roles; ``counts`` reuses a facet table."""
-    if counts is None:
-        counts = facet_counts(job_facets(jobs, GROUP_FAMILIES), with_evidence=False)
-    counts = counts.filter(F.col("family").isin(*GROUP_FAMILIES)).withColumns(
-        {
-            "_total": _per_org(F.col("family") == "total", F.col("job_count")),
-            "_classified": F.coalesce(_per_org(F.col("family") == "with_capability", F.col("job_count")), F.lit(0)),
-        }
-    )
+def hiring_gates(counts: DataFrame, context: DataFrame, t: CrossThresholds) -> DataFrame:
+    """Concentrated capabilities, cities and leadership roles of organizations that pass the global gate."""
+    totals = counts.groupBy("organization").agg(
+        F.max(F.when(F.col("family") == "total", F.col("job_count"))).alias("_total"), F.coalesce(F.max(F.when(F.col("family") == "with_capability", F.col("job_count"))), F.lit(0)).alias("_classified"),
+    ).join(context.filter("passes").select("organization"), "organization", "left_semi")
     base = F.when(F.col("family") == "capability", F.col("_classified")).otherwise(F.col("_total"))
-    groups = counts.filter(F.col("family").isin("capability", "city", "leadership")).select(
-        "organization", "family", F.col("value").alias("subject"), F.col("job_count").alias("size"), unit(pct("job_count", base) / 100).alias("concentration")
-    )
-    open_orgs = context.filter("passes").select("organization")
-    members = job_facets(jobs, ("capability", "city", "leadership")).join(open_orgs, "organization", "left_semi").select(
-        "organization", "family", F.col("value").alias("subject"), F.col("job_id").alias("member"), "evidence_id"
-    )
-    return gate_members(members, groups, t.minimum_hiring_contributors, t)
-
+    groups = counts.filter(F.col("family").isin("capability", "city", "leadership")).join(totals, "organization").withColumn("_share", unit(pct("job_count", base) / 100))
+    groups = groups.filter((F.col("job_count") >= t.minimum_hiring_contributors) & (F.col("_share") >= t.minimum_domain_concentration))
+    return _gates(groups, "group", "hiring", F.col("family"), "value", _key("h", F.col("family"), F.col("value")), "job_count", F.col("_share"))
 
-def technology_members(tech_facets: DataFrame, tech_counts: DataFrame, context: DataFrame, t: CrossThresholds) -> DataFrame:
-    """Jobs of concentrated normalised technologies (share of enriched jobs, clamped)."""
-    share = F.least(ratio("job_count", "enriched_jobs") * 100, F.lit(100.0))
-    groups = with_tech_totals(tech_counts).filter("family = 'technology'").select(
-        "organization", "family", F.col("technology").alias("subject"), F.col("job_count").alias("size"), unit(share / 100).alias("concentration")
-    )
-    open_orgs = context.filter("passes").select("organization")
-    members = tech_facets.filter("family = 'technology'").join(open_orgs, "organization", "left_semi").select(
-        "organization", "family", F.col("technology").alias("subject"), F.col("job_id").alias("member"), "evidence_id"
-    )
-    return gate_members(members, groups, t.minimum_technology_contributors, t)
 
+def technology_gates(tech_counts: DataFrame, context: DataFrame, t: CrossThresholds) -> DataFrame:
+    """Concentrated normalised technologies (share of enriched jobs, clamped)."""
+    share = unit(F.least(ratio("job_count", "enriched_jobs") * 100, F.lit(100.0)) / 100)
+    groups = with_tech_totals(tech_counts).filter("family = 'technology'").join(context.filter("passes").select("organization"), "organization", "left_semi").withColumn("_share", share)
+    groups = groups.filter((F.col("job_count") >= t.minimum_technology_contributors) & (F.col("_share") >= t.minimum_domain_concentration))
+    return _gates(groups, "group", "technology", F.lit("technology"), "technology", _key("t", F.col("family"), F.col("label"), F.col("technology")), "job_count", F.col("_share"))
 
-def pair_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Member rows shared by a hiring group and a technology group of the same organization.
 
-    An equi-join on the member; a job has few concentrated groups, so its pairs are few.
-    """
-    a = left.select("organization", "family", F.col("subject").alias("primary_subject"), "member", "evidence_id", F.col("size").alias("hiring_size"), F.col("concentration").alias("hiring_concentration"))
-    b = right.select("organization", F.col("subject").alias("related_subject"), "member", F.col("size").alias("technology_size"), F.col("concentration").alias("technology_concentration"))
-    return a.join(b, ["organization", "member"])
+def unit_gates(tagged: DataFrame, context: DataFrame, t: CrossThresholds) -> DataFrame:
+    """Business units that hold enough of an organization's jobs."""
+    units = tagged.filter("unit IS NOT NULL").groupBy("organization", "unit").agg(F.count(F.lit(1)).alias("size"))
+    units = units.join(context.filter("passes").select("organization", "total_jobs"), "organization").withColumn("_share", ratio("size", "total_jobs"))
+    units = units.filter((F.col("size") >= t.minimum_hiring_contributors) & (F.col("_share") >= t.minimum_domain_concentration))
+    return _gates(units, "unit", "hiring", F.lit("business_unit"), "unit", _key("u", F.col("unit")), "size", F.col("_share"))
 
 
-PAIR = ["organization", "family", "primary_subject", "related_subject", "hiring_size", "technology_size", "hiring_concentration", "technology_concentration"]
+def signal_gates(hiring_signals: DataFrame, technology_signals: DataFrame, context: DataFrame, t: CrossThresholds | None = None) -> DataFrame:
+    """Signals of both domains by the group that supports them; with thresholds only strong ones."""
+    open_orgs = context.filter("passes").select("organization")
+    parts = []
+    for side, frame, key in (
+        ("hiring", hiring_signals, _key("h", F.col("family"), F.col("value"))),
+        ("technology", technology_signals, _key("t", F.col("family"), F.col("label"), F.col("technology"))),
+    ):
+        strong = frame.join(open_orgs, "organization", "left_semi") if t is None else frame.filter(F.col("strength") >= t.minimum_domain_concentration).join(open_orgs, "organization", "left_semi")
+        parts.append(_gates(strong, "signal", side, F.lit("cluster"), "title", key, None, F.col("strength"), "signal_id"))
+    return parts[0].unionByName(parts[1])
 
 
-def business_unit_members(unified: DataFrame, context: DataFrame, t: CrossThresholds) -> DataFrame:
-    """Business-unit overlap rows: raw enrichment technologies within the record's business unit.
+def with_gates(tagged: DataFrame, gates: DataFrame) -> DataFrame:
+    """Adds ``hits``: the gates of the job's organization that one of its tags opens.
 
-    The technology side of a pair is its own overlap, so one aggregation sizes all three.
+    Gated groups are few per organization, as each holds a minimum share of its jobs. A job meets one row.
     """
-    open_orgs = context.filter("passes").select("organization", F.col("total_jobs").alias("_total"), F.col("enriched_jobs").alias("_enriched"))
-    records = unified.filter("business_unit <> ''").select("organization", "business_unit", "job_id", "evidence_id", F.array_distinct("technologies").alias("technologies"))
-    units = records.groupBy("organization", "business_unit").agg(F.count(F.lit(1)).alias("hiring_size"))
-    units = units.join(open_orgs, "organization").withColumn("hiring_concentration", ratio("hiring_size", "_total")).filter(
-        (F.col("hiring_size") >= t.minimum_hiring_contributors) & (F.col("hiring_concentration") >= t.minimum_domain_concentration)
-    )
-    rows = records.join(units, ["organization", "business_unit"]).withColumn("technology", F.explode("technologies"))
-    sizes = rows.groupBy("organization", "business_unit", "technology").agg(F.count(F.lit(1)).alias("technology_size"), F.first("_enriched").alias("_e"))
-    sizes = sizes.withColumn("technology_concentration", ratio("technology_size", "_e")).filter(
-        (F.col("technology_size") >= t.minimum_technology_contributors) & (F.col("technology_concentration") >= t.minimum_domain_concentration)
-    ).drop("_e")
-    return rows.join(sizes, ["organization", "business_unit", "technology"]).select(
-        "organization", F.lit("business_unit").alias("family"), F.col("business_unit").alias("primary_subject"), F.col("technology").alias("related_subject"),
-        F.col("job_id").alias("member"), "evidence_id", "hiring_size", "technology_size", "hiring_concentration", "technology_concentration",
-    )
+    listed = gates.groupBy("organization").agg(F.collect_list(F.struct(*[c for c in gates.columns if c != "organization"])).alias("_gates"))
+    salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = tagged.withColumn("_salt", F.pmod(F.xxhash64("job_id"), F.lit(SALTS)).cast("int")).join(salted, ["organization", "_salt"])
+    return met.withColumn("hits", F.filter("_gates", lambda g: F.array_contains(F.col("tags"), g["key"]))).drop("_gates", "_salt")
 
 
-def cluster_members(hiring_signals, hiring_support, technology_signals, technology_support, unified, context, t: CrossThresholds) -> DataFrame:
-    """Evidence shared by a hiring signal and a technology signal whose strengths pass the gate."""
-    open_orgs = context.filter("passes").select("organization")
-    known = unified.select("organization", "evidence_id").distinct()
+PAIR = [
+    "family", "primary_subject", "related_subject", "hiring_size", "technology_size", "hiring_concentration", "technology_concentration",
+    "hiring_signal_id", "technology_signal_id", "left_key", "right_key",
+]
+
 
-    def side(signals, support, minimum):
-        strong = signals.filter(F.col("strength") >= t.minimum_domain_concentration).join(open_orgs, "organization", "left_semi")
-        strong = strong.select("organization", "signal_id", F.col("strength").alias("concentration"), F.col("title").alias("subject"))
-        members = support.select("organization", "signal_id", "evidence_id").distinct().join(strong.select("signal_id"), "signal_id", "left_semi").join(known, ["organization", "evidence_id"], "left_semi")
-        sizes = members.groupBy("signal_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= minimum)
-        return members.join(strong.drop("organization").join(sizes, "signal_id"), "signal_id")
+def _pair(family, h, t=None, technology=None) -> Column:
+    none = lambda kind: F.lit(None).cast(kind)
+    values = [
+        family, h["subject"], technology if t is None else t["subject"], h["size"], none("long") if t is None else t["size"], h["concentration"], none("double") if t is None else t["concentration"],
+        h["signal_id"], none("string") if t is None else t["signal_id"], h["key"], none("string") if t is None and technology is None else _key("r", technology) if t is None else t["key"],
+    ]
+    return F.struct(*[v.alias(n) for v, n in zip(values, PAIR)])
 
-    a = side(hiring_signals, hiring_support, t.minimum_hiring_contributors)
-    b = side(technology_signals, technology_support, t.minimum_technology_contributors)
-    left = a.select("organization", "evidence_id", F.col("signal_id").alias("hiring_signal_id"), F.col("subject").alias("primary_subject"), F.col("size").alias("hiring_size"), F.col("concentration").alias("hiring_concentration"))
-    right = b.select("organization", "evidence_id", F.col("signal_id").alias("technology_signal_id"), F.col("subject").alias("related_subject"), F.col("size").alias("technology_size"), F.col("concentration").alias("technology_concentration"))
-    return left.join(right, ["organization", "evidence_id"]).withColumns({"family": F.lit("cluster"), "member": F.col("evidence_id")})
+
+def overlap_counts(tagged: DataFrame, gates: DataFrame) -> DataFrame:
+    """Shared jobs and distinct evidence of every pair of gated groups, of units and technologies, and of signals.
+
+    ``signal`` rows give the evidence behind each signal by itself.
+    """
+    kind = lambda k, side: F.filter("hits", lambda g: (g["kind"] == k) & (g["side"] == side))
+    cross = lambda k, family: F.flatten(F.transform(kind(k, "hiring"), lambda h: F.transform(kind(k, "technology"), lambda t: _pair(family(h), h, t))))
+    units = F.flatten(F.transform(kind("unit", "hiring"), lambda u: F.transform("technologies", lambda n: _pair(u["family"], u, technology=n))))
+    alone = F.transform(F.filter("hits", lambda g: g["kind"] == "signal"), lambda g: _pair(F.lit("signal"), g, technology=F.lit(None).cast("string")))
+    made = F.concat(cross("group", lambda h: h["family"]), cross("signal", lambda h: F.lit("cluster")), units, alone)
+    rows = with_gates(tagged, gates).select("organization", "evidence_id", F.explode_outer(made).alias("p")).filter("p IS NOT NULL")
+    return rows.groupBy("organization", *[F.col(f"p.{c}").alias(c) for c in PAIR]).agg(F.count(F.lit(1)).alias("overlap"), F.count_distinct("evidence_id").alias("evidence_count"))
+
+
+def overlaps(counts: DataFrame, context: DataFrame, t: CrossThresholds) -> DataFrame:
+    """Counted pairs whose two sides both pass: the technology side of a unit is its own overlap, a cluster counts evidence."""
+    groups = counts.filter(~F.col("family").isin("business_unit", "cluster", "signal"))
+    units = counts.filter("family = 'business_unit'").join(context.select("organization", "enriched_jobs"), "organization").withColumns(
+        {"technology_size": F.col("overlap"), "technology_concentration": ratio("overlap", "enriched_jobs")}
+    ).filter((F.col("technology_size") >= t.minimum_technology_contributors) & (F.col("technology_concentration") >= t.minimum_domain_concentration)).select(*counts.columns)
+    sizes = counts.filter("family = 'signal'").select(F.col("hiring_signal_id").alias("_id"), F.col("evidence_count").alias("_size"))
+    clusters = counts.filter("family = 'cluster'").withColumn("overlap", F.col("evidence_count"))
+    for side, minimum in (("hiring", t.minimum_hiring_contributors), ("technology", t.minimum_technology_contributors)):
+        clusters = clusters.join(sizes.filter(F.col("_size") >= minimum), F.col(f"{side}_signal_id") == F.col("_id")).withColumn(f"{side}_size", F.col("_size")).drop("_id", "_size")
+    return groups.unionByName(units).unionByName(clusters.select(*counts.columns))
 
 
 def with_identity(rows: DataFrame, context: DataFrame, t: CrossThresholds) -> DataFrame:
@@ -205,13 +234,9 @@ def with_identity(rows: DataFrame, context: DataFrame, t: CrossThresholds) -> Da
 
 
 def alignments(pairs: DataFrame, context: DataFrame, thresholds: CrossThresholds | None = None) -> DataFrame:
-    """Overlap test, score, identity and text of every pair.
-
-    ``pairs`` holds one row per shared member; the count and the distinct evidence come from one aggregation.
-    """
+    """Overlap test, score, identity and text of every counted pair (``overlaps``)."""
     t = thresholds or CrossThresholds()
-    by = [c for c in (*PAIR, "hiring_signal_id", "technology_signal_id") if c in pairs.columns]
-    tested = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("overlap"), F.count_distinct("evidence_id").alias("evidence_count")).filter(
+    tested = pairs.filter(
         (F.col("overlap") >= t.minimum_unique_cross_domain_contributors) & (F.col("evidence_count") >= t.minimum_unique_cross_domain_contributors)
     )
     named = with_identity(tested, context, t)
@@ -245,18 +270,38 @@ def alignments(pairs: DataFrame, context: DataFrame, thresholds: CrossThresholds
         unit((F.col("enrichment_coverage") + evidence + sufficiency) / 3).alias("confidence"),
         evidence.alias("evidence_coverage"),
         F.col("hiring_size").alias("hiring_contributor_count"), F.col("technology_size").alias("technology_contributor_count"),
-        "overlap", "evidence_count", signal_limitations(t).alias("limitations"),
+        "overlap", "evidence_count", signal_limitations(t).alias("limitations"), "hiring_signal_id", "technology_signal_id", "left_key", "right_key",
     )
 
 
-def alignment_support(pairs: DataFrame, signals: DataFrame, context: DataFrame, thresholds: CrossThresholds | None = None) -> DataFrame:
-    """Contributing records of every cross-domain signal, one row each."""
-    t = thresholds or CrossThresholds()
-    named = with_identity(pairs, context, t).select("organization", "signal_id", F.col("member").alias("job_id"), "evidence_id")
-    return named.join(signals.select("signal_id"), "signal_id", "left_semi").distinct()
+def _alignment_gates(signals: DataFrame) -> DataFrame:
+    """Alignments as gates that the key of their hiring side opens; ``subject`` is the key of the other side."""
+    return signals.select(
+        "organization", F.lit("alignment").alias("kind"), F.lit("both").alias("side"), "family", F.col("right_key").alias("subject"), F.col("left_key").alias("key"),
+        F.lit(None).cast("long").alias("size"), F.lit(None).cast("double").alias("concentration"), "signal_id",
+    )
+
+
+def _aligned() -> Column:
+    return F.filter("hits", lambda g: (g["kind"] == "alignment") & F.array_contains(F.col("tags"), g["subject"]))
+
 
+def alignment_support(tagged: DataFrame, signals: DataFrame) -> DataFrame:
+    """Contributing records of every cross-domain signal, one row each: jobs that hold both its sides."""
+    rows = with_gates(tagged, _alignment_gates(signals)).select("organization", "job_id", "evidence_id", F.explode_outer(_aligned()).alias("a")).filter("a IS NOT NULL")
+    return rows.select("organization", "a.signal_id", "job_id", "evidence_id").distinct()
 
-def related_signals(alignment_rows: DataFrame, support: DataFrame, name: str) -> DataFrame:
-    """Signals that share evidence with an alignment, one row each, by hash join on the evidence id."""
-    cited = support.select("evidence_id", F.col("signal_id").alias(name)).distinct()
-    return alignment_rows.select("organization", "signal_id", "evidence_id").join(cited, "evidence_id").select("organization", "signal_id", name).distinct()
+
+def related_signals(tagged: DataFrame, signals: DataFrame, domain_signals: DataFrame) -> DataFrame:
+    """``organization, signal_id, domain, related_id``: signals of both domains that share evidence with an alignment.
+
+    A cluster relates to its own two signals alone. ``domain_signals`` are ``signal_gates`` without thresholds.
+    """
+    plain = signals.filter("family <> 'cluster'")
+    met = with_gates(tagged, _alignment_gates(plain).unionByName(domain_signals))
+    shared = F.flatten(F.transform(_aligned(), lambda a: F.transform(F.filter("hits", lambda g: g["kind"] == "signal"), lambda g: F.struct(a["signal_id"].alias("signal_id"), g["side"].alias("domain"), g["signal_id"].alias("related_id")))))
+    found = met.select("organization", F.explode_outer(shared).alias("r")).filter("r IS NOT NULL").select("organization", "r.*").distinct()
+    own = signals.filter("family = 'cluster'").select(
+        "organization", "signal_id", F.explode(F.array(F.struct(F.lit("hiring").alias("domain"), F.col("hiring_signal_id").alias("related_id")), F.struct(F.lit("technology").alias("domain"), F.col("technology_signal_id").alias("related_id")))).alias("r"),
+    )
+    return found.unionByName(own.select("organization", "signal_id", "r.*"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signalloom.functions.numbers import pct
@@ -27,9 +30,10 @@ def evidence_links(hiring_support: DataFrame, technology_support: DataFrame, obs
     )
 
 
-def signal_references(support: DataFrame) -> DataFrame:
-    """Signals citing each evidence, one row each, in reference order by type, title and id."""
-    return support.select("organization", "evidence_id", "signal_type", "title", "signal_id").distinct()
+def signal_references(support: Mapping[str, DataFrame]) -> DataFrame:
+    """Signals of every domain citing each evidence, one row each, in reference order by type, title and id."""
+    cited = [frame.select("organization", "evidence_id", F.lit(domain).alias("domain"), "signal_type", "title", "signal_id").distinct() for domain, frame in support.items()]
+    return reduce(DataFrame.unionByName, cited)
 
 
 def unified_evidence(jobs: DataFrame, evidence: DataFrame, latest: DataFrame, links: DataFrame | None = None) -> DataFrame:

@@ -136,11 +136,8 @@ def observations(
 TAB_FAMILIES = ("business_unit", "location", "seniority")
 
 
-def tech_facets(rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOLOGY_CATEGORIES, families: Sequence[str] = ("technology", "category", *TAB_FAMILIES)) -> DataFrame:
-    """One row per job and technology facet: ``(organization, family, label, technology, category, observations, job_id, evidence_id)``.
-
-    Facets are distinct within a job. Also emits one ``total`` row per job with its flags.
-    """
+def tech_facet_array(categories=L.TECHNOLOGY_CATEGORIES, families: Sequence[str] = ("technology", "category", *TAB_FAMILIES)) -> Column:
+    """A job's technology facets, read off its ``observations``; also one ``total`` entry."""
     unit_value = F.coalesce(F.nullif(F.col("enrichment.business_unit"), F.lit("")), F.col("business_unit"))
     category = lambda o: categorize_technology(o["normalized"], categories)
     entry = lambda family, label, tech, cat, n: F.struct(
@@ -168,8 +165,16 @@ def tech_facets(rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOLO
     for family in TAB_FAMILIES:
         if family in families:
             parts.append(tabbed(family))
+    return F.concat(*parts)
+
+
+def tech_facets(rows: DataFrame, names=L.TECHNOLOGY_NAMES, categories=L.TECHNOLOGY_CATEGORIES, families: Sequence[str] = ("technology", "category", *TAB_FAMILIES)) -> DataFrame:
+    """One row per job and technology facet: ``(organization, family, label, technology, category, observations, job_id, evidence_id)``.
+
+    Facets are distinct within a job. Also emits one ``total`` row per job with its flags.
+    """
     return observed(rows, names).select(
-        "organization", "job_id", "evidence_id", "is_enriched", "posted_date", F.explode_outer(F.concat(*parts)).alias("f")
+        "organization", "job_id", "evidence_id", "is_enriched", "posted_date", F.explode_outer(tech_facet_array(categories, families)).alias("f")
     ).select("organization", "f.*", "job_id", "evidence_id", "is_enriched")
 
 

@@ -26,6 +26,7 @@ EXCERPT_WINDOW = 10
 HIRING = analytics.HiringThresholds(geographic_minimum_percentage=18.0, capability_minimum_percentage=30.0, trend_minimum_directional_change=0.02)
 TECHNOLOGY = tech.TechnologyThresholds(technology_minimum_concentration=0.2, category_minimum_concentration=0.3, context_minimum_concentration=0.02)
 CROSS = crossdomain.CrossThresholds(minimum_domain_concentration=0.18)
+UNITS = crossdomain.CrossThresholds(minimum_domain_concentration=0.004)
 
 
 def _pick(column, n: int, values: list) -> F.Column:
@@ -216,26 +217,29 @@ class Binding:
         return crossdomain.coverage_context(self.tech_snapshot, self.records, self.hiring_signals, self.technology_signals, CROSS)
 
     @cached_property
-    def overlap_pairs(self) -> DataFrame:
-        left = crossdomain.hiring_members(self.jobs, self.gate, CROSS, self.hiring_counts)
-        right = crossdomain.technology_members(self.tech_facets, self.tech_counts, self.gate, CROSS)
-        return crossdomain.pair_overlaps(left, right)
+    def tagged(self) -> DataFrame:
+        return crossdomain.tagged_jobs(self.rows, NAMES, CATEGORIES)
 
     @cached_property
-    def unit_pairs(self) -> DataFrame:
-        return crossdomain.business_unit_members(self.records, self.gate, CROSS)
+    def overlaps(self) -> DataFrame:
+        """Counted pairs of all five families, from one pass over the jobs."""
+        gates = crossdomain.hiring_gates(self.hiring_counts, self.gate, CROSS).unionByName(crossdomain.technology_gates(self.tech_counts, self.gate, CROSS))
+        gates = gates.unionByName(crossdomain.unit_gates(self.tagged, self.gate, CROSS)).unionByName(crossdomain.signal_gates(self.hiring_signals, self.technology_signals, self.gate, CROSS))
+        return crossdomain.overlaps(crossdomain.overlap_counts(self.tagged, gates), self.gate, CROSS)
 
     @cached_property
-    def cluster_pairs(self) -> DataFrame:
-        return crossdomain.cluster_members(
-            self.hiring_signals, self.hiring_support, self.technology_signals, self.technology_support, self.records, self.gate, CROSS
-        )
+    def unit_overlaps(self) -> DataFrame:
+        """Business units alone, under thresholds that the many small units of these tables reach."""
+        gates = crossdomain.unit_gates(self.tagged, self.gate, UNITS)
+        return crossdomain.overlaps(crossdomain.overlap_counts(self.tagged, gates), self.gate, UNITS)
 
     @cached_property
     def alignments(self) -> DataFrame:
-        """Job-overlap families in one aggregation; clusters keep their own signal ids."""
-        members = self.overlap_pairs.unionByName(self.unit_pairs)
-        return crossdomain.alignments(members, self.gate, CROSS).unionByName(crossdomain.alignments(self.cluster_pairs, self.gate, CROSS))
+        return crossdomain.alignments(self.overlaps, self.gate, CROSS)
+
+    @cached_property
+    def alignment_support(self) -> DataFrame:
+        return crossdomain.alignment_support(self.tagged, self.alignments)
 
     @cached_property
     def staged(self) -> "Staged":
@@ -293,3 +297,7 @@ class Staged(Binding):
     @cached_property
     def technology_signals(self) -> DataFrame:
         return stage(Binding.technology_signals.func(self), "technology-signals")
+
+    @cached_property
+    def overlaps(self) -> DataFrame:
+        return stage(Binding.overlaps.func(self), "overlaps")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from signalloom.operators import crossdomain as X, evidence as E, ordering as O
-from signalloom.plans.binding import CROSS
+from signalloom.plans.binding import UNITS
 from signalloom.plans.registry import query
 
 _COLS = "organization, signal_id, signal_type, p AS primary_subject, r AS related_subject, hs AS hiring_contributor_count, ts AS technology_contributor_count, ov AS overlap, round_even(strength, 8) AS strength, round_even(confidence, 8) AS confidence, round_even(evidence_coverage, 8) AS evidence_coverage"
@@ -18,20 +18,18 @@ for _name, _family in (("joi6_capability_overlap", "capability"), ("joi7_city_ov
 
     @query(_name, f"SELECT {_COLS} FROM b_align WHERE family = '{_family}'")
     def _(b, family=_family):
-        b = b.staged
-        return _show(X.alignments(b.overlap_pairs.filter(F.col("family") == family), b.gate, CROSS))
+        return _show(b.staged.alignments.filter(F.col("family") == family))
 
 
-@query("joi8_business_unit_overlap", f"SELECT {_COLS} FROM b_align WHERE family = 'business_unit'")
+@query("joi8_business_unit_overlap", f"SELECT {_COLS} FROM b_ualign")
 def _(b):
     b = b.staged
-    return _show(X.alignments(b.unit_pairs, b.gate, CROSS))
+    return _show(X.alignments(b.unit_overlaps, b.gate, UNITS))
 
 
 @query("joi10_signal_clusters", f"SELECT {_COLS} FROM b_calign")
 def _(b):
-    b = b.staged
-    return _show(X.alignments(b.cluster_pairs, b.gate, CROSS))
+    return _show(b.staged.alignments.filter("family = 'cluster'"))
 
 
 @query("sig16_coverage_context", """
@@ -47,10 +45,10 @@ def _(b):
 
 @query("sig17_alignment_titles", """
 SELECT signal_id, CASE family WHEN 'capability' THEN 'Observed overlap between ' || p || ' hiring and ' || r WHEN 'leadership' THEN 'Observed leadership hiring overlap with ' || r
-  ELSE 'Observed ' || r || ' hiring overlap in ' || p END AS title FROM b_align""")
+  WHEN 'cluster' THEN 'Observed overlap between hiring and technology signals' ELSE 'Observed ' || r || ' hiring overlap in ' || p END AS title FROM (SELECT * FROM b_cross UNION ALL SELECT * FROM b_ualign)""")
 def _(b):
     b = b.staged
-    return X.alignments(b.overlap_pairs.unionByName(b.unit_pairs), b.gate, CROSS).select("signal_id", "title")
+    return b.alignments.unionByName(X.alignments(b.unit_overlaps, b.gate, UNITS)).select("signal_id", "title")
 
 
 @query("sig18_cross_domain_signals", f"SELECT {_COLS} FROM b_cross")
@@ -59,36 +57,28 @@ def _(b):
     return _show(b.alignments)
 
 
-@query("sig18_cross_domain_support", """
-SELECT DISTINCT a.organization, a.signal_id, m.member AS job_id, m.evidence_id FROM b_align a JOIN (SELECT * FROM b_pairs UNION ALL SELECT * FROM b_upairs) m
-ON m.organization = a.organization AND m.family = a.family AND CASE WHEN m.family = 'leadership' THEN 'leadership hiring' ELSE m.p END = a.p AND m.r = a.r""")
+@query("sig18_cross_domain_support", "SELECT DISTINCT x.organization, signal_id, u.job_id, evidence_id FROM b_xsup x JOIN b_uni u USING (evidence_id)")
 def _(b):
-    b = b.staged
-    pairs = b.overlap_pairs.unionByName(b.unit_pairs)
-    return X.alignment_support(pairs, X.alignments(pairs, b.gate, CROSS), b.gate, CROSS)
+    return b.staged.alignment_support
 
 
-@query("joi11_related_hiring_signals", """
-SELECT DISTINCT a.organization, a.signal_id, h.signal_id AS hiring_signal_id FROM b_align a JOIN b_pairs m ON m.organization = a.organization AND m.family = a.family AND m.p = a.p AND m.r = a.r
-JOIN b_hsup h ON h.evidence_id = m.evidence_id WHERE a.family = 'capability'""")
+@query("joi11_related_signals", """
+SELECT DISTINCT x.organization, x.signal_id, s.domain, s.signal_id AS related_id FROM b_xsup x
+JOIN (SELECT 'hiring' AS domain, signal_id, evidence_id FROM b_hsup UNION ALL SELECT 'technology', signal_id, evidence_id FROM b_tsup) s USING (evidence_id) WHERE family <> 'cluster'
+UNION ALL SELECT organization, signal_id, 'hiring', hid FROM b_calign UNION ALL SELECT organization, signal_id, 'technology', tid FROM b_calign""")
 def _(b):
     b = b.staged
-    pairs = b.overlap_pairs.filter("family = 'capability'")
-    support = X.alignment_support(pairs, X.alignments(pairs, b.gate, CROSS), b.gate, CROSS)
-    return X.related_signals(support, b.hiring_support, "hiring_signal_id")
+    return X.related_signals(b.tagged, b.alignments, X.signal_gates(b.hiring_signals, b.technology_signals, b.gate))
 
 
 @query("joi13_evidence_trace", """
 SELECT u.evidence_id, u.job_id, u.organization, enrichment_present, coalesce(hiring_signal_count, 0) AS hiring_signal_count, coalesce(technology_signal_count, 0) AS technology_signal_count, coalesce(x.n, 0) AS cross_domain_signal_count,
   concat_ws(' ', CASE WHEN NOT enrichment_present THEN 'No persisted enrichment uses this evidence.' END, CASE WHEN coalesce(technology_signal_count, 0) = 0 THEN 'No technology signals currently cite this evidence.' END,
   CASE WHEN coalesce(x.n, 0) = 0 THEN 'No cross-domain strategic signals currently cite this evidence.' END) AS limitations
-FROM b_uni u LEFT JOIN b_links USING (evidence_id) LEFT JOIN (SELECT m.evidence_id, count(DISTINCT a.signal_id) AS n FROM b_align a JOIN b_pairs m
-  ON m.organization = a.organization AND m.family = a.family AND CASE WHEN m.family = 'leadership' THEN 'leadership hiring' ELSE m.p END = a.p AND m.r = a.r GROUP BY 1) x USING (evidence_id)""")
+FROM b_uni u LEFT JOIN b_links USING (evidence_id) LEFT JOIN (SELECT evidence_id, count(DISTINCT signal_id) AS n FROM b_xsup GROUP BY 1) x USING (evidence_id)""")
 def _(b):
     b = b.staged
-    pairs = b.overlap_pairs
-    support = X.alignment_support(pairs, X.alignments(pairs, b.gate, CROSS), b.gate, CROSS)
-    t = E.trace(b.unified, support)
+    t = E.trace(b.unified, b.alignment_support)
     return t.select("evidence_id", "job_id", "organization", "enrichment_present", "hiring_signal_count", "technology_signal_count", "cross_domain_signal_count", F.array_join("limitations", " ").alias("limitations"))
 
 

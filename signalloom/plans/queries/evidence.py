@@ -13,10 +13,11 @@ def _(b):
     return b.links.select("evidence_id", "hiring_signal_count", "technology_signal_count", "technology_observation_count")
 
 
-@query("joi12_signal_references", "SELECT DISTINCT organization, evidence_id, signal_type, title, signal_id FROM b_hsup")
+@query("joi12_signal_references", """
+SELECT DISTINCT organization, evidence_id, 'hiring' AS domain, signal_type, title, signal_id FROM b_hsup UNION ALL SELECT DISTINCT organization, evidence_id, 'technology', signal_type, title, signal_id FROM b_tsup""")
 def _(b):
     b = b.staged
-    return E.signal_references(b.hiring_support)
+    return E.signal_references({"hiring": b.hiring_support, "technology": b.technology_support})
 
 
 @query("unified_evidence", """

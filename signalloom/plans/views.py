@@ -213,12 +213,13 @@ view("b_urec", """
 SELECT organization, business_unit AS unit, job_id, evidence_id, t1, t2 FROM b_uni WHERE business_unit <> ''
 """)
 view("b_utech", "SELECT organization, unit, job_id, evidence_id, t1 AS tech FROM b_urec WHERE t1 IS NOT NULL UNION SELECT organization, unit, job_id, evidence_id, t2 FROM b_urec WHERE t2 IS NOT NULL")
-view("b_upairs", """
+for _name, _least in (("b_upairs", 0.18), ("b_upairs_low", 0.004)):
+    view(_name, f"""
 SELECT x.organization, 'business_unit' AS family, x.unit AS p, x.tech AS r, x.job_id AS member, x.evidence_id, u.hs, y.ts, u.hs / g.total_jobs AS hc, y.ts / g.enriched_jobs AS tc, NULL AS hid, NULL AS tid
 FROM b_utech x JOIN (SELECT organization, unit, count(*) AS hs FROM b_urec GROUP BY ALL) u ON u.organization = x.organization AND u.unit = x.unit
 JOIN (SELECT organization, unit, tech, count(*) AS ts FROM b_utech GROUP BY ALL) y ON y.organization = x.organization AND y.unit = x.unit AND y.tech = x.tech
 JOIN b_gate g ON g.organization = x.organization
-WHERE u.hs >= 3 AND y.ts >= 3 AND u.hs / g.total_jobs >= 0.18 AND y.ts / g.enriched_jobs >= 0.18
+WHERE u.hs >= 3 AND y.ts >= 3 AND u.hs / g.total_jobs >= {_least} AND y.ts / g.enriched_jobs >= {_least}
 """)
 view("b_cside", """
 SELECT 'h' AS side, s.organization, s.signal_id, s.title, s.strength AS conc, m.evidence_id FROM b_hsig s JOIN (SELECT DISTINCT signal_id, evidence_id FROM b_hsup) m USING (signal_id)
@@ -234,10 +235,15 @@ JOIN b_csize hz ON hz.signal_id = h.signal_id JOIN b_csize tz ON tz.signal_id =
 """)
 CROSS_ID = uuid5("'cross-domain:' || a.organization || '|' || signal_type || '|' || p || '|' || r || '|' || strftime(d0, '%Y-%m-%d') || '|' || strftime(d1, '%Y-%m-%d') || '|cross-domain-signals-v1'")
 _TYPE = "CASE family WHEN 'capability' THEN 'capability_technology_alignment' WHEN 'city' THEN 'geographic_technology_alignment' WHEN 'business_unit' THEN 'business_unit_technology_alignment' WHEN 'leadership' THEN 'leadership_technology_alignment' ELSE 'hiring_technology_cluster' END"
-for _name, _source in (("b_align", "SELECT * FROM b_pairs UNION ALL SELECT * FROM b_upairs"), ("b_calign", "SELECT * FROM b_cpairs")):
+for _name, _source in (("b_align", "SELECT * FROM b_pairs UNION ALL SELECT * FROM b_upairs"), ("b_calign", "SELECT * FROM b_cpairs"), ("b_ualign", "SELECT * FROM b_upairs_low")):
     view(_name, f"""
 SELECT a.*, {CROSS_ID} AS signal_id, least(1.0, (hc + tc + least(1.0, ov / greatest(hs, ts))) / 3) AS strength, least(1.0, ev / ov) AS evidence_coverage,
   least(1.0, (coverage + least(1.0, ev / ov) + least(1.0, ov / 6)) / 3) AS confidence
 FROM (SELECT organization, family, {_TYPE} AS signal_type, CASE WHEN family = 'leadership' THEN 'leadership hiring' ELSE p END AS p, r, hs, ts, hc, tc, hid, tid, count(*) AS ov, count(DISTINCT evidence_id) AS ev
   FROM ({_source}) GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT evidence_id) >= 3) a JOIN b_gate g ON g.organization = a.organization""")
 view("b_cross", "SELECT * FROM b_align UNION ALL SELECT * FROM b_calign")
+view("b_xsup", """
+SELECT DISTINCT a.organization, a.signal_id, a.family, m.evidence_id FROM b_align a JOIN (SELECT * FROM b_pairs UNION ALL SELECT * FROM b_upairs) m
+ON m.organization = a.organization AND m.family = a.family AND CASE WHEN m.family = 'leadership' THEN 'leadership hiring' ELSE m.p END = a.p AND m.r = a.r
+UNION SELECT c.organization, c.signal_id, 'cluster', m.evidence_id FROM b_calign c JOIN b_cpairs m ON m.hid = c.hid AND m.tid = c.tid
+""")

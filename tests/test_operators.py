@@ -92,8 +92,9 @@ def cross(spark, jobs, enrichments, thresholds=X.CrossThresholds()):
     hiring = A.hiring_signals(jobs)
     technology = K.technology_signals(snapshot, counts)
     context = X.coverage_context(snapshot, unified, hiring, technology, thresholds)
-    pairs = X.pair_overlaps(X.hiring_members(jobs, context, thresholds), X.technology_members(facets, counts, context, thresholds)).unionByName(X.business_unit_members(unified, context, thresholds))
-    return X.alignments(pairs, context, thresholds), context
+    tagged = X.tagged_jobs(rows)
+    gates = X.hiring_gates(A.facet_counts(A.job_facets(jobs, X.GROUP_FAMILIES)), context, thresholds).unionByName(X.technology_gates(counts, context, thresholds)).unionByName(X.unit_gates(tagged, context, thresholds))
+    return X.alignments(X.overlaps(X.overlap_counts(tagged, gates), context, thresholds), context, thresholds), context
 
 
 def test_cross_domain_default_case(spark):
