@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.session import scratch_path, stage  # noqa: F401  (stage is used by the operators)
@@ -50,9 +53,20 @@ def claim_cache(owner, forget) -> None:
     if _owner[0] != owner:
         if _owner[1] is not None:
             _owner[1]()
+            give_back_memory()
         _owner[:] = owner, forget
 
 
+def give_back_memory() -> None:
+    """Returns freed memory to the system; the allocators of Arrow and of the C library would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_of(ids: np.ndarray, crc: int = 0) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes(), crc)

@@ -1,8 +1,8 @@
 """Sampled segmentations over the piece lattice of a SentencePiece vocabulary, and their decoding.
 
 Forward filtering sums the weights of all segmentations up to every position; backward sampling then
-draws pieces from the end. No piece reaches from a visible character over a following space or over a
-line break, so the lattice falls apart into chunks, which are filtered once per worker and text form and
+draws pieces from the end. No piece reaches from a visible character over a following space, over a
+line break or from a letter to a punctuation mark, so the lattice falls apart into chunks, which are filtered once per worker and text form and
 sampled independently; that is the same distribution as over the whole text. The vocabulary ranks its
 pieces; a piece weighs 1 / (rank + ``SHIFT``) ** ``SHARPNESS``. Characters without a piece become bytes.
 
@@ -14,18 +14,20 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from signalloom.llm.common import crc_of
+from signalloom.llm.common import claim_cache, crc_of
 from signalloom.llm.tokens import slices
 
 SHIFT = 10.0
 SHARPNESS = 1.0
 CACHE_CHUNKS = 300_000
-_CHUNK = re.compile(r" *[^ \n]+| +|\n")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_CHUNK = re.compile(rf" *[{_LETTER}]+(?=[.,;:!?])| *[^ \n]+| +|\n")
 _LATTICES: dict[tuple, "Lattice"] = {}
 
 
@@ -55,105 +57,168 @@ class Pieces:
                 self.weight[text] = i, -SHARPNESS * math.log(SHIFT + abs(model.get_score(i)))
             self.bytes_of.append(raw)
         self.longest = max(map(len, self.weight))
-        if any(re.search(r"[^ ] |\n", t) for t in self.weight):
+        if any(re.search(rf"[^ ] |\n|[{_LETTER}][.,;:!?]", t) for t in self.weight):
             raise ValueError("a piece reaches over a chunk's end")
         self.byte_weight = -SHARPNESS * math.log(SHIFT + len(self.bytes_of))
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.held, self.size = np.zeros(1 << 12, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        while len(self.held) < self.size + len(values):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
+class _Codes(dict):
+    """Numbers chunks as they are met and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        code = self[chunk] = len(self)
+        self.new.append(chunk)
+        return code
+
+
 class Lattice:
-    """Filtered chunks of one worker. A node is a position in a chunk; its edges are the pieces that end there."""
+    """Filtered chunks of one worker. A node is a position in a chunk; its edges are the pieces that end there.
+
+    New chunks are filtered together, position by position: an automaton finds all their pieces in one scan, and
+    the sums over the pieces that end at a position are taken for all chunks that reach it at once.
+    """
 
     def __init__(self, path: str):
+        import ahocorasick
+
         self.pieces = Pieces(path)
+        self.automaton = ahocorasick.Automaton()
+        for text, (i, _) in self.pieces.weight.items():
+            self.automaton.add_word(text, i)
+        self.automaton.make_automaton()
+        count = len(self.pieces.bytes_of)
+        self.piece_size, self.piece_weight = np.zeros(count, np.int32), np.zeros(count)
+        self.own_piece = np.zeros(0x110000, bool)  # characters that are pieces themselves
+        for text, (i, weight) in self.pieces.weight.items():
+            self.piece_size[i], self.piece_weight[i] = len(text), weight
+            if len(text) == 1:
+                self.own_piece[ord(text)] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.last_node, self.size = [], []  # by chunk
-        self.nodes = 0
-        self.draw, self.back, self.unit = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.units = [[i] for i in range(len(self.pieces.bytes_of))]
-        self.fallback: dict[str, int] = {}
-
-    def _unit(self, char: str) -> int:
+        self.codes = _Codes()
+        self.last_node, self.size = Grown(np.int64), Grown(np.int32)  # by chunk
+        self.first_edge = Grown(np.int64)  # by node; the edges of a node lie together
+        self.draw, self.back, self.unit = Grown(np.float64), Grown(np.int32), Grown(np.int32)  # by edge: chance so far, length, unit
+        self.units: list[list[int]] = []  # characters spelled in bytes, numbered after the pieces
+        self.fallback: dict[int, int] = {}
+
+    def _unit(self, char: int) -> int:
         if char not in self.fallback:
-            self.fallback[char] = len(self.units)
-            self.units.append([self.pieces.byte_ids[b] for b in char.encode()])
+            self.fallback[char] = len(self.pieces.bytes_of) + len(self.units)
+            self.units.append([self.pieces.byte_ids[b] for b in chr(char).encode()])
         return self.fallback[char]
 
-    def _filter(self, chunk: str, draw: list, back: list, unit: list) -> None:
-        """Forward sums of a chunk; every node keeps the cumulated chances of its incoming pieces."""
-        weight, longest = self.pieces.weight, self.pieces.longest
-        total = [0.0]
-        for end in range(1, len(chunk) + 1):
-            found = []
-            for begin in range(max(0, end - longest), end):
-                hit = weight.get(chunk[begin:end])
-                if hit:
-                    found.append((total[begin] + hit[1], end - begin, hit[0]))
-            if chunk[end - 1] not in weight:
-                char = chunk[end - 1]
-                found.append((total[end - 1] + self.pieces.byte_weight * len(char.encode()), 1, self._unit(char)))
-            top = max(found)[0]
-            shares = [math.exp(f[0] - top) for f in found]
-            whole = sum(shares)
-            total.append(top + math.log(whole))
-            so_far = 0.0
-            for share, f in zip(shares, found):
-                so_far += share / whole
-                draw.append(self.nodes + so_far)
-                back.append(f[1])
-                unit.append(f[2])
-            draw[-1] = self.nodes + 1.0
-            self.nodes += 1
+    def _filter(self, chunks: list[str]) -> None:
+        """Forward sums of new chunks; every node keeps the cumulated chances of its incoming pieces."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        line = "".join(chunks)
+        chunk_start = np.cumsum(sizes) - sizes
+        chars = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(chunks)), sizes)
+        end, unit = np.fromiter(chain.from_iterable(self.automaton.iter(line)), np.int64).reshape(-1, 2).T
+        back, weight = self.piece_size[unit].astype(np.int64), self.piece_weight[unit]
+        inside = end - back + 1 >= chunk_start[owner[end]]  # the rest reaches over from the chunk before
+        spelled = np.flatnonzero(~self.own_piece[chars])
+        own = np.fromiter((self._unit(c) for c in chars[spelled].tolist()), np.int64, len(spelled))
+        width = np.array([len(u) for u in self.units], np.int64)[own - len(self.pieces.bytes_of)] if len(own) else own
+        end = np.concatenate([end[inside], spelled])
+        back = np.concatenate([back[inside], np.ones(len(spelled), np.int64)])
+        unit = np.concatenate([unit[inside], own])
+        weight = np.concatenate([weight[inside], self.pieces.byte_weight * width])
+        order = np.lexsort((back, end))
+        end, back, unit, weight = end[order], back[order], unit[order], weight[order]
+        total = np.zeros(len(line) + 1)  # by character; a chunk's begin counts 0
+        level = end - chunk_start[owner[end]]
+        draw = np.zeros(len(end))
+        by_level = np.argsort(level, kind="stable")
+        bounds = np.searchsorted(level[by_level], np.arange(int(level.max()) + 2))
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            edges = by_level[low:high]
+            at = end[edges]
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            before = np.where(back[edges] > k, 0.0, total[at - back[edges]])
+            value = before + weight[edges]
+            node = np.cumsum(np.concatenate([[False], at[1:] != at[:-1]]))
+            top = np.maximum.reduceat(value, starts)
+            share = np.exp(value - top[node])
+            whole = np.add.reduceat(share, starts)
+            total[at[starts]] = top + np.log(whole)
+            running = np.cumsum(share)
+            running -= np.concatenate([[0.0], running[starts[1:] - 1]])[node]
+            draw[edges] = running / whole[node]
+        draw[np.concatenate([end[1:] != end[:-1], [True]])] = 1.0
+        nodes, edges = self.first_edge.size, self.draw.size
+        self.first_edge.extend(edges + np.searchsorted(end, np.arange(len(line))))
+        self.draw.extend(draw)
+        self.back.extend(back.astype(np.int32))
+        self.unit.extend(unit.astype(np.int32))
+        self.last_node.extend(nodes + chunk_start + sizes - 1)
+        self.size.extend(sizes.astype(np.int32))
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids start."""
         if len(self.codes) > CACHE_CHUNKS:
             self._reset()
-        seq, counts, draw, back, unit = [], [], [], [], []
+        codes, seq, counts = self.codes, [], []
         for text in texts:
             chunks = _CHUNK.findall(" " + text)
-            for chunk in chunks:
-                code = self.codes.get(chunk)
-                if code is None:
-                    code = self.codes[chunk] = len(self.codes)
-                    self._filter(chunk, draw, back, unit)
-                    self.last_node.append(self.nodes - 1)
-                    self.size.append(len(chunk))
-                seq.append(code)
+            seq += map(codes.__getitem__, chunks)
             counts.append(len(chunks))
-        if draw:
-            self.draw.append(np.array(draw))
-            self.back.append(np.array(back, np.int64))
-            self.unit.append(np.array(unit, np.int64))
-        self.draw, self.back, self.unit = ([np.concatenate(x)] for x in (self.draw, self.back, self.unit))
+        if codes.new:
+            self._filter(codes.new)
+            codes.new = []
+        if not seq:
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        first_edge, draw, back, unit = self.first_edge.all, self.draw.all, self.back.all, self.unit.all
         order = np.array(seq, np.int64)
         bounds = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
-        node, left = np.array(self.last_node, np.int64)[order], np.array(self.size, np.int64)[order]
+        node, left = self.last_node.all[order], self.size.all[order]
         stream = np.repeat(_mix(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 2 + 1)), counts)
         place = np.arange(len(order)) - np.repeat(bounds[:-1], counts)
         stream = _mix(stream + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         live, steps, drawn = np.arange(len(order)), [], []
         while len(live):
-            chance = (_mix(stream[live] + left[live].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)) * 2.0**-53
-            edge = np.searchsorted(self.draw[0], node[live] + chance, side="right")
-            edge = np.minimum(edge, len(self.draw[0]) - 1)
+            chance = (_mix(stream + left.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)) * 2.0**-53
+            edge = first_edge[node]
+            over = np.flatnonzero(draw[edge] <= chance)
+            while len(over):
+                edge[over] += 1
+                over = over[draw[edge[over]] <= chance[over]]
             steps.append(live)
-            drawn.append(self.unit[0][edge])
-            node[live] -= self.back[0][edge]
-            left[live] -= self.back[0][edge]
-            live = live[left[live] > 0]
-        if not steps:
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            drawn.append(unit[edge])
+            node, left = node - back[edge], left - back[edge]
+            on = left > 0
+            live, node, left, stream = live[on], node[on], left[on], stream[on]
         chunk_of, units = np.concatenate(steps)[::-1], np.concatenate(drawn)[::-1]
         by = np.argsort(chunk_of, kind="stable")  # within a chunk the last drawn piece comes first
         units, chunk_of = units[by], chunk_of[by]
-        lengths = np.array([len(u) for u in self.units[len(self.pieces.bytes_of) :]], np.int64)
-        lengths = np.concatenate([np.ones(len(self.pieces.bytes_of), np.int64), lengths])
-        flat = np.concatenate([np.array(u, np.uint32) for u in self.units[len(self.pieces.bytes_of) :]] or [np.zeros(0, np.uint32)])
-        first = np.concatenate([np.arange(len(self.pieces.bytes_of)), len(self.pieces.bytes_of) + np.concatenate([[0], np.cumsum(lengths[len(self.pieces.bytes_of) :])[:-1]])]) if len(flat) else np.arange(len(self.pieces.bytes_of))
-        table = np.concatenate([np.arange(len(self.pieces.bytes_of), dtype=np.uint32), flat])
+        pieces = len(self.pieces.bytes_of)
+        spelled = np.array([len(u) for u in self.units], np.int64)
+        lengths = np.concatenate([np.ones(pieces, np.int64), spelled])
+        first = np.concatenate([np.arange(pieces), pieces + np.cumsum(spelled) - spelled])
+        table = np.concatenate([np.arange(pieces, dtype=np.uint32), *(np.array(u, np.uint32) for u in self.units)])
         size = lengths[units]
         ends = np.cumsum(size)
         ids = table[np.repeat(first[units] - (ends - size), size) + np.arange(int(ends[-1]))]
@@ -169,6 +234,7 @@ def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
 
 def lattice(path: str) -> Lattice:
     key = (path, SHIFT, SHARPNESS)
+    claim_cache(key, _LATTICES.clear)
     if key not in _LATTICES:
         _LATTICES[key] = Lattice(path)
     return _LATTICES[key]
@@ -187,7 +253,7 @@ def sample_encode(docs: DataFrame, model: str, seed: int = 0) -> DataFrame:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             numbers = np.array([k or 0 for k in keys.to_pylist()], np.int64)
-            for a, b in slices([t or "" for t in texts], 2_000_000):
+            for a, b in slices([t or "" for t in texts], 1_000_000):
                 ids, starts = own.sample([t or "" for t in texts[a:b]], numbers[a:b], seed)
                 raw = ids.astype("<u4").tobytes()
                 out = [None if t is None else raw[4 * i : 4 * j] for t, i, j in zip(texts[a:b], starts, starts[1:])]

@@ -102,9 +102,9 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file; the file must lie on every executor."""
+    claim_cache(path, _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
-    claim_cache(path, _ENCODERS[path]._reset)
     return _ENCODERS[path]
 
 
