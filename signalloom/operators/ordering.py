@@ -71,28 +71,52 @@ def sequence_id(df: DataFrame, prefix: str, width: int, order: Sequence[Column],
 def dedupe_either(df: DataFrame, key_a, key_b, order: str) -> DataFrame:
     """Rows kept by first-wins dedupe on either key, where only kept rows claim their keys.
 
-    ``order`` is a sortable column, unique per row. Equal key pairs shrink to their earliest row.
-    Each round keeps every pending pair that is earliest under both of its keys and drops all
-    pairs that share a key with it; both steps are min-aggregations and equi-joins, so a key
-    holding many rows is combined before the shuffle. Rounds go on until
-    nothing is pending; their number follows the longest chain of pairs that share keys in turn.
+    ``order`` is a sortable column, unique per row. Equal key pairs shrink to their earliest row. A pending pair
+    is blocked by the earlier pending pairs that share a key with it. One without a blocker is kept; one with a
+    single blocker is kept if that is not, so along a chain of such pairs every second one is: their pointers
+    to the blocker are doubled until they reach the chain's head, which settles a chain in as many
+    rounds as the logarithm of its length. Pairs with more blockers wait until these are settled. All steps
+    are min-aggregations and equi-joins, so a key holding many rows is combined before the shuffle.
     """
     blank = F.lit("")
     keyed = df.withColumns({"_a": F.coalesce(as_col(key_a), blank), "_b": F.coalesce(as_col(key_b), blank)})
     pending = settle(keyed.groupBy("_a", "_b").agg(F.min(order).alias("_o")))
     kept = []
-    while True:
-        first_a = pending.groupBy("_a").agg(F.min("_o").alias("_oa"))
-        first_b = pending.groupBy("_b").agg(F.min("_o").alias("_ob"))
-        won = settle(pending.join(first_a, "_a").join(first_b, "_b").filter("_o = _oa AND _o = _ob").select("_a", "_b", "_o"))
+    while not pending.isEmpty():
+        blocked = settle(_blockers(_blockers(pending, "_a"), "_b").select("_a", "_b", "_o", (F.col("_n_a") + F.col("_n_b")).alias("_n"), F.coalesce("_by_a", "_by_b").alias("_by")))
+        free = blocked.filter("_n = 0").select("_a", "_b", "_o")
+        chained = _chain_heads(blocked.filter("_n = 1").select("_o", F.col("_by").alias("_head"), F.lit(True).alias("_odd")))
+        known = chained.join(free.select(F.col("_o").alias("_head")), "_head", "left_semi")
+        won = settle(free.unionByName(blocked.join(known.filter("NOT _odd"), "_o", "left_semi").select("_a", "_b", "_o")))
         kept.append(won)
-        pending = settle(pending.join(won.select("_a"), "_a", "left_anti").join(won.select("_b"), "_b", "left_anti"))
-        if pending.isEmpty():
-            break
+        rest = pending.join(known.select("_o"), "_o", "left_anti")
+        pending = settle(rest.join(won.select("_a"), "_a", "left_anti").join(won.select("_b"), "_b", "left_anti"))
+    if not kept:
+        return df.limit(0)
     chosen = reduce(DataFrame.unionByName, kept).select("_a", "_b", F.col("_o").alias(order))
     return keyed.join(chosen, ["_a", "_b", order], "left_semi").dropDuplicates(["_a", "_b"]).drop("_a", "_b")
 
 
+def _blockers(pairs: DataFrame, key: str) -> DataFrame:
+    """Adds how many earlier pairs share the key (2 stands for more) and the earliest of them where it is the only one."""
+    first = pairs.groupBy(key).agg(F.min("_o").alias("_first"))
+    later = pairs.join(first, key)
+    second = later.filter("_o > _first").groupBy(key).agg(F.min("_o").alias("_second"))
+    counted = later.join(second, key, "left")
+    n = F.when(F.col("_o") == F.col("_first"), 0).when(F.col("_o") == F.col("_second"), 1).otherwise(2)
+    return counted.withColumns({f"_n{key}": n, f"_by{key}": F.when(n == 1, F.col("_first"))}).drop("_first", "_second")
+
+
+def _chain_heads(links: DataFrame) -> DataFrame:
+    """``_o, _head, _odd`` with every pointer followed to the end of its chain; each round doubles the reach."""
+    links = settle(links)
+    while True:
+        ahead = links.select(F.col("_o").alias("_head"), F.col("_head").alias("_next"), F.col("_odd").alias("_more"))
+        if links.join(ahead, "_head", "left_semi").isEmpty():
+            return links
+        links = settle(links.join(ahead, "_head", "left").select("_o", F.coalesce("_next", "_head").alias("_head"), (F.col("_odd") != F.coalesce("_more", F.lit(False))).alias("_odd")))
+
+
 def select_sources(sources: DataFrame, url_key: Column, rank: Column, order: str, group: str, n: int = 20) -> DataFrame:
     """Canonical-URL first-wins, then the best ``n`` per group by source rank and arrival."""
     first = latest_per(sources.withColumn("_url", url_key), [group, "_url"], [F.col(order)])

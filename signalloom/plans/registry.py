@@ -11,11 +11,14 @@ from signalloom.plans.binding import Binding
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
+RECURSIVE: set[str] = set()
 
 
-def view(name: str, body: str) -> None:
-    """A named building block of the checking SQL."""
+def view(name: str, body: str, recursive: bool = False) -> None:
+    """A named building block of the checking SQL; a recursive one reads itself."""
     CTES[name] = body.strip()
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def compose(body: str) -> str:
@@ -33,7 +36,7 @@ def compose(body: str) -> str:
 
     visit(body)
     blocks = [f"{n} AS ({CTES[n]})" for n in names if n in needed]
-    return ("WITH " + ",\n".join(blocks) + "\n" if blocks else "") + body.strip()
+    return ("WITH " + ("RECURSIVE " if needed & RECURSIVE else "") + ",\n".join(blocks) + "\n" if blocks else "") + body.strip()
 
 
 def query(name: str, sql: str | None = None):

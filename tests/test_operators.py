@@ -143,6 +143,23 @@ def test_dedupe_either_matches_sequential_rule(spark):
     assert got == greedy(rows)
 
 
+def test_dedupe_either_settles_long_chains_in_few_rounds(spark, monkeypatch):
+    """Row i shares one key with row i - 1 and the other with row i + 1; some chains turn around."""
+    n = 100_000
+    chain = spark.range(n).selectExpr("id AS n", "concat('x', (id + 1) div 2) AS x", "concat('y', id div 2) AS y")
+    rounds = []
+    own = O.settle
+    monkeypatch.setattr(O, "settle", lambda df: rounds.append(1) or own(df))
+    kept = O.dedupe_either(chain, "x", "y", "n")
+    assert kept.filter("n % 2 = 0").count() == n // 2 and kept.count() == n // 2
+    assert len(rounds) <= 20 + 4
+    rng = random.Random(12)
+    rows = [(k, f"x{(i + 1) // 2}", f"y{i // 2}") for i, k in enumerate(rng.sample(range(400), 400))]
+    got = sorted(r["n"] for r in O.dedupe_either(spark.createDataFrame(rows, "n long, x string, y string"), "x", "y", "n").collect())
+    assert got == greedy(rows)
+    assert O.dedupe_either(chain.limit(0), "x", "y", "n").count() == 0
+
+
 def test_dedupe_either_keeps_first_and_third(spark):
     frame = spark.createDataFrame([(1, "A", "X"), (2, "B", "X"), (3, "B", "Y")], "n long, x string, y string")
     assert sorted(r["n"] for r in O.dedupe_either(frame, "x", "y", "n").collect()) == [1, 3]
