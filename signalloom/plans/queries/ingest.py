@@ -175,11 +175,19 @@ def _(b):
 # --- upserts --------------------------------------------------------------------------------
 
 
+def _upserted(b, stored, updates, keys, preserve=(), order=()):
+    """The stored table after the updates, by way of its files."""
+    path = scratch_path(b.spark, "bucketed")
+    tables.create_buckets(stored, path, keys)
+    tables.upsert_buckets(b.spark, path, updates, keys, preserve, order)
+    return tables.read_buckets(b.spark, path).drop("bucket")
+
+
 @query("snk1_upsert_evidence", """
 SELECT coalesce(u.evidence_id, e.evidence_id) AS evidence_id, coalesce(u.title, e.source_title) AS source_title FROM b_evidence e FULL JOIN (SELECT 'E' || o_orderkey AS evidence_id, 'new ' || o_orderkey AS title FROM orders WHERE o_orderkey % 10 = 0) u USING (evidence_id)""")
 def _(b):
     updates = b.table("orders").filter("o_orderkey % 10 = 0").select(F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("evidence_id"), F.concat(F.lit("new "), F.col("o_orderkey").cast("string")).alias("source_title"))
-    return tables.upsert_evidence(b.evidence.select("evidence_id", "source_title"), updates)
+    return _upserted(b, b.evidence.select("evidence_id", "source_title"), updates, tables.EVIDENCE_KEY)
 
 
 @query("snk2_upsert_jobs", """
@@ -191,19 +199,19 @@ def _(b):
     earlier = changed.withColumns({"evidence_id": F.lit("lost"), "position": F.lit(1)})
     name = F.col("n_nationkey").cast("string")
     fresh = b.table("nation").select(F.lit("NEW").alias("organization"), F.concat(F.lit("N"), name).alias("source_job_id"), F.concat(F.lit("fresh-"), name).alias("job_id"), F.concat(F.lit("FN"), name).alias("evidence_id"), F.lit(1).alias("position"))
-    return tables.upsert_jobs(stored, changed.unionByName(earlier).unionByName(fresh), [F.col("position")])
+    return _upserted(b, stored, changed.unionByName(earlier).unionByName(fresh), tables.JOB_KEY, ["job_id"], [F.col("position")])
 
 
 @query("snk3_upsert_enrichments", "SELECT job_id, evidence_id, provider, model, prompt_schema_version, CASE WHEN provider = 'R' THEN 0.99 ELSE confidence END::DOUBLE AS confidence FROM b_enr")
 def _(b):
     stored = b.enrichments.select(*tables.ENRICHMENT_KEY, "confidence")
-    return tables.upsert_enrichments(stored, stored.filter("provider = 'R'").withColumn("confidence", F.lit(0.99)))
+    return _upserted(b, stored, stored.filter("provider = 'R'").withColumn("confidence", F.lit(0.99)), tables.ENRICHMENT_KEY)
 
 
 @query("snk4_upsert_runs", "SELECT run_id, CASE WHEN records_skipped > 2 THEN 'rerun' ELSE status END AS status FROM b_runs")
 def _(b):
     stored = b.runs.select("run_id", "status", "records_skipped")
-    return tables.upsert_runs(stored, stored.filter("records_skipped > 2").withColumn("status", F.lit("rerun"))).select("run_id", "status")
+    return _upserted(b, stored, stored.filter("records_skipped > 2").withColumn("status", F.lit("rerun")), tables.RUN_KEY).select("run_id", "status")
 
 
 def _research(b):
@@ -220,7 +228,7 @@ view("s_research", "SELECT r_name AS organization, s_name AS question_key, l_ret
 def _(b):
     stored = _research(b)
     updates = stored.filter("time_horizon = 'A'").withColumn("n", F.lit(-1).cast("long"))
-    return tables.upsert_research(stored, updates).select("organization", "question_key", "time_horizon", "n")
+    return _upserted(b, stored, updates, tables.RESEARCH_KEY).select("organization", "question_key", "time_horizon", "n")
 
 
 @query("win2_latest_research", "SELECT organization, question_key, time_horizon FROM (SELECT *, row_number() OVER (PARTITION BY organization ORDER BY created_at DESC, question_key, time_horizon) AS rn FROM s_research) WHERE rn = 1")
@@ -449,11 +457,8 @@ def _(b):
 @query("str2_stream_upsert", "SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def _(b):
     table, checkpoint = scratch_path(b.spark, "upsert"), scratch_path(b.spark, "upsert-checkpoint")
-    order = [F.col("ts"), F.col("event_id")]
-    upsert = lambda stored, batch: tables.merge_upsert(stored, batch, ["user_id"], order=order)
-    first = lambda batch: O.latest_per(batch, ["user_id"], [c.desc() for c in order])
-    V.upsert_stream(_stream(b), table, checkpoint, upsert, first).awaitTermination()
-    return tables.read_current(b.spark, table).select("user_id", "event_type")
+    V.upsert_stream(_stream(b), table, checkpoint, ["user_id"], [F.col("ts"), F.col("event_id")]).awaitTermination()
+    return tables.read_buckets(b.spark, table).select("user_id", "event_type")
 
 
 def _run_to_table(b, frame, mode, label):

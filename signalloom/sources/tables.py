@@ -76,52 +76,93 @@ def upsert_research(target, updates, order=()):
     return merge_upsert(target, updates, RESEARCH_KEY, order=order)
 
 
-# --- versioned Parquet folders --------------------------------------------------------------
+# --- tables in key buckets -------------------------------------------------------------------
 
+BUCKETS = 64  # of a table, fixed when it is created; a large table takes more
 
-_VERSIONS = "sequence long, version string"
+
+def _in_buckets(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def create_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Writes a table dealt by the hash of its keys into one partition folder per bucket."""
+    _in_buckets(df, keys, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
 
 
-def published_versions(spark: SparkSession, path: str) -> list[str]:
-    """Names of the published versions, oldest first; an empty list only before the first publish."""
+def read_buckets(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table with its ``bucket`` column, None before it is created."""
     try:
-        return [r.version for r in spark.read.schema(_VERSIONS).json(f"{path}/_versions").orderBy("sequence").collect()]
+        return spark.read.parquet(f"{path}/rows")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return []
+        return None
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Name of the version published last, None before the first publish."""
-    return next(reversed(published_versions(spark, path)), None)
+def upsert_buckets(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], preserve: Sequence[str] = (), order: Sequence[Column] = (), buckets: int = BUCKETS) -> None:
+    """``merge_upsert`` into a table in key buckets: only the buckets the batch touches are read and rewritten.
 
+    The merged buckets are written beside the table first and replace the old ones by dynamic partition
+    overwrite; a replacement that is cut off is repeated before anything else is done. The same batch
+    again changes nothing. One writer at a time.
+    """
+    _replace_merged(spark, path)
+    stored = read_buckets(spark, path)
+    dealt = _in_buckets(updates, keys, buckets)
+    if stored is None:
+        merged = latest_per(dealt, keys, [c.desc() for c in order]) if order else dealt.dropDuplicates(list(keys))
+    else:
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+        merged = merge_upsert(stored.filter(F.col("bucket").isin(touched)), dealt, [*keys, "bucket"], preserve, order)
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/_merged/rows")
+    _set_state(spark, path, "ready")
+    _replace_merged(spark, path)
 
-def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The published version of a table folder."""
-    version = current_version(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/{version}")
 
+def _set_state(spark: SparkSession, path: str, state: str) -> None:
+    spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").json(f"{path}/_merged/state")
 
-def _announce(spark: SparkSession, path: str, version: str) -> None:
-    """Adds the version to the list readers go by; earlier entries are never rewritten."""
-    sequence = len(published_versions(spark, path))
-    spark.createDataFrame([(sequence, version)], _VERSIONS).coalesce(1).write.mode("append").json(f"{path}/_versions")
 
+def _replace_merged(spark: SparkSession, path: str) -> None:
+    """Puts merged buckets in the place of the old ones, if there are any that have not got there."""
+    try:
+        ready = spark.read.schema("state string").json(f"{path}/_merged/state").filter("state = 'ready'").count() > 0
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ready = False
+    if ready:
+        merged = spark.read.parquet(f"{path}/_merged/rows")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows")
+        _set_state(spark, path, "done")
 
-def publish(df: DataFrame, path: str, version: str, partition_by: Sequence[str] = ()) -> None:
-    """Write a new version beside the old one, then announce it.
 
-    A run that fails before the announcement leaves the published version untouched. One writer at a time.
-    """
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{version}")
-    _announce(df.sparkSession, path, version)
+# --- guarded batches -------------------------------------------------------------------------
 
+_VERSIONS = "sequence long, version string"
+
+
+def _newest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and name of the version announced last; -1 and None before the first."""
+    try:
+        row = spark.read.schema(_VERSIONS).json(f"{path}/_versions").agg(F.max("sequence").alias("sequence"), F.max_by("version", "sequence").alias("version")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1, None
+    return (-1, None) if row.sequence is None else (row.sequence, row.version)
 
-def mismatched_pairs(batch: DataFrame) -> DataFrame:
-    """Collected pairs whose posting and evidence ids differ."""
-    return batch.filter(~F.col("posting_evidence_id").eqNullSafe(F.col("evidence_id")))
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Name of the version announced last, None before the first."""
+    return _newest(spark, path)[1]
+
+
+def _announce(spark: SparkSession, path: str, version: str) -> None:
+    """Adds the version to the list readers go by; earlier entries are never rewritten."""
+    sequence = _newest(spark, path)[0] + 1
+    spark.createDataFrame([(sequence, version)], _VERSIONS).coalesce(1).write.mode("append").json(f"{path}/_versions")
 
 
 def save_batch(spark: SparkSession, jobs: DataFrame, evidence: DataFrame, path: str, version: str, order: str = "position") -> int:

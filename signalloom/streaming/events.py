@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from signalloom.sources import tables
@@ -26,21 +26,14 @@ def ingest_available(stream: DataFrame, target: str, checkpoint: str, partition_
     return writer.start(target)
 
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, upsert: Callable[[DataFrame, DataFrame], DataFrame], first: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Merge every micro-batch into a versioned table folder.
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str], order: Sequence[Column], preserve: Sequence[str] = (), buckets: int = tables.BUCKETS) -> StreamingQuery:
+    """Merge every micro-batch into a table in key buckets; each rewrites only the buckets it touches.
 
-    Versions are named by query and batch, so a batch replayed after a failure is recognised and not
-    merged twice, and the batches of a stream started anew from another checkpoint are new ones.
+    A batch replayed after a failure finishes what was cut off and then changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        query = session.read.json(f"{checkpoint}/metadata").first()["id"]
-        version = f"query-{query}-batch-{batch_id:012d}"
-        if version in tables.published_versions(session, table):
-            return
-        stored = tables.read_current(session, table)
-        tables.publish(first(batch) if stored is None else upsert(stored, batch), table, version)
+        tables.upsert_buckets(batch.sparkSession, table, batch, keys, preserve, order, buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

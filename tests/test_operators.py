@@ -301,17 +301,41 @@ def test_plan_covers_every_job(spark, fixture_jobs):
 
 
 def test_upsert_stream_survives_a_new_checkpoint(spark, tmp_path):
-    from signalloom.operators.ordering import latest_per
     from signalloom.streaming import events
 
     table, schema = f"{tmp_path}/table", "k string, n long"
-    upsert = lambda stored, batch: tables.merge_upsert(stored, batch, ["k"], order=[F.col("n")])
-    first = lambda batch: latest_per(batch, ["k"], [F.desc("n")])
     for name, rows in (("one", [("k1", 1), ("k1", 2)]), ("two", [("k2", 1)])):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in-{name}")
         stream = events.file_stream(spark, f"{tmp_path}/in-{name}", spark.createDataFrame([], schema).schema)
-        events.upsert_stream(stream, table, f"{tmp_path}/checkpoint-{name}", upsert, first).awaitTermination()
-    assert sorted(map(tuple, tables.read_current(spark, table).collect())) == [("k1", 2), ("k2", 1)]
+        events.upsert_stream(stream, table, f"{tmp_path}/checkpoint-{name}", ["k"], [F.col("n")]).awaitTermination()
+    assert sorted(map(tuple, tables.read_buckets(spark, table).select("k", "n").collect())) == [("k1", 2), ("k2", 1)]
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path, schema = str(tmp_path / "table"), "k string, first string, v long"
+    stored = [(f"k{i}", f"id{i}", i) for i in range(900)] + [(None, "none", -1)]
+    tables.create_buckets(spark.createDataFrame(stored, schema), path, ["k"])
+
+    def files():
+        return {f"{f.parent.name}/{f.name}" for f in (tmp_path / "table" / "rows").rglob("*.parquet")}
+
+    def rows():
+        return {(r.k, r.first, r.v) for r in tables.read_buckets(spark, path).collect()}
+
+    before = files()
+    batch = spark.createDataFrame([("k5", "x", 50, 1), ("k5", "x", 55, 2), ("new", "id-new", 7, 1), (None, "y", -2, 1)], schema + ", n int")
+    tables.upsert_buckets(spark, path, batch, ["k"], ["first"], [F.col("n")])
+    want = {(k, i, {"k5": 55, None: -2}.get(k, v)) for k, i, v in stored} | {("new", "id-new", 7)}
+    assert rows() == want and len(before - files()) <= 3 and len(before) > 40
+    tables.upsert_buckets(spark, path, batch, ["k"], ["first"], [F.col("n")])  # replayed
+    assert rows() == want
+    # a replacement that was cut off: merged rows are ready, a bucket of the table is gone
+    bucket = tables.read_buckets(spark, path).filter("k = 'k5'").first().bucket
+    tables._set_state(spark, path, "ready")
+    for f in (tmp_path / "table" / "rows" / f"bucket={bucket}").iterdir():
+        f.unlink()
+    tables.upsert_buckets(spark, path, batch.limit(0), ["k"], ["first"], [F.col("n")])
+    assert rows() == want
 
 
 def test_folder_with_two_header_orders_is_refused(spark, tmp_path):
