@@ -110,10 +110,12 @@ def upsert_buckets(spark: SparkSession, path: str, updates: DataFrame, keys: Seq
     _replace_merged(spark, path)
     stored = read_buckets(spark, path)
     dealt = _in_buckets(updates, keys, buckets)
+    touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+    if not touched:
+        return
     if stored is None:
         merged = latest_per(dealt, keys, [c.desc() for c in order]) if order else dealt.dropDuplicates(list(keys))
     else:
-        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
         merged = merge_upsert(stored.filter(F.col("bucket").isin(touched)), dealt, [*keys, "bucket"], preserve, order)
     merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/_merged/rows")
     _set_state(spark, path, "ready")
