@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.llm import hyperminhash, packing, quality, suffixes, toxicity
-from signalloom.llm.common import stage, table
+from signalloom.llm.common import stage, table, whole_texts
 from signalloom.llm.queries import vocabulary
 
 #: Stages rest on trained models, compression and tokenizers, which SQL cannot express; tests hold them against plain versions.
@@ -21,18 +21,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return hyperminhash.one_per_group(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return suffixes.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=2)
 
 

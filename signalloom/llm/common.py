@@ -14,7 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from signalloom.session import scratch_path, stage  # noqa: F401  (stage is used by the operators)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def whole_texts(spark: SparkSession) -> None:
+    """Rows of these operators hold whole texts, so fewer go in an Arrow batch, unless the session says how many."""
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own default, meant for short rows
+        spark.conf.set(_BATCH, "2000")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    whole_texts(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

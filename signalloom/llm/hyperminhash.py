@@ -36,7 +36,7 @@ SIGMAS = 4.0
 GROUP = 5_000  # rows of each side of a bucket that meet in one group
 STEP = 1.34  # of sizes from class to class, above 100 / PERCENT: linked sets are in the same class or in neighbouring ones
 LEAST = 256  # smallest hashes of a set that go with a row of a mixed bucket; 32 bits of each
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 COLLISIONS = 0.169919487159739093975315012348  # fixed value of the published collision estimate
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -31,7 +31,7 @@ LASSO = 3e-3
 SUPPORT = 0.05
 RIDGE = 1e-4
 THRESHOLD = 0.3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Category and its training label; the labels tell toxic texts only as such, so the first two split them by language.
 CATEGORIES = (("toxic_en", "toxic = 1 AND lang = 'en'"), ("toxic_other", "toxic = 1 AND NOT lang <=> 'en'"), ("toxic", "toxic = 1"))
 
