@@ -25,7 +25,8 @@ from signalloom.llm.tokens import slices
 
 SHIFT = 10.0
 SHARPNESS = 1.0
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
+FILTERED = 16_000  # chunks whose edges are held side by side
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _CHUNK = re.compile(rf" *[{_LETTER}]+(?=[.,;:!?])| *[^ \n]+| +|\n")
 _LATTICES: dict[tuple, "Lattice"] = {}
@@ -186,9 +187,9 @@ class Lattice:
             chunks = _CHUNK.findall(" " + text)
             seq += map(codes.__getitem__, chunks)
             counts.append(len(chunks))
-        if codes.new:
-            self._filter(codes.new)
-            codes.new = []
+        for a in range(0, len(codes.new), FILTERED):
+            self._filter(codes.new[a : a + FILTERED])
+        codes.new = []
         if not seq:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         first_edge, draw, back, unit = self.first_edge.all, self.draw.all, self.back.all, self.unit.all
@@ -266,7 +267,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """Adds ``decoded``, the text the ids stand for, and the digest of the ids."""
 
     def work(batches):
-        pieces = lattice(model).pieces
+        pieces = Pieces(model)
         for batch in batches:
             found = [None if raw is None else np.frombuffer(raw, "<u4") for raw in batch.column(2).to_pylist()]
             decoded = [None if ids is None else decode_ids(ids, pieces) for ids in found]
