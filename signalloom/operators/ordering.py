@@ -188,6 +188,14 @@ def intersect_count(left: DataFrame, right: DataFrame, keys: Sequence[str], by:
     return both.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
 
 
+def distinct_first(df: DataFrame, keys: Sequence[str], order: str, by: Sequence[str] = (), name: str = "first_seen") -> DataFrame:
+    """Distinct keys per ``by`` group with the order of their first occurrence, by which a list of them is sorted.
+
+    One map-side minimum per key; no group's values meet in one task.
+    """
+    return df.groupBy(*by, *keys).agg(F.min(order).alias(name))
+
+
 def not_in(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the left whose keys the right does not know."""
     return left.join(right.select(*keys), list(keys), "left_anti")

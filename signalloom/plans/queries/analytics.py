@@ -141,7 +141,9 @@ def _(b):
     return s.join(A.geographic_concentration(b.postings).withColumnRenamed("level", "family"), ["organization", "family", "value"]).select("organization", "family", "value", "job_count", F.col("percentage_of_total").alias("percentage"))
 
 
-@query("flt16_isolation_violations", "SELECT organization, job_id FROM b_hsup WHERE false")
+@query("flt16_isolation_violations", "SELECT 'Elsewhere' AS organization, job_id, count(*) AS n FROM b_hsup WHERE CAST(job_id AS BIGINT) % 50 = 0 GROUP BY ALL")
 def _(b):
     b = b.staged
-    return runs.isolation_violations(b.hiring_support, b.postings).select("organization", "job_id")
+    strayed = F.when(F.col("job_id").cast("long") % 50 == 0, F.lit("Elsewhere")).otherwise(F.col("organization"))
+    support = b.hiring_support.withColumn("organization", strayed)
+    return runs.isolation_violations(support, b.postings).groupBy("organization", "job_id").agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,6 @@
 """Cross-domain overlaps."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from signalloom.operators import crossdomain as X, evidence as E, ordering as O
 from signalloom.plans.binding import UNITS
@@ -103,6 +103,13 @@ def _(b):
     return O.not_in(b.postings, b.evidence, ["evidence_id"]).select("job_id", "evidence_id")
 
 
+@query("set5_distinct_first", """
+SELECT user_id, event_type, first_seen, row_number() OVER (PARTITION BY user_id ORDER BY first_seen) AS place FROM (SELECT user_id, event_type, min(event_id) AS first_seen FROM events GROUP BY ALL)""")
+def _(b):
+    found = O.distinct_first(b.table("events"), ["event_type"], "event_id", ["user_id"])
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("first_seen")))  # as many rows as a user has event types
+
+
 @query("set4_subset_check", """
 SELECT signal_id, count(*) AS outside FROM (SELECT DISTINCT signal_id, evidence_id FROM b_hsup) WHERE evidence_id NOT IN (SELECT evidence_id FROM b_evidence) GROUP BY 1""")
 def _(b):

@@ -203,11 +203,13 @@ def _(b):
 
 
 @query("agg30_coverage", """
-SELECT organization, n AS total_jobs, e AS enriched_jobs, c AS classified_jobs, round_even(e / n * 100, 4) AS enrichment_coverage_percentage, round_even(c / n * 100, 4) AS classification_coverage_percentage
+SELECT organization, n AS total_jobs, e AS enriched_jobs, c AS classified_jobs, round_even(e / n * 100, 4) AS enrichment_coverage_percentage, round_even(c / n * 100, 4) AS classification_coverage_percentage,
+  concat_ws(' ', CASE WHEN e < n THEN 'Persisted hiring enrichment currently covers ' || e || ' of ' || n || ' ' || organization || ' jobs (' || printf('%.2f', e / n * 100) || '%); enrichment-derived technology/skills relationships should be treated as directional rather than comprehensive.' END,
+  CASE WHEN c > e THEN 'Capability classification (business-area categorization from the source data, not LLM-verified) separately covers ' || c || ' of ' || n || ' ' || organization || ' jobs (' || printf('%.2f', c / n * 100) || '%); this is independent of, and typically broader than, the technology/skills enrichment coverage above.' END) AS limitations
 FROM (SELECT r.organization, count(*) AS n, count(l.job_id) AS e, count(*) FILTER (r.job_id IN (SELECT job_id FROM b_caps) OR l.job_id IS NOT NULL) AS c FROM b_rows r LEFT JOIN b_latest l USING (job_id) GROUP BY 1)""")
 def _(b):
     g = _Graph.of(b)
-    return G.coverage(G.graph_totals(g.b.jobs, g.evidence, g.latest)).drop("limitations")
+    return G.coverage(G.graph_totals(g.b.jobs, g.evidence, g.latest)).withColumn("limitations", F.array_join("limitations", " "))
 
 
 @query("win10_last_edge_wins", "SELECT node_id, why, count(*) AS n FROM g_concepts WHERE edge_type = 'USES_TECHNOLOGY' GROUP BY ALL")

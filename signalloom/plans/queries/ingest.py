@@ -262,11 +262,17 @@ def _(b):
 
 # --- enrichment planning --------------------------------------------------------------------
 
-_CURRENT = "SELECT job_id FROM b_jobs WHERE CAST(job_id AS INT) % 6 = 0"
+_CURRENT = "SELECT job_id FROM b_enr WHERE provider = 'R' AND model = 'F' AND prompt_schema_version LIKE 'v1.%'"
 
 
 def _current(b):
-    return b.postings.filter("cast(job_id AS int) % 6 = 0").select("job_id", "evidence_id", I.content_hash().alias("source_content_hash"))
+    """First versions of one provider and model; those of provider R were made from the job's present content."""
+    present = b.postings.select("job_id", I.content_hash().alias("_present"))
+    versions = b.enrichments.join(present, "job_id").withColumns({
+        "prompt_schema_version": F.substring_index("prompt_schema_version", ".", 1),
+        "source_content_hash": F.when(F.col("provider") == "R", F.col("_present")).otherwise(F.col("source_content_hash")),
+    })
+    return R.current_enrichments(versions, "R", "F", "v1")
 
 
 @query("joi5_eligible", f"SELECT job_id FROM b_rows WHERE job_id NOT IN ({_CURRENT})")
@@ -288,14 +294,47 @@ def _(b):
     return counts.select("organization", "discovered_jobs", "eligible_jobs", "planned_jobs", "existing_enrichment_skips", "no_evidence_skips", "deferred_jobs")
 
 
+_OUTCOMES = ["failed_validation", "failed_provider", "failed_persistence", None, "enriched", "enriched", "enriched"]
+view("s_outcomes", """
+SELECT organization, job_id, CASE WHEN status <> 'planned' THEN status ELSE coalesce((['failed_validation', 'failed_provider', 'failed_persistence', NULL, 'enriched', 'enriched', 'enriched'])[CAST(job_id AS BIGINT) % 7 + 1], 'deferred_limit') END AS status FROM s_planned
+""")
+
+
+def _reported(b):
+    """What became of each planned job; one in seven was never attempted."""
+    plan = R.enrichment_plan(b.postings, b.evidence, _current(b), 25)
+    outcome = F.element_at(F.array(*map(F.lit, _OUTCOMES)), (F.col("job_id").cast("long") % 7 + 1).cast("int"))
+    reported = b.postings.select("job_id", outcome.alias("outcome")).filter("outcome IS NOT NULL")
+    return R.apply_outcomes(plan, reported)
+
+
+@query("agg28_enrichment_outcomes", """
+SELECT organization, count(*) AS discovered_jobs, count(*) FILTER (status NOT LIKE 'skipped%') AS eligible_jobs, count(*) FILTER (status = 'enriched' OR status LIKE 'failed%') AS planned_jobs, count(*) FILTER (status = 'enriched' OR status LIKE 'failed%') AS attempted_jobs,
+  count(*) FILTER (status = 'enriched') AS enriched_jobs, count(*) FILTER (status = 'skipped_existing') AS existing_enrichment_skips, count(*) FILTER (status = 'skipped_no_evidence') AS no_evidence_skips, 0::BIGINT AS evidence_mismatch_skips, 0::BIGINT AS unusable_evidence_skips,
+  count(*) FILTER (status LIKE 'failed%') AS failed_jobs, count(*) FILTER (status = 'deferred_limit') AS deferred_jobs FROM s_outcomes GROUP BY 1""")
+def _(b):
+    return R.plan_counts(_reported(b))
+
+
+@query("agg28_outcome_statuses", "SELECT organization, status, count(*) AS n FROM s_outcomes GROUP BY ALL")
+def _(b):
+    return _reported(b).groupBy("organization", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("win7_first_eligible", "SELECT organization, job_id FROM s_planned WHERE status = 'planned'")
 def _(b):
     return R.enrichment_plan(b.postings, b.evidence, _current(b), 25).filter("status = 'planned'").select("organization", "job_id")
 
 
-@query("agg28_plan_violations", "SELECT organization FROM b_jobs WHERE false")
+@query("agg28_plan_violations", "SELECT r_name AS organization FROM region WHERE r_name LIKE 'A%'")
 def _(b):
-    return R.plan_violations(R.plan_counts(R.enrichment_plan(b.postings, b.evidence, _current(b), 25))).select("organization")
+    """Counts of some organizations are made wrong, each in another way; all others add up."""
+    counts = R.plan_counts(_reported(b))
+    wrong = counts.withColumns({
+        "eligible_jobs": F.when(F.col("organization") == "AFRICA", F.col("eligible_jobs") - 1).otherwise(F.col("eligible_jobs")),
+        "failed_jobs": F.when(F.col("organization").startswith("A") & (F.col("organization") != "AFRICA"), F.col("failed_jobs") + 1).otherwise(F.col("failed_jobs")),
+    })
+    return R.plan_violations(wrong).select("organization")
 
 
 # --- snapshot signals -----------------------------------------------------------------------

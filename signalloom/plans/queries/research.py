@@ -88,13 +88,25 @@ SELECT 'C' || (user_id % 5) AS company, event_id AS position, 'EV' || (event_id
 """)
 
 
+view("w_reason", "SELECT *, CASE WHEN user_id % 11 = 0 THEN 'unrelated company' WHEN user_id % 13 = 0 THEN 'invalid source date' END AS reason FROM w_ev")
+view("w_rounds", """
+SELECT 0 AS round, a, b, o, 'open' AS state FROM (
+  SELECT company || '|' || evidence_id AS a, company || '|' || ((position + 1) // 2) || '|' || strftime(ts, '%Y-%m-%d') AS b, min(position) AS o FROM w_reason WHERE reason IS NULL GROUP BY ALL)
+UNION ALL
+SELECT round + 1, a, b, o, CASE WHEN state <> 'open' THEN state WHEN kept_a OR kept_b THEN 'dropped' WHEN o = first_a AND o = first_b THEN 'kept' ELSE 'open' END
+FROM (SELECT *, min(CASE WHEN state = 'open' THEN o END) OVER (PARTITION BY a) AS first_a, min(CASE WHEN state = 'open' THEN o END) OVER (PARTITION BY b) AS first_b,
+  bool_or(state = 'kept') OVER (PARTITION BY a) AS kept_a, bool_or(state = 'kept') OVER (PARTITION BY b) AS kept_b, bool_or(state = 'open') OVER () AS going FROM w_rounds)
+WHERE going
+""", recursive=True)
+
+
 @query("flt10_reject_reasons", """
-SELECT reason, count(*) AS n FROM (SELECT CASE WHEN user_id % 11 = 0 THEN 'unrelated company' WHEN user_id % 13 = 0 THEN 'invalid source date' ELSE 'other' END AS reason FROM w_ev) GROUP BY 1""")
+SELECT company, coalesce(reason, CASE WHEN k.o IS NULL THEN 'duplicate evidence' ELSE 'none' END) AS reason, count(*) AS n
+FROM w_reason r LEFT JOIN (SELECT o FROM w_rounds WHERE state = 'kept' AND round = (SELECT max(round) FROM w_rounds)) k ON k.o = r.position GROUP BY ALL""")
 def _(b):
     names = b.spark.createDataFrame([(f"C{i}", f"c{i}") for i in range(5)], "company string, company_key string")
     checked = W.validate_evidence(_evidence(b), names)
-    reason = F.when(F.col("reject_reason").isin("unrelated company", "invalid source date"), F.col("reject_reason")).otherwise(F.lit("other"))
-    return checked.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return checked.groupBy("company", F.coalesce("reject_reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 view("w_conf", "SELECT company, topic_key, unit_key, count(*) FILTER (up) AS up_count, count(*) FILTER (down) AS down_count FROM w_ev GROUP BY ALL HAVING count(*) FILTER (up) > 0 AND count(*) FILTER (down) > 0")
