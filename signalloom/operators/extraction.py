@@ -67,11 +67,6 @@ def ground_values(values, source_line) -> Column:
     return F.when(F.length(line) > 0, F.filter(as_col(values), kept))
 
 
-def supplied_text(columns: Sequence) -> Column:
-    """The source texts an extraction may cite, one per line."""
-    return F.concat_ws("\n", *[F.nullif(as_col(c), F.lit("")) for c in columns])
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _spans(sources: pd.Series, values: pd.Series) -> pd.Series:
     def cut(source, wanted):

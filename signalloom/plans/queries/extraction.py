@@ -168,10 +168,34 @@ def _(b):
     return out.select("p_partkey", F.col("rule_seniority").alias("seniority"), F.col("rule_confidence").alias("confidence"))
 
 
+@query("txt6_grounding_limitations", """
+SELECT d.doc_id, concat_ws(' ', 'Enrichment uses only the supplied job posting evidence.', CASE WHEN d.lang = 'en' THEN 'Capability and theme labels are semantic classifications, not strategic claims.' END,
+  CASE WHEN c.sk > coalesce(s.sk, 0) OR c.te > coalesce(s.te, 0) THEN 'Unsupported provider extractions were excluded after deterministic grounding validation (' || (c.sk - coalesce(s.sk, 0)) || ' skills, ' || (c.te - coalesce(s.te, 0)) || ' technologies).' END) AS limitations
+FROM documents d JOIN (SELECT doc_id, count(*) FILTER (field = 'skills') AS sk, count(*) FILTER (field = 'technologies') AS te FROM x_claims GROUP BY 1) c USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) FILTER (field = 'skills') AS sk, count(*) FILTER (field = 'technologies') AS te FROM x_support GROUP BY 1) s USING (doc_id)""")
+def _(b):
+    claims = _claims(b).withColumn("_line", T.token_line("text"))
+    gone = lambda values: F.size(values) - F.size(T.ground_values(values, "_line"))
+    notes = T.grounding_limitations(F.col("seniority_level") != "unknown", gone("skills"), gone("technologies"))
+    return claims.select("doc_id", F.array_join(notes, " ").alias("limitations"))
+
+
+@query("txt10_omitted_classifications", """
+SELECT CAST(o_orderkey % 9 AS BIGINT) AS batch, count(*) AS missing, 'classification batch omitted ' || count(*) || ' jobs; heuristic fallback used' AS warning
+FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) GROUP BY 1""")
+def _(b):
+    return T.omitted_classifications(_merged(b).withColumn("batch", F.col("source_job_id").cast("long") % 9), ["batch"])
+
+
 @query("txt10_merge_classifications", """
 SELECT CAST(o_orderkey AS VARCHAR) AS source_job_id, CASE WHEN s.cap IS NULL THEN 'Other' WHEN s.cap = 'PROMO' THEN 'Promotion' ELSE s.cap END AS capability, s.cap IS NOT NULL AS supplied
 FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(p_type, l_linenumber::BIGINT * 1000000000 + l_partkey) AS cap FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 30 GROUP BY 1) s ON l_orderkey = o_orderkey""")
 def _(b):
+    return _merged(b).select("source_job_id", "capability", (F.col("classification_source") == "llm").alias("supplied"))
+
+
+def _merged(b):
+    """Rule classifications of orders, replaced by supplied ones where a large line has some."""
     jobs = b.table("orders").select(F.col("o_orderkey").cast("string").alias("source_job_id"), F.lit("Other").alias("rule_capability"), F.lit("Unknown").alias("rule_seniority"), F.lit(0.4).alias("rule_confidence"))
     lines = b.table("lineitem").filter("l_quantity > 30").join(b.table("part"), F.col("l_partkey") == F.col("p_partkey"))
     none = F.lit(None).cast("string")
@@ -179,8 +203,7 @@ def _(b):
         F.col("l_orderkey").cast("string").alias("source_job_id"), (F.col("l_linenumber") * F.lit(1000000000).cast("long") + F.col("l_partkey")).alias("position"), F.col("p_type").alias("capability"),
         none.alias("business_unit"), none.alias("department"), F.split("p_name", " ").alias("skills"), F.array("p_brand").alias("technologies"), none.alias("seniority"), F.lit(0.8).alias("confidence"),
     )
-    merged = T.merge_classifications(jobs, supplied, {"promo": "Promotion"})
-    return merged.select("source_job_id", "capability", (F.col("classification_source") == "llm").alias("supplied"))
+    return T.merge_classifications(jobs, supplied, {"promo": "Promotion"})
 
 
 view("x_words", "SELECT doc_id, array_to_string(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\pL\\pN_]+'), ' ') AS words FROM documents")

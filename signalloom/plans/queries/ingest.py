@@ -148,21 +148,35 @@ def _(b):
     return b.runs.select("run_id", R.run_status(F.col("records_collected"), F.col("records_skipped"), ~stopped, F.col("records_skipped") > 3, stopped).alias("resolved"))
 
 
-@query("src5_page_cache", """
-SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'failed' ELSE 'cached' END AS status, CASE WHEN page_id % 4 = 0 THEN 0 ELSE length(html) END AS chars FROM pages""")
-def _(b):
+def _page_cache(b):
+    """Pages as JSON lines; one in five is cut off in the middle."""
     pages = b.table("pages")
     path = scratch_path(b.spark, "page-cache")
     address = F.concat(F.lit("HTTPS://Cache.example.com/p/"), F.col("page_id").cast("string"))
-    pages.select(
+    fields = F.struct(
         F.lit("completed").alias("status"), address.alias("source_url"), F.col("html").alias("text"),
         F.struct(F.struct(F.when(F.col("page_id") % 4 == 0, F.lit("Other Corp")).when(F.col("page_id") % 4 == 1, F.lit("ACME, Inc.")).alias("name")).alias("hiringOrganization")).alias("structured_data"),
-    ).write.json(path)
+    )
+    line = F.to_json(fields)
+    pages.select(F.when(F.col("page_id") % 5 == 2, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+    return S.read_page_cache(b.spark, path, per_file=False)
+
+
+@query("src5_unreadable_pages", "SELECT 'unreadable' AS status, count(*) AS n FROM pages WHERE page_id % 5 = 2")
+def _(b):
+    return _page_cache(b).filter("status = 'unreadable' AND warning LIKE 'not a page document: %' AND url_key IS NULL").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src5_page_cache", """
+SELECT page_id, CASE WHEN page_id % 5 = 2 THEN 'none' WHEN page_id % 4 = 0 THEN 'failed' ELSE 'cached' END AS status,
+  CASE WHEN page_id % 4 = 0 OR page_id % 5 = 2 THEN 0 ELSE length(html) END AS chars FROM pages""")
+def _(b):
+    pages = b.table("pages")
+    address = F.concat(F.lit("HTTPS://Cache.example.com/p/"), F.col("page_id").cast("string"))
     contexts = b.spark.createDataFrame([("ACME", "Acme", ["acme inc"], [], [])], "company_id string, canonical_name string, aliases array<string>, allowed_subsidiaries array<string>, excluded_entities array<string>")
     jobs = pages.select("page_id", F.concat(address, F.lit("/?again")).alias("posting_url"), F.lit("ACME").alias("company_id"))
-    cache = b.spark.read.schema(S.PAGE_SCHEMA).json(path).withColumns({"url_key": I.hash_key("source_url"), "status": F.lit("cached")})
-    checked = S.validate_page_company(S.attach_pages(jobs, cache), contexts)
-    return checked.select("page_id", F.col("page_status").alias("status"), F.coalesce(F.length("page_text"), F.lit(0)).alias("chars"))
+    checked = S.validate_page_company(S.attach_pages(jobs, _page_cache(b)), contexts)
+    return checked.select("page_id", F.coalesce("page_status", F.lit("none")).alias("status"), F.coalesce(F.length("page_text"), F.lit(0)).alias("chars"))
 
 
 @query("flt8_page_company", "SELECT page_id, page_id % 4 = 0 AS is_foreign FROM pages")

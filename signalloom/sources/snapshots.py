@@ -233,10 +233,20 @@ PAGE_SCHEMA = (
 )
 
 
-def read_page_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched-page documents with their URL hash; what is read from the cache has status ``cached``."""
-    pages = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).json(path)
-    return pages.withColumns({"url_key": ids.hash_key("source_url"), "status": F.lit("cached")})
+def read_page_cache(spark: SparkSession, path: str, per_file: bool = True) -> DataFrame:
+    """Fetched-page documents with their URL hash, one per file or one per line.
+
+    What is read has status ``cached``. A document that is no JSON object, or holds a field of another kind, is a
+    row with status ``unreadable``, its place in ``warning`` and no address, so that no page is lost unseen.
+    """
+    lines = spark.read.text(path, wholetext=per_file).select("value", F.col("_metadata.file_name").alias("_file"))
+    parsed = F.from_json("value", f"{PAGE_SCHEMA}, _damaged string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"})
+    rows = lines.filter(F.btrim("value") != "").select(parsed.alias("p"), "_file").select("p.*", "_file")
+    good = F.col("_damaged").isNull()
+    return rows.withColumns({
+        "url_key": F.when(good, ids.hash_key("source_url")), "status": F.when(good, F.lit("cached")).otherwise(F.lit("unreadable")),
+        "warning": F.when(good, F.col("warning")).otherwise(F.concat(F.lit("not a page document: "), "_file")),
+    }).drop("_damaged", "_file")
 
 
 def attach_pages(jobs: DataFrame, pages: DataFrame, url_col: str = "posting_url") -> DataFrame:

@@ -64,18 +64,6 @@ def upsert_jobs(target, updates, order=()):
     return merge_upsert(target, updates, JOB_KEY, preserve=["job_id"], order=order)
 
 
-def upsert_enrichments(target, updates, order=()):
-    return merge_upsert(target, updates, ENRICHMENT_KEY, order=order)
-
-
-def upsert_runs(target, updates, order=()):
-    return merge_upsert(target, updates, RUN_KEY, order=order)
-
-
-def upsert_research(target, updates, order=()):
-    return merge_upsert(target, updates, RESEARCH_KEY, order=order)
-
-
 # --- tables in key buckets -------------------------------------------------------------------
 
 BUCKETS = 64  # of a table, fixed when it is created; a large table takes more
