@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from signalloom.llm.common import claim_cache
+from signalloom.llm.common import claim_cache, give_back_memory
 
 SAMPLE = 6_000
 FOLDS = 3
@@ -85,7 +85,7 @@ class Linear:
         model = cls(np.zeros(FEATURES), np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate))))
         if not 0 < y.sum() < len(y):
             return model  # a single class: its rate is all there is to learn
-        row = np.repeat(np.arange(len(y)), np.diff(starts))
+        row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
         pairs = np.unique(index.astype(np.int64) * len(y) + row)
         allowed = np.bincount(pairs // len(y), minlength=FEATURES) >= MIN_TEXTS
         allowed[FEATURES - 1] = False  # stands for "no stem"
@@ -173,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int =
     index = lists.flatten().to_numpy()
     starts = np.concatenate([[0], np.cumsum(np.array([len(x) for x in lists], np.int64))]) if len(lists) else np.zeros(1, np.int64)
     y = np.column_stack([found.column(n).to_numpy() for n in names])
-    return fit_chain(index, starts, y, found.column("fold").to_numpy())
+    models = fit_chain(index, starts, y, found.column("fold").to_numpy())
+    del found, lists, index
+    give_back_memory()  # the fit runs in the driver, which stays small
+    return models
 
 
 def score(docs: DataFrame, models: list[Linear], categories=CATEGORIES) -> DataFrame:
