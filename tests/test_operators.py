@@ -111,6 +111,30 @@ def test_cross_domain_default_case(spark):
     assert row["confidence"] == pytest.approx((0.5 + 1 + 0.5) / 3)
 
 
+def test_jobs_meet_few_gates_and_are_never_sent_to_all_tasks(spark, tmp_path):
+    jobs = [("o", f"j{i}", "shared" if i < 3 else None if i == 3 else f"e{i}", ["h1", "t1", "h2" if i % 2 else "x", f"s{i}"], "U", ["py", None]) for i in range(6)]
+    spark.createDataFrame(jobs, "organization string, job_id string, evidence_id string, tags array<string>, unit string, technologies array<string>").write.parquet(str(tmp_path / "tagged"))
+    tagged = spark.read.parquet(str(tmp_path / "tagged"))
+    gate = "organization string, kind string, side string, family string, subject string, key string, size long, concentration double, signal_id string"
+    gates = spark.createDataFrame(
+        [("o", "group", "hiring", "city", "H1", "h1", 6, 0.5, None), ("o", "group", "hiring", "city", "H2", "h2", 3, 0.5, None), ("o", "group", "technology", "technology", "T1", "t1", 6, 0.5, None),
+         ("o", "unit", "hiring", "business_unit", "U", "x", 3, 0.5, None)], gate)
+    counts = {(r["family"], r["primary_subject"], r["related_subject"]): (r["overlap"], r["evidence_count"]) for r in X.overlap_counts(tagged, gates).collect()}
+    # Jobs 0 to 2 cite one evidence, job 3 none.
+    assert counts == {("city", "H1", "T1"): (6, 3), ("city", "H2", "T1"): (3, 2), ("business_unit", "U", "py"): (3, 2), ("business_unit", "U", None): (3, 2)}
+    signals = spark.createDataFrame([("o", "A", "city", "h1", "t1", None, None), ("o", "B", "city", "h2", "t1", None, None)], "organization string, signal_id string, family string, left_key string, right_key string, hiring_signal_id string, technology_signal_id string")
+    support = X.alignment_support(tagged, signals)
+    assert "BuildLeft" not in support._jdf.queryExecution().executedPlan().toString()  # the jobs are the left side
+    want = sorted([(s, f"j{i}") for i in range(6) for s in ("A", "B") if s == "A" or i % 2])
+    assert sorted((r["signal_id"], r["job_id"]) for r in support.collect()) == want
+    cited = {r["evidence_id"]: r["cross_domain_signal_count"] for r in X.alignment_citations(tagged, signals).collect()}
+    assert cited == {"shared": 2, None: 2, "e4": 1, "e5": 2}
+    # More signals than one word of bits holds.
+    domain = spark.createDataFrame([("o", "signal", "hiring", "cluster", "t", f"s{i % 6}", None, 1.0, f"S{i}") for i in range(130)], gate)
+    related = X.related_signals(tagged, signals, domain)
+    assert sorted((r["signal_id"], r["related_id"]) for r in related.collect()) == sorted([("A", f"S{i}") for i in range(130)] + [("B", f"S{i}") for i in range(130) if i % 2])
+
+
 def test_cross_domain_gates_suppress(spark):
     jobs = spark.createDataFrame([job(i, capabilities=["Data"], posted=f"2026-08-{1 + i:02d}") for i in range(19)], JOB_SCHEMA)
     signals, context = cross(spark, jobs, enrichment(spark, [("job-Wel-0", "ev-Wel-0", 1, ["python"], None)]))
