@@ -72,6 +72,10 @@ def test_counts_of_sole_rows_equal_distinct_counts(spark):
     gates = spark.createDataFrame([("o", "group", s, "city", s, s[0], 6, 0.5, None) for s in ("hiring", "technology")], "organization string, kind string, side string, family string, subject string, key string, size long, concentration double, signal_id string")
     for frame in (tagged, tagged.drop("sole")):
         assert [(r["overlap"], r["evidence_count"]) for r in X.overlap_counts(frame, gates).collect()] == [(6, 4)]
+    context = spark.createDataFrame([("o", 6)], "organization string, enriched_jobs long")
+    met = X.overlaps(X.overlap_counts(tagged, gates), context, X.CrossThresholds())
+    assert "Generate" not in met._jdf.queryExecution().optimizedPlan().toString()  # the pairs of the jobs are not made again
+    assert [(r["overlap"], r["evidence_count"]) for r in met.collect()] == [(6, 4)]
 
 
 def test_links_of_sole_rows_are_summed_without_distinct(spark):
